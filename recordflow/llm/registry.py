@@ -8,13 +8,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from ..tables import table
-from . import byte_bpe, media, packing, warc
+from . import blocks, byte_bpe, media, packing, warc
 
 
 def op1_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), packing.word_encoder(public_tokenizers.path("word_bpe_49k.json")))
 
 
+def op2_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return blocks.drop_repeats(table(spark, sf_dir, "documents"))
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
@@ -29,6 +33,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pack": op1_pack,
+    "op2_blocks": op2_blocks,
     "op6_byte_bpe": op6_byte_bpe,
     "op8_media": op8_media,
     "op10_warc": op10_warc,
