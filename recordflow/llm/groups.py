@@ -41,15 +41,20 @@ def dump(*arrays: np.ndarray) -> bytes:
 
 
 def load(data: bytes) -> list[np.ndarray]:
+    return load_some(data, None)[0]
+
+
+def load_some(data: bytes, most: int | None) -> tuple[list[np.ndarray], np.ndarray]:
+    """The first ``most`` arrays, or all, and the bytes after them."""
     out, at = [], 0
-    while at < len(data):
+    while at < len(data) and len(out) != most:
         code, n = struct.unpack_from("<2sQ", data, at)
         kind = np.dtype("<" + code.decode())
         at += 10
         planes = np.frombuffer(data, np.uint8, n * kind.itemsize, at).reshape(kind.itemsize, n)
         out.append(np.ascontiguousarray(planes.T).reshape(-1).view(kind))
         at += n * kind.itemsize
-    return out
+    return out, np.frombuffer(data, np.uint8)[at:]
 
 
 def keyed(docs: DataFrame) -> DataFrame:
