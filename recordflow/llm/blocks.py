@@ -105,7 +105,7 @@ def hits(rows: DataFrame) -> DataFrame:
             at = order[np.repeat(good, length)]
             start = place[at] >> 1
             by = np.lexsort((start, grp[at]))
-            out += G.answers(grp[at][by], start[by], np.ones(len(by), np.uint32), 0)
+            out += G.answers(grp[at][by], start[by], np.ones(len(by), np.uint32))
         yield G.packed(out)
 
     return rows.mapInArrow(run, G.PACKED)
@@ -183,7 +183,7 @@ def covered(rows: DataFrame) -> DataFrame:
             least = np.repeat(np.minimum.reduceat(d, first), np.diff(np.append(first, len(f))))
             at = order[d > least]
             by = np.lexsort((place[at], grp[at]))
-            out += G.answers(grp[at][by], place[at][by], np.ones(len(by), np.uint32), 0)
+            out += G.answers(grp[at][by], place[at][by], np.ones(len(by), np.uint32))
         yield G.packed(out)
 
     return rows.mapInArrow(run, G.PACKED)

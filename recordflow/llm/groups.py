@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import documents_view
 
-DATA, DOCS, FOUND = 0, 1, 2  # kinds of packed rows: for a partition, a group's documents, places already found
+DATA, DOCS, FOUND, ALIKE = 0, 1, 2, 3  # kinds of packed rows: for a partition, a group's documents, places found, places that share another's answer
 PACKED = "part int, grp long, kind int, payload binary"
 NAMES = ["part", "grp", "kind", "payload"]
 SPANS = "doc_id long, tag long, spans binary"
@@ -83,8 +83,8 @@ class Group:
         self.size += int(lengths.sum())
         return bases
 
-    def rows(self, parts: int, data: list[tuple[int, bytes]], found: tuple[np.ndarray, np.ndarray] | None) -> pa.RecordBatch:
-        """The group as packed rows; then it is empty."""
+    def rows(self, parts: int, data: list[tuple[int, bytes]], found: tuple[np.ndarray, ...] | None, alike: tuple[np.ndarray, np.ndarray] | None = None) -> pa.RecordBatch:
+        """The group as packed rows; then it is empty. ``alike``: places, and those whose answers they share."""
         grp = self.task << 24 | self.n
         self.n += 1
         home = grp * 2654435761 % parts
@@ -92,6 +92,8 @@ class Group:
         out.append((home, grp, DOCS, dump(np.concatenate(self.ids), np.concatenate(self.tags), np.concatenate(self.bases))))
         if found is not None and len(found[0]):
             out.append((home, grp, FOUND, dump(*found)))
+        if alike is not None and len(alike[0]):
+            out.append((home, grp, ALIKE, dump(*alike)))
         self.clear()
         return packed(out)
 
@@ -121,45 +123,51 @@ def incoming(batches: Iterator[pa.RecordBatch]) -> tuple[list[tuple[int, bytes]]
     return data, through
 
 
-def answers(grp: np.ndarray, start: np.ndarray, count: np.ndarray, part: int) -> list[tuple[int, int, int, bytes]]:
-    """Found spans as packed rows, one for each group."""
+def answers(grp: np.ndarray, *fields: np.ndarray) -> list[tuple[int, int, int, bytes]]:
+    """Found places, and what is told of them, as packed rows, one for each group."""
     order = np.argsort(grp, kind="stable")
-    grp, start, count = grp[order], start[order], count[order]
-    return [(part, g, FOUND, dump(start[a:b].astype(np.uint32), count[a:b].astype(np.uint32))) for g, a, b in by_part(grp)]
+    grp, fields = grp[order], [f[order] for f in fields]
+    return [(0, g, FOUND, dump(*(f[a:b] for f in fields))) for g, a, b in by_part(grp)]
 
 
 def per_document(rows: DataFrame, parts: int) -> DataFrame:
-    """Spans (start, count) of each document, from packed rows with found places."""
+    """What was found of each document, from packed rows: its places from 0, and what is told of them."""
     dealt = rows.repartition(parts, "grp").sortWithinPartitions("grp", "kind")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, now, table = [], None, None
-
-        def close() -> pa.RecordBatch | None:
-            if not held or table is None:
-                return None
-            ids, tags, bases = table
-            start = np.concatenate([h[0] for h in held]).astype(np.int64)
-            count = np.concatenate([h[1] for h in held]).astype(np.int64)
-            order = np.argsort(start, kind="stable")
-            start, count = start[order], count[order]
-            doc = np.searchsorted(bases, start, "right") - 1
-            start -= bases[doc]
-            out = [(d, dump(start[a:b].astype(np.uint32), count[a:b].astype(np.uint32))) for d, a, b in by_part(doc)]
-            at = [d for d, _ in out]
-            return pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(tags[at]), pa.array([s for _, s in out], pa.binary())], ["doc_id", "tag", "spans"])
+    def close(held: list, table: list | None, alike: list) -> pa.RecordBatch | None:
+        if not held or table is None:
+            return None
+        ids, tags, bases = table
+        fields = [np.concatenate([h[k] for h in held]) for k in range(len(held[0]))]
+        if alike:
+            place, like = (np.concatenate([x[k] for x in alike]) for k in (0, 1))
+            order = np.argsort(like)
+            place, like = place[order], like[order]
+            a, b = np.searchsorted(like, fields[0], "left"), np.searchsorted(like, fields[0], "right")
+            times = b - a
+            more = np.repeat(a - (np.cumsum(times) - times), times) + np.arange(int(times.sum()))
+            fields = [np.concatenate([fields[0], place[more]])] + [np.concatenate([f, np.repeat(f, times)]) for f in fields[1:]]
+        order = np.argsort(fields[0], kind="stable")
+        start, rest = fields[0][order].astype(np.int64), [f[order] for f in fields[1:]]
+        doc = np.searchsorted(bases, start, "right") - 1
+        start = (start - bases[doc]).astype(np.uint32)
+        out = [(d, dump(start[a:b], *(f[a:b] for f in rest))) for d, a, b in by_part(doc)]
+        at = [d for d, _ in out]
+        return pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(tags[at]), pa.array([s for _, s in out], pa.binary())], ["doc_id", "tag", "spans"])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, now, table, alike = [], None, None, []
         for batch in batches:
             for grp, kind, payload in zip(*(batch.column(c).to_pylist() for c in NAMES[1:]), strict=True):
                 if grp != now:
-                    if (done := close()) is not None:
+                    if (done := close(held, table, alike)) is not None:
                         yield done
-                    held, now, table = [], grp, None
+                    held, now, table, alike = [], grp, None, []
                 if kind == DOCS:
                     table = load(payload)
                 else:
-                    held.append(load(payload))
-        if (done := close()) is not None:
+                    (held if kind == FOUND else alike).append(load(payload))
+        if (done := close(held, table, alike)) is not None:
             yield done
 
     return dealt.mapInArrow(run, SPANS).groupBy("doc_id", "tag").agg(F.first("spans").alias("spans"))

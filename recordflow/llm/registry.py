@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from ..tables import table
-from . import blocks, byte_bpe, media, packing, suffixes, warc
+from . import blocks, byte_bpe, jaccard, media, packing, suffixes, warc
 
 
 def op1_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,6 +19,10 @@ def op2_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blocks.drop_repeats(table(spark, sf_dir, "documents"))
 
 
+def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
@@ -38,6 +42,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pack": op1_pack,
     "op2_blocks": op2_blocks,
+    "op4_jaccard": op4_jaccard,
     "op6_byte_bpe": op6_byte_bpe,
     "op7_suffixes": op7_suffixes,
     "op8_media": op8_media,

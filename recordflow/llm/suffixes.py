@@ -125,7 +125,7 @@ def shared_anchors(rows: DataFrame) -> DataFrame:
             at = order[np.repeat(many > 1, many)]
             common = np.repeat(many > COMMON, many)[np.repeat(many > 1, many)].astype(np.uint32)
             by = np.lexsort((place[at], grp[at]))
-            out += G.answers(grp[at][by], place[at][by], common[by], 0)
+            out += G.answers(grp[at][by], place[at][by], common[by])
         yield G.packed(out)
 
     return rows.mapInArrow(run, G.PACKED)
@@ -307,7 +307,7 @@ def covered(rows: DataFrame, length: int) -> DataFrame:
             answers.append((grp[row], place[row] + np.repeat(string, copies), np.ones(len(row), np.int64)))
         g, s, k = (np.concatenate([x[i] for x in answers]) for i in range(3))
         by = np.lexsort((s, g))
-        return G.answers(g[by], s[by], k[by], 0)
+        return G.answers(g[by], s[by].astype(np.uint32), k[by].astype(np.uint32))
 
     return rows.mapInArrow(run, G.PACKED)
 
