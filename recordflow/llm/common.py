@@ -164,11 +164,10 @@ def chunks(batches: Iterable[pa.RecordBatch], id_name: str = "doc_id", text_name
 class Words:
     """The words of a chunk: byte start and end of each, hash, and each document's first word."""
 
-    def __init__(self, chunk: Chunk, lower: bool = False, data: np.ndarray | None = None):
-        data = chunk.data if data is None else data
-        self.data = data
+    def __init__(self, chunk: Chunk, lower: bool = False, parting: np.ndarray | None = None):
+        data = chunk.data
         n = len(data)
-        word = ~is_space()[data]
+        word = ~(is_space() if parting is None else parting)[data]
         first = np.zeros(n + 1, bool)
         first[chunk.bounds] = True
         before = np.empty(n, bool)
@@ -181,7 +180,8 @@ class Words:
         self.end = np.flatnonzero(word & (~after | first[1:])) + 1
         self.docs = np.searchsorted(self.start, chunk.bounds)  # of document i: words docs[i]:docs[i + 1]
         values = lower_table()[data] if lower else data
-        self.hash = span_hash(prefix(byte_values()[values]), self.start, self.end)
+        self.byte_sums = prefix(byte_values()[values])
+        self.hash = span_hash(self.byte_sums, self.start, self.end)
 
     def __len__(self) -> int:
         return len(self.start)

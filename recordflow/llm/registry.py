@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from ..tables import table
-from . import blocks, byte_bpe, jaccard, media, packing, suffixes, warc
+from . import blocks, byte_bpe, jaccard, media, neighbours, packing, suffixes, toxicity, warc
 
 
 def op1_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,10 +19,18 @@ def op2_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blocks.drop_repeats(table(spark, sf_dir, "documents"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 100 == 0)
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
@@ -42,7 +50,9 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pack": op1_pack,
     "op2_blocks": op2_blocks,
+    "op3_toxicity": op3_toxicity,
     "op4_jaccard": op4_jaccard,
+    "op5_neighbours": op5_neighbours,
     "op6_byte_bpe": op6_byte_bpe,
     "op7_suffixes": op7_suffixes,
     "op8_media": op8_media,
