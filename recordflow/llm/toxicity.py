@@ -178,7 +178,10 @@ class Model:
         best = self.table[tokens.buckets[0]]
         for b in tokens.buckets[1:]:
             best = np.maximum(best, self.table[b])
-        return best - self.learn.drift
+        score = best - self.learn.drift
+        h = tokens.words.hash
+        score[1:][h[1:] == h[:-1]] = -self.learn.drift  # a word said again at once tells nothing new
+        return score
 
     def segments(self, tokens: Tokens) -> Iterator[list[tuple[int, int, float]]]:
         """Maximal segments of each document, by word."""
@@ -204,12 +207,11 @@ class Model:
             yield maximal_segments(order_first.tolist(), order_last.tolist(), value.tolist())
 
     def features(self, segments: list[tuple[int, int, float]], words: int) -> tuple[float, float]:
-        """Calibrated sums of the best segment and of all: lambda S - ln(K m), 0 at least."""
+        """Calibrated sum, lambda S - ln(K m) and 0 at least, of the best segment, and the logarithm of 1 + that of all."""
         if not segments:
             return 0.0, 0.0
-        each = self.rate * np.array([x[2] for x in segments])
-        best = max(0.0, float(each.max()) - self.log_k - np.log(max(words, 1)))
-        return best, float(np.log1p(each.sum()))
+        above = np.maximum(0.0, self.rate * np.array([x[2] for x in segments]) - self.log_k - np.log(max(words, 1)))
+        return float(above.max()), float(np.log1p(above.sum()))
 
     def p(self, total: float, words: int) -> float:
         return float(-np.expm1(-np.exp(self.log_k + np.log(max(words, 1)) - self.rate * total)))
@@ -282,21 +284,27 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Learning = Learning()) -> Mod
     histogram = summed(sample.mapInArrow(ordinary, "part int, payload binary"), grid)
     rate = solve_rate((np.arange(grid) + 0.5) * (32 / grid) - 16, histogram)
 
-    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in chunks(batches):
             t = Tokens(chunk, learn)
-            found = list(shared.value.segments(t))
-            yield pa.RecordBatch.from_arrays([chunk.rows.column("toxic"), pa.array(np.diff(t.words.docs)), pa.array([max((x[2] for x in f), default=0.0) for f in found], pa.float64()), pa.array([sum(x[2] for x in f) for f in found], pa.float64())], ["toxic", "words", "best", "all"])
+            sums = [max((x[2] for x in f), default=0.0) for f in shared.value.segments(t)]
+            yield pa.RecordBatch.from_arrays([chunk.rows.column("toxic"), pa.array(np.diff(t.words.docs)), pa.array(sums, pa.float64())], ["toxic", "words", "best"])
 
-    rows = sample.mapInArrow(sums, "toxic int, words long, best double, all double").toPandas()  # at most learn.most rows
-    discard(sample)
+    rows = sample.mapInArrow(best, "toxic int, words long, best double").toPandas()  # at most learn.most rows
     clean = rows[(rows["toxic"] == 0) & (rows["best"] > 0)]
     euler = 0.5772156649015329  # the mean of a standard extreme value
     log_k = float((rate * clean["best"] - np.log(clean["words"])).mean() - euler) if len(clean) else 0.0
-    model = Model(table, learn, rate, log_k)
-    x = np.array([model.features([(0, 0, b)], m) if b > 0 else (0.0, 0.0) for b, m in zip(rows["best"], rows["words"], strict=True)]).reshape(-1, 2)
-    x[:, 1] = np.log1p(rate * rows["all"].to_numpy())
-    return Model(table, learn, rate, log_k, tuple(fit_logistic(x, rows["toxic"].to_numpy(float))))
+    model = Model(None, learn, rate, log_k)  # for its calibration only
+
+    def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk in chunks(batches):
+            t = Tokens(chunk, learn)
+            x = [model.features(f, int(m)) for f, m in zip(shared.value.segments(t), np.diff(t.words.docs), strict=True)]
+            yield pa.RecordBatch.from_arrays([chunk.rows.column("toxic"), *(pa.array(c, pa.float64()) for c in zip(*x, strict=True))], ["toxic", "best", "all"])
+
+    rows = sample.mapInArrow(described, "toxic int, best double, all double").toPandas()  # at most learn.most rows
+    discard(sample)
+    return Model(table, learn, rate, log_k, tuple(fit_logistic(rows[["best", "all"]].to_numpy(), rows["toxic"].to_numpy(float))))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
