@@ -9,8 +9,8 @@ original vectors, until the chance that any vector nearer than its k-th best so
 lies in a leaf that far away is small: the chi-square distribution function at
 (projected distance / k-th distance) squared reaches ``confidence``.
 
-Queries meet blocks by number: each query is sent once to each block of at least
-``block`` vectors. The answers of the blocks, k of each, are merged by query.
+Queries meet blocks by number: each query is sent once to each block, of
+``least_block`` to ``most_block`` vectors. The answers of the blocks, k of each, are merged by query.
 
 Defined results: vectors that are null, zero, or have null or non-finite components,
 and rows without an id, take no part; a vector whose length differs from the query's
@@ -42,7 +42,8 @@ class Search:
     directions: int = 8
     confidence: float = 0.95
     leaf: int = 32
-    block: int = 8192  # vectors of a block, about
+    least_block: int = 4096  # vectors of a block: a 200th of all, within these bounds
+    most_block: int = 262_144
     seed: int = 7
 
 
@@ -129,7 +130,8 @@ def nearest(vectors: DataFrame, is_query, search: Search = Search(), id_name: st
     """query_id, rank, vec_id, score: the nearest found of each query row (a condition on vec_id)."""
     own = usable(vectors, id_name, vector_name)
     own = materialise(own, "vectors")
-    blocks = max(1, own.count() // search.block)
+    n = own.count()
+    blocks = max(1, n // min(max(n // 200, search.least_block), search.most_block))
     placed = own.withColumn("block", F.pmod(F.xxhash64("vec_id", "vector"), F.lit(blocks)).cast("int")).withColumn("asks", F.lit(False))
     asked = own.where(is_query(F.col("vec_id"))).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("asks", F.lit(True))
     dealt = placed.unionByName(asked.select(*placed.columns)).repartitionById(blocks, F.col("block"))
