@@ -391,3 +391,13 @@ def jaccard_components(docs: DataFrame, like: Similarity = Similarity()) -> Data
     placed = _with_component(reps.withColumnRenamed("doc_id", "node"), comp).select("n_shingles", "k0", "k1", "component")
     linked = keys.join(placed, ["n_shingles", "k0", "k1"], "left")
     return linked.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
+
+
+def keep_first(docs: DataFrame, like: Similarity = Similarity()) -> DataFrame:
+    """The rows of ``docs`` that are the first of their component, with all their columns.
+
+    Rows without an id, and rows of equal id, all stay.
+    """
+    placed = jaccard_components(docs, like)
+    gone = placed.where("component_id < doc_id").select(F.col("doc_id").alias("_gone")).distinct()
+    return docs.join(gone, docs["doc_id"].cast("long") == gone["_gone"], "left_anti")

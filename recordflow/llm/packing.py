@@ -19,8 +19,10 @@ packed as often as they occur; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import array
 import functools
 import os
+import re
 import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -34,16 +36,18 @@ from pyspark.sql import functions as F
 from .common import documents_view, materialise
 
 CACHE_ENTRIES = 400_000  # words kept by a worker
+BASE_ENTRIES = 1_200_000  # bases of words kept by a worker
 CACHE_CHARS = 48
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, task int, nth long"
 PACKED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 
 
 class WordTokenizer:
-    """Ids of a tokenizer that drops white space, by way of the words between spaces.
+    """Ids of a tokenizer that lower-cases and drops white space, by way of the words between spaces.
 
     Nothing such a tokenizer does reaches across a space, so a text's ids are those
-    of its words end to end; words come again and again and are kept.
+    of its words end to end. Words are kept, and so are their bases: of words in ASCII
+    the case does not matter, and punctuation after a last letter is encoded apart.
     Strings of special tokens in a text are ordinary text.
     """
 
@@ -54,23 +58,49 @@ class WordTokenizer:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.kept: dict[str, bytes] = {"": b""}
+        self.bases: dict[str, bytes] = {}
+
+    def _learn(self, words: set[str]) -> dict[str, bytes]:
+        parts, bases = {}, self.bases
+        for w in words:
+            if w.isascii():
+                m = _TAIL.search(low := w.lower())
+                parts[w] = (low[: m.start()], m[0]) if m else (low,)
+            else:
+                parts[w] = (w,)
+        missing = list({b for p in parts.values() for b in p if b not in bases})
+        if len(bases) + len(missing) > BASE_ENTRIES:
+            bases.clear()
+            missing = list({b for p in parts.values() for b in p})
+        for b, e in zip(missing, self.tokenizer.encode_batch(missing, add_special_tokens=False), strict=True):
+            bases[b] = array.array("I", e.ids).tobytes()
+        out = {w: b"".join([bases[b] for b in p]) for w, p in parts.items()}
+        for b in missing:
+            if len(b) > CACHE_CHARS:
+                del bases[b]
+        return out
 
     def encode(self, text: str) -> bytes:
-        """Little-endian 32-bit ids."""
+        """32-bit ids."""
         words = text.split(" ")
         kept = self.kept
-        missing = list({w for w in words if w not in kept})
-        extra = {}
-        if missing:
-            if len(kept) > CACHE_ENTRIES:
-                kept.clear()
-                kept[""] = b""
-                missing = list(set(words) - {""})
-            for w, e in zip(missing, self.tokenizer.encode_batch(missing, add_special_tokens=False), strict=True):
-                (kept if len(w) <= CACHE_CHARS else extra)[w] = np.array(e.ids, "<u4").tobytes()
-        if extra:
-            return b"".join([extra[w] if w in extra else kept[w] for w in words])
-        return b"".join(map(kept.__getitem__, words))
+        missing = set(words).difference(kept)
+        if not missing:
+            return b"".join(map(kept.__getitem__, words))
+        new = self._learn(missing)
+        if len(kept) > CACHE_ENTRIES:
+            kept.clear()
+            kept[""] = b""
+            new |= self._learn(set(words).difference(new, [""]))
+        kept.update(new)
+        ids = b"".join(map(kept.__getitem__, words))
+        for w in new:
+            if len(w) > CACHE_CHARS:
+                del kept[w]
+        return ids
+
+
+_TAIL = re.compile(r"(?<=[a-z])[^a-z0-9'\s\x00-\x1f\x7f]+$")
 
 
 @functools.cache
@@ -190,7 +220,7 @@ def pack(docs: DataFrame, encoder: Callable[[], Callable[[str], bytes]], end_id:
     plan = spark.sparkContext.broadcast(Plan(counts, capacity))
     before = F.sum("n").over(Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1))
     starts = per_task.select("length", "task", F.coalesce(before, F.lit(0)).alias("before"))
-    ranked = pieces.join(starts, ["length", "task"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("nth")).alias("rank"))
+    ranked = pieces.join(starts.hint("merge"), ["length", "task"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("nth")).alias("rank"))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from ..tables import table
-from . import blocks, byte_bpe, jaccard, media, neighbours, packing, suffixes, toxicity, warc
+from . import blocks, byte_bpe, jaccard, media, neighbours, packing, secret_scan, suffixes, toxicity, warc
 
 
 def op1_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,6 +43,10 @@ def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.store_documents(table(spark, sf_dir, "documents"))
 
 
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(table(spark, sf_dir, "documents"))
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.capture_index(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "urlkey", "captured", "archive", "offset", "size")
 
@@ -56,6 +60,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_byte_bpe": op6_byte_bpe,
     "op7_suffixes": op7_suffixes,
     "op8_media": op8_media,
+    "op9_secrets": op9_secrets,
     "op10_warc": op10_warc,
 }
 

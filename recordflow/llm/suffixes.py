@@ -357,3 +357,33 @@ def drop_repeats(docs: DataFrame, length: int = 50) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(x, pa.int64()) for x in c[:3]), pa.array(c[3])], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     return G.keyed(docs).join(spans, ["doc_id", "tag"], "left").select("doc_id", "text", "spans").mapInArrow(run, RESULT)
+
+
+def cut_repeats(docs: DataFrame, length: int = 50) -> DataFrame:
+    """The rows of ``docs`` without repeated strings; ``n_chars``, where there, is the new length.
+
+    A character of which a byte goes is gone as a whole, so that texts stay UTF-8.
+    """
+    spans = repeated_strings(docs, length)
+    keys = {"_doc": F.col("doc_id").cast("long"), "_tag": F.xxhash64(F.col("text").cast("string"))}
+    joined = docs.withColumns(keys).join(spans.select(F.col("doc_id").alias("_doc"), F.col("tag").alias("_tag"), F.col("spans").alias("_spans")), ["_doc", "_tag"], "left").drop("_doc", "_tag")
+    schema = docs.schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                i, texts, sizes = part.schema.get_field_index("text"), [], []
+                for value, found in zip(part.column("text").cast(pa.large_binary()).to_pylist(), part.column("_spans").to_pylist(), strict=True):
+                    gone = removed(value, found, length) if value else None
+                    if gone is not None:
+                        value = np.frombuffer(value, np.uint8)[~gone].tobytes().decode(errors="ignore").encode()
+                    texts.append(value)
+                out = part.drop_columns(["_spans"])
+                out = out.set_column(i, out.schema.field(i), pa.array(texts, pa.large_binary()).cast(out.schema.field(i).type))
+                if (k := out.schema.get_field_index("n_chars")) >= 0:
+                    sizes = [None if t is None else len(t.decode()) for t in texts]
+                    out = out.set_column(k, out.schema.field(k), pa.array(sizes, out.schema.field(k).type))
+                yield out
+
+    return joined.mapInArrow(run, schema)

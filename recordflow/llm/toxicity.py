@@ -336,3 +336,21 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 def toxicity(docs: DataFrame, labels: DataFrame, learn: Learning = Learning()) -> DataFrame:
     return score(docs, fit(docs, labels, learn))
+
+
+def keep_clean(docs: DataFrame, labels: DataFrame, learn: Learning = Learning()) -> DataFrame:
+    """The rows of ``docs`` whose text the model does not reject, with all their columns."""
+    model = fit(docs, labels, learn)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        for chunk in chunks(batches):
+            if m.table is None:
+                yield chunk.rows
+                continue
+            t = Tokens(chunk, m.learn)
+            x = [m.features(found, int(n)) for found, n in zip(m.segments(t), np.diff(t.words.docs), strict=True)]
+            yield chunk.rows.filter(pa.array(m.probability(np.array(x)) < 0.5))
+
+    return docs.mapInArrow(run, docs.schema)
