@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..tables import table
 from . import blocks, byte_bpe, jaccard, media, neighbours, packing, secret_scan, suffixes, toxicity, warc
+from .oracles import ORACLE_SQL  # noqa: F401
 
 
 def op1_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,7 +49,7 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.capture_index(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "urlkey", "captured", "archive", "offset", "size")
+    return warc.capture_index(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -62,6 +63,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_media": op8_media,
     "op9_secrets": op9_secrets,
     "op10_warc": op10_warc,
-}
-
-ORACLE_SQL: dict[str, str] = {}
+}
\ No newline at end of file

@@ -1,0 +1,185 @@
+"""Neighbours, toxicity, secrets and the pipeline: recall, held-out accuracy, brute force and awkward rows."""
+
+from __future__ import annotations
+
+import random
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from recordflow.llm import neighbours, secret_scan, toxicity
+
+from .conftest import DOCS, rows
+
+VECTORS = "vec_id long, embedding array<float>, block int, score double"
+
+
+def brute_nearest(vectors, k):
+    out = {}
+    for q, v in vectors:
+        if q % 100:
+            continue
+        far = {}
+        for i, w in vectors:
+            if i != q and len(w) == len(v):
+                d = float(np.sqrt(((np.array(w, np.float32).astype(float) - np.array(v, np.float32).astype(float)) ** 2).sum()))
+                far[i] = min(d, far.get(i, d))
+        out[q] = sorted((d, i) for i, d in far.items())[:k]
+    return out
+
+
+def test_neighbours(spark):
+    rng = np.random.default_rng(1)
+    centres = rng.standard_normal((12, 16))
+    made = [(i, (centres[i % 12] + 0.3 * rng.standard_normal(16)).tolist()) for i in range(1500)]
+    made[7] = (7, made[0][1])
+    made += [(2000, made[0][1]), (2001, [0.5] * 3), (2100, [0.25] * 3), made[9]]
+    bad = [(3000, None), (3100, [0.0] * 16), (3200, [float("nan")] + [1.0] * 15), (3300, [float("inf")] + [1.0] * 15), (3400, [None] + [1.0] * 15), (None, [1.0] * 16), (3500, [])]
+    df = spark.createDataFrame([(i, v, 1, 2.0) for i, v in made + bad], VECTORS).repartition(5)
+    search = neighbours.Search(least_block=400)
+    got = {}
+    for r in neighbours.nearest(df, lambda i: i % 100 == 0, search).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((r["score"], r["vec_id"]))
+        assert r["rank"] == len(got[r["query_id"]])
+    want = brute_nearest(made, 10)
+    assert set(got) == {q for q, w in want.items() if w}
+    found = sum(len({i for _, i in got[q]} & {i for _, i in w}) for q, w in want.items() if w)
+    assert found >= 0.95 * sum(map(len, want.values()))
+    assert [i for _, i in got[0][:2]] == [7, 2000] and got[0][0][0] == 0.0
+    assert got[2100] == [(pytest.approx(0.25 * 3**0.5), 2001)]
+    for q in got:
+        assert got[q] == sorted(got[q])
+    none = spark.createDataFrame([], VECTORS)
+    assert neighbours.nearest(none, lambda i: i % 100 == 0).collect() == []
+
+
+def test_chi_square():
+    x = np.array([0.0, 2.733, 15.507, 20.09])  # of 8 degrees: 0, 0.05, 0.95, 0.99
+    assert np.allclose(neighbours.chi_square_cdf(x, 8), [0, 0.05, 0.95, 0.99], atol=1e-3)
+
+
+def test_segments_against_brute_force():
+    r = random.Random(2)
+    for _ in range(300):
+        score = [r.choice([-3, -2, -1, 1, 2, 4]) for _ in range(r.randint(1, 12))]
+        got = toxicity.maximal_segments(list(range(len(score))), list(range(len(score))), [float(s) for s in score])
+
+        def best(a, b):  # segments by definition: the best one, then what is left of it on either side
+            if a >= b:
+                return []
+            total, i, j = max((sum(score[i:j]), i - j, -i, j) for i in range(a, b) for j in range(i + 1, b + 1))[0], 0, 0
+            if total <= 0:
+                return []
+            i, j = min(((i, j) for i in range(a, b) for j in range(i + 1, b + 1) if sum(score[i:j]) == total), key=lambda x: (x[1] - x[0], x[0]))
+            return best(a, i) + [(i, j - 1, total)] + best(j, b)
+
+        assert sorted(x[2] for x in got) == sorted(x[2] for x in best(0, len(score)))
+
+
+def toxic_corpus(n=900):
+    r = random.Random(9)
+    word = lambda: "".join(r.choice(["an", "er", "the", "in", "st", "re", "tion"]) for _ in range(r.randint(1, 4)))
+    texts, labels = [], []
+    for i in range(n):
+        w = [word() for _ in range(r.randint(5, 300))]
+        toxic = i % 7 == 0
+        if toxic:
+            for _ in range(3 + len(w) // 30):
+                w.insert(r.randrange(len(w)), r.choice(["moronic", "vilescum", "trashperson"]))
+        texts.append((i, " ".join(w)))
+        labels.append((i, int(toxic)))
+    return texts, labels
+
+
+def test_toxicity(spark):
+    texts, labels = toxic_corpus()
+    texts += [(5000, None), (5001, ""), (None, "moronic"), texts[3], texts[3]]
+    extra = [(7777, 1), (None, 1), (1, None)]
+    docs = spark.createDataFrame(rows(texts), DOCS)
+    lab = spark.createDataFrame([(i, 0, t) for i, t in labels + extra], "doc_id long, quality int, toxic int")
+    got = toxicity.toxicity(docs, lab).collect()
+    assert Counter(r["doc_id"] for r in got) == Counter(i for i, _ in texts)
+    truth, seen = dict(labels), Counter()
+    for r in got:
+        assert 0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.5)
+        if r["doc_id"] is not None:
+            assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0)
+        if r["held_out"] and r["doc_id"] in truth:
+            seen[truth[r["doc_id"]], r["predicted"]] += 1
+    assert seen[1, 1] >= 0.9 * (seen[1, 0] + seen[1, 1]) and seen[0, 1] <= 0.03 * (seen[0, 0] + seen[0, 1])
+    by = {r["doc_id"]: r for r in got}
+    text = dict(texts)[0].encode()
+    spans = [text[p["start"] : p["end"]].decode() for p in by[0]["passages"]]
+    assert spans and any(w in s for s in spans for w in ("moronic", "vilescum", "trashperson"))
+    assert by[5000]["score"] == by[5001]["score"] and not by[5000]["passages"]
+    flipped = lab.withColumn("toxic", F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, 1 - F.col("toxic")).otherwise(F.col("toxic")))
+    assert {(r["doc_id"], r["score"]) for r in toxicity.toxicity(docs, flipped).collect()} == {(r["doc_id"], r["score"]) for r in got}  # held-out labels are no input
+    kept = toxicity.keep_clean(docs, lab)
+    assert kept.columns == docs.columns and Counter(r["doc_id"] for r in kept.collect()) == Counter(r["doc_id"] for r in got if not r["predicted"])
+
+
+def test_toxicity_without_labels(spark, no_docs):
+    lab = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    docs = spark.createDataFrame(rows([(1, "some text"), (2, None)]), DOCS)
+    assert [(r["score"], r["predicted"]) for r in toxicity.toxicity(docs, lab).collect()] == [(0.0, 0)] * 2
+    assert toxicity.keep_clean(docs, lab).count() == 2
+    assert toxicity.toxicity(no_docs, lab).collect() == []
+
+
+def test_forest():
+    held = secret_scan.labelled_findings(1000, seed=77)
+    x, y = np.array([secret_scan.features(*f[:3]) for f in held]), np.array([f[3] for f in held])
+    right = (secret_scan.default_forest().scores(x) >= 0.5) == y
+    assert right.mean() >= 0.97
+
+
+def test_secret_scan(spark, docs, texts, no_docs):
+    token, sha = "0f3c9a7be1d24485a6c07d9e2b1f8c3340aa91ce", "9e107d9d372bb6826bd81d3542a419d6"
+    made = [(1, f'le mot token = "{token}" et la fin é'), (2, f"commit {sha} of the build"), (3, None), (4, ""), (5, "just words and /usr/local/lib/python3/module.html here"), (6, f'a password: "Zq8#kLmP0w!x" b token = "{token}"')]
+    df = spark.createDataFrame(rows(made + made[:1]), DOCS)
+    got = {r["doc_id"]: r for r in secret_scan.scan(df).collect()}
+    assert [got[i]["n_secrets"] for i in range(1, 7)] == [1, 0, 0, 0, 0, 2]
+    (f,) = [f for f in got[1]["findings"] if f["score"] >= 0.5]
+    assert made[0][1].encode()[f["start"] : f["end"]].decode() == token
+    masked = {r["doc_id"]: r["text"] for r in secret_scan.mask_column(df).collect()}
+    assert masked[1] == 'le mot token = "<secret>" et la fin é' and masked[2] == made[1][1] and masked[3] is None
+    plain = secret_scan.mask_column(docs)
+    assert Counter(tuple(r) for r in plain.collect()) == Counter(tuple(r) for r in docs.collect())
+    assert secret_scan.scan(no_docs).collect() == []
+
+
+def test_candidates_apart():
+    r = random.Random(3)
+    for _ in range(300):
+        text = "".join(r.choice(["token=", '"', " ", "aB3dE6gH9kL2", "AKIA", "ghp_", "word", "é"]) for _ in range(r.randint(0, 20))).encode()
+        spans = secret_scan.candidates(text)
+        assert all(a < b <= c for (a, b), (c, _) in zip(spans, spans[1:], strict=False)) and all(a < b for a, b in spans)
+
+
+def test_pipeline(spark, tmp_path):
+    texts, labels = toxic_corpus(150)
+    base = texts[1][1]
+    texts += [(1000, base + " tail"), (1001, base), (1002, 'x token = "0f3c9a7be1d24485a6c07d9e2b1f8c3340aa91ce" y'), (1003, None), (1004, "")]
+    columns = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame([r[:5] for r in rows(texts)], columns).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, 0, t) for i, t in labels], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    names = [n for n, _ in corpus_pipeline.STAGES]
+    assert names == ["toxicity", "jaccard", "suffixes", "secrets", "packing"]
+    out = {}
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
+        docs = stage(spark, docs, str(tmp_path))
+        assert docs.columns == columns.replace(" long", "").replace(" string", "").split(", ")
+        docs.write.parquet(str(tmp_path / f"s{k}"))
+        docs = spark.read.parquet(str(tmp_path / f"s{k}"))
+        out[name] = {r["doc_id"]: r["text"] for r in docs.collect()}
+    clean = {i for i, t in labels if not t}
+    assert len(set(out["toxicity"]) & clean) >= 0.97 * len(clean)
+    assert 1001 not in out["jaccard"] and 1 in out["jaccard"] and set(out["suffixes"]) == set(out["jaccard"]) == set(out["secrets"])
+    assert out["secrets"][1002] == 'x token = "<secret>" y'
+    rows_of = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert {r["doc_id"] for r in rows_of} == set(out["secrets"])
