@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import functools
 import gc
-import tempfile
+import time
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -19,24 +19,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shared import hadoop_path, shared_dir
+
 CHUNK_BYTES = 2 << 20  # text handled at once; a longer document is a chunk of its own
 MASK = (1 << 64) - 1
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)  # odd, so that they have inverses
 U64 = np.uint64
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Only where that is unset (tests on one machine) a temporary folder is set.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='recordflow-shared-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
-
-
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
@@ -48,19 +38,28 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     schema = df.schema
     del df
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    release(spark)
     back = spark.read.schema(schema).parquet(path)
     back._recordflow_path = path
     return back
 
 
+def release(spark: SparkSession) -> None:
+    """Let go of the shuffle files of plans that have ended.
+
+    Spark deletes them once the driver has collected the plan as garbage; what the
+    end of the job still holds takes a second collection.
+    """
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.25)
+
+
 def discard(df: DataFrame) -> None:
     """Delete a table written by ``materialise`` that no later plan reads."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(df._recordflow_path)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    path, store = hadoop_path(df.sparkSession, df._recordflow_path)
+    store.delete(path, True)
 
 
 def partitions(spark: SparkSession) -> int:
@@ -85,11 +84,11 @@ def powers(n: int, which: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Powers 0..n-1 of a base, and of its inverse."""
     got = _POWERS.get(which)
     if got is None or len(got[0]) < n:
-        n = max(n, 1 << 16)
+        size = max(n, 1 << 16)
         base = BASES[which]
         both = []
         for b in (base, pow(base, -1, 1 << 64)):
-            steps = np.full(n, b, U64)
+            steps = np.full(size, b, U64)
             steps[0] = 1
             both.append(np.cumprod(steps))
         _POWERS[which] = got = (both[0], both[1])
