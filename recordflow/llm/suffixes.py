@@ -4,8 +4,8 @@ A string of ``length`` bytes belongs to its anchor: the ``GRAM`` bytes in it who
 hash is least, leftmost on ties. Where a string is repeated, so is its anchor at the
 same distance, so repeats only need to be sought among the places of one anchor.
 
-1. Anchors are dealt by hash; those that occur once are done with. An anchor that one
-   group of documents holds twice settles there and is sent once.
+1. Anchors are dealt by hash, each once for a group of documents; those that occur once
+   in all are done with.
 2. Each occurrence of the others sends its context: the bytes of all the strings that
    belong to it. Contexts that one group of documents shares are sent once, for the
    smallest id. Anchors with very many occurrences send each string as a context of
@@ -30,6 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,7 +42,7 @@ GRAM = 25
 GROUP_ANCHORS = 1_500_000  # anchors of a group of documents
 GROUP_CONTEXT_BYTES = 24 << 20  # contexts of a group
 BATCH = 4096  # contexts that get a suffix array together
-COMMON = 2000  # an anchor with more occurrences (after those settled in groups) sends single strings
+COMMON = 2000  # an anchor that more groups of documents hold sends single strings
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 LOW = U64(0xFFFFFFFF)
 
@@ -83,16 +84,17 @@ def anchors(docs: DataFrame, length: int, parts: int) -> DataFrame:
         h, place = h[order], place[order]
         cuts = runs(h)
         many = np.diff(cuts)
-        own = np.repeat(many > 1, many)
-        found = np.sort(place[own])
         one = cuts[:-1]
-        h, place = h[one], place[one]
+        again = np.ones(len(h), bool)
+        again[one] = False
+        alike = (place[again].astype(np.uint32), np.repeat(place[one], many)[again].astype(np.uint32))
+        h, place = h[one], place[one] << 1 | (many > 1)  # the lowest bit: this group has it more than once
         data = []
         for p, a, b in G.by_part(part_of(h, parts)):
             low = h[a:b] & LOW
             by = np.argsort(low)
             data.append((p, G.dump(np.diff(low[by], prepend=U64(0)).astype(np.uint32), place[a:b][by].astype(np.uint32))))
-        return group.rows(parts, data, (found.astype(np.uint32), np.zeros(len(found), np.uint32)))
+        return group.rows(parts, data, None, alike)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group = G.Group()
@@ -101,7 +103,7 @@ def anchors(docs: DataFrame, length: int, parts: int) -> DataFrame:
             bases = group.add(chunk.ids, chunk.rows.column("tag").to_numpy(), np.diff(chunk.bounds))
             group.held.append((a.hash, bases[a.doc] + a.start - chunk.bounds[a.doc]))
             group.weight += len(a.hash)
-            if group.weight >= GROUP_ANCHORS or group.size >= 1 << 31:
+            if group.weight >= GROUP_ANCHORS or group.size >= 1 << 30:
                 yield flush(group)
         if group.size:
             yield flush(group)
@@ -121,9 +123,12 @@ def shared_anchors(rows: DataFrame) -> DataFrame:
             grp = np.repeat([g for g, _ in data], [len(u[0]) for u in unpacked])
             del unpacked, data
             order = np.argsort(h)
-            many = np.diff(runs(h[order]))
-            at = order[np.repeat(many > 1, many)]
-            common = np.repeat(many > COMMON, many)[np.repeat(many > 1, many)].astype(np.uint32)
+            cuts = runs(h[order])
+            many = np.diff(cuts)
+            good = (many > 1) | (np.maximum.reduceat(place[order] & 1, cuts[:-1]) > 0)
+            at = order[np.repeat(good, many)]
+            common = np.repeat(many[good] > COMMON, many[good]).astype(np.uint32)
+            place >>= np.uint32(1)
             by = np.lexsort((place[at], grp[at]))
             out += G.answers(grp[at][by], place[at][by], common[by])
         yield G.packed(out)
@@ -142,6 +147,7 @@ def contexts(docs: DataFrame, length: int, parts: int) -> DataFrame:
     """Packed contexts of the shared anchors of each document (columns doc_id, tag, text, spans)."""
 
     def flush(group: G.Group) -> pa.RecordBatch:
+        packer = zstandard.ZstdCompressor(level=3)
         a, c, doc, place, count = (np.concatenate([x[k] for x in group.held]) for k in range(5))
         text = np.concatenate([x[5] for x in group.held])
         size = count + length - 1
@@ -161,7 +167,7 @@ def contexts(docs: DataFrame, length: int, parts: int) -> DataFrame:
         for p, x, y in G.by_part(part[order]):
             own = left[x:y]
             ids, index = np.unique(doc[own], return_inverse=True)
-            data.append((p, G.dump(a[own], c[own], ids, index.astype(np.uint32), place[own].astype(np.uint32), count[own].astype(np.uint8)) + gather_bytes(text, begin[own], size[own]).tobytes()))
+            data.append((p, G.dump(a[own], c[own], ids, index.astype(np.uint32), place[own].astype(np.uint32), count[own].astype(np.uint8)) + packer.compress(gather_bytes(text, begin[own], size[own]).tobytes())))
         return group.rows(parts, data, (place[by_place].astype(np.uint32), count[by_place].astype(np.uint32)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -313,8 +319,9 @@ def covered(rows: DataFrame, length: int) -> DataFrame:
 
 
 def split_context(payload: bytes) -> tuple[list[np.ndarray], np.ndarray]:
-    """The six arrays of a packed row of contexts, and the bytes after them."""
-    return G.load_some(payload, 6)
+    """The six arrays of a packed row of contexts, and the contexts themselves."""
+    fields, rest = G.load_some(payload, 6)
+    return fields, np.frombuffer(zstandard.ZstdDecompressor().decompress(rest.tobytes()), np.uint8)
 
 
 def repeated_strings(docs: DataFrame, length: int = 50) -> DataFrame:
@@ -365,8 +372,8 @@ def cut_repeats(docs: DataFrame, length: int = 50) -> DataFrame:
     A character of which a byte goes is gone as a whole, so that texts stay UTF-8.
     """
     spans = repeated_strings(docs, length)
-    keys = {"_doc": F.col("doc_id").cast("long"), "_tag": F.xxhash64(F.col("text").cast("string"))}
-    joined = docs.withColumns(keys).join(spans.select(F.col("doc_id").alias("_doc"), F.col("tag").alias("_tag"), F.col("spans").alias("_spans")), ["_doc", "_tag"], "left").drop("_doc", "_tag")
+    keys = {"__rf_doc": F.col("doc_id").cast("long"), "__rf_tag": F.xxhash64(F.col("text").cast("string"))}
+    joined = docs.withColumns(keys).join(spans.select(F.col("doc_id").alias("__rf_doc"), F.col("tag").alias("__rf_tag"), F.col("spans").alias("__rf_spans")), ["__rf_doc", "__rf_tag"], "left").drop("__rf_doc", "__rf_tag")
     schema = docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -374,12 +381,12 @@ def cut_repeats(docs: DataFrame, length: int = 50) -> DataFrame:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 i, texts, sizes = part.schema.get_field_index("text"), [], []
-                for value, found in zip(part.column("text").cast(pa.large_binary()).to_pylist(), part.column("_spans").to_pylist(), strict=True):
+                for value, found in zip(part.column("text").cast(pa.large_binary()).to_pylist(), part.column("__rf_spans").to_pylist(), strict=True):
                     gone = removed(value, found, length) if value else None
                     if gone is not None:
                         value = np.frombuffer(value, np.uint8)[~gone].tobytes().decode(errors="ignore").encode()
                     texts.append(value)
-                out = part.drop_columns(["_spans"])
+                out = part.drop_columns(["__rf_spans"])
                 out = out.set_column(i, out.schema.field(i), pa.array(texts, pa.large_binary()).cast(out.schema.field(i).type))
                 if (k := out.schema.get_field_index("n_chars")) >= 0:
                     sizes = [None if t is None else len(t.decode()) for t in texts]
