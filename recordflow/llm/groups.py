@@ -130,8 +130,11 @@ def answers(grp: np.ndarray, *fields: np.ndarray) -> list[tuple[int, int, int, b
     return [(0, g, FOUND, dump(*(f[a:b] for f in fields))) for g, a, b in by_part(grp)]
 
 
-def per_document(rows: DataFrame, parts: int) -> DataFrame:
-    """What was found of each document, from packed rows: its places from 0, and what is told of them."""
+def per_document(rows: DataFrame, parts: int, once: bool = True) -> DataFrame:
+    """What was found of each document, from packed rows: its places from 0, and what is told of them.
+
+    With ``once`` rows of equal id and tag, which repeat and are told the same, give one row.
+    """
     dealt = rows.repartition(parts, "grp").sortWithinPartitions("grp", "kind")
 
     def close(held: list, table: list | None, alike: list) -> pa.RecordBatch | None:
@@ -170,7 +173,8 @@ def per_document(rows: DataFrame, parts: int) -> DataFrame:
         if (done := close(held, table, alike)) is not None:
             yield done
 
-    return dealt.mapInArrow(run, SPANS).groupBy("doc_id", "tag").agg(F.first("spans").alias("spans"))
+    out = dealt.mapInArrow(run, SPANS)
+    return out if not once else out.groupBy("doc_id", "tag").agg(F.first("spans").alias("spans"))
 
 
 def deal(rows: DataFrame, parts: int) -> DataFrame:
