@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import array
 import functools
+import json
 import os
 import re
 import zlib
@@ -35,72 +36,87 @@ from pyspark.sql import functions as F
 
 from .common import documents_view, materialise
 
-CACHE_ENTRIES = 400_000  # words kept by a worker
-BASE_ENTRIES = 1_200_000  # bases of words kept by a worker
-CACHE_CHARS = 48
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, task int, nth long"
 PACKED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 
 
-class WordTokenizer:
-    """Ids of a tokenizer that lower-cases and drops white space, by way of the words between spaces.
+def merge_pairs(symbols: list[str], ranks: dict[tuple[str, str], int]) -> list[str]:
+    """Merges of pairs by rank, leftmost first."""
+    symbols = list(symbols)
+    while len(symbols) > 1:
+        best = min((ranks.get(p, len(ranks)), i) for i, p in enumerate(zip(symbols, symbols[1:], strict=False)))
+        if best[0] == len(ranks):
+            break
+        symbols[best[1] : best[1] + 2] = ["".join(symbols[best[1] : best[1] + 2])]
+    return symbols
+
 
-    Nothing such a tokenizer does reaches across a space, so a text's ids are those
-    of its words end to end. Words are kept, and so are their bases: of words in ASCII
-    the case does not matter, and punctuation after a last letter is encoded apart.
+class WordTokenizer:
+    """Ids of a byte-level BPE tokenizer with word ends that lower-cases and drops white space.
+
+    Texts of ASCII and Latin letters need no normalisation beyond lower case. Their words
+    are cut by a plain pattern, each gets the byte 0 as its end, and a second encoder
+    merges them: its ranks have a letter and the end first and then the tokenizer's
+    merges in order, by the bytes of what they make. A token that its own letters don't
+    merge to is left out, as the tokenizer can't make it; of the others only the pair
+    that makes a token can come to stand side by side, so merges by bytes are merges by
+    pair. All other texts go to the tokenizer itself.
     Strings of special tokens in a text are ordinary text.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.kept: dict[str, bytes] = {"": b""}
-        self.bases: dict[str, bytes] = {}
-
-    def _learn(self, words: set[str]) -> dict[str, bytes]:
-        parts, bases = {}, self.bases
-        for w in words:
-            if w.isascii():
-                m = _TAIL.search(low := w.lower())
-                parts[w] = (low[: m.start()], m[0]) if m else (low,)
-            else:
-                parts[w] = (w,)
-        missing = list({b for p in parts.values() for b in p if b not in bases})
-        if len(bases) + len(missing) > BASE_ENTRIES:
-            bases.clear()
-            missing = list({b for p in parts.values() for b in p})
-        for b, e in zip(missing, self.tokenizer.encode_batch(missing, add_special_tokens=False), strict=True):
-            bases[b] = array.array("I", e.ids).tobytes()
-        out = {w: b"".join([bases[b] for b in p]) for w, p in parts.items()}
-        for b in missing:
-            if len(b) > CACHE_CHARS:
-                del bases[b]
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        vocab, end = model["vocab"], model["end_of_word_suffix"]
+        merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
+        ranks, ids, order = {bytes([b]): b for b in range(256)}, [0] * 512, {m: i for i, m in enumerate(merges)}
+        letter_bytes = self._letter_bytes()
+        for letter, b in letter_bytes.items():
+            ranks[bytes([b, 0])] = 256 + b
+            ids[b], ids[256 + b] = vocab[letter], vocab[letter + end]
+        for a, b in merges:
+            token = a + b
+            body = token.removesuffix(end)
+            symbols = list(body) if body == token else [*body[:-1], body[-1] + end]
+            if len(symbols) > 1 and merge_pairs(symbols, order) == [token]:
+                ranks[bytes(letter_bytes[c] for c in body) + (b"" if body == token else b"\0")] = len(ids)
+                ids.append(vocab[token])
+        self.ids = np.array(ids, "<u4")
+        self.merger = tiktoken.Encoding("words", pat_str=r"[^\x00]+\x00", mergeable_ranks=ranks, special_tokens={})
+
+    @staticmethod
+    def _letter_bytes() -> dict[str, int]:
+        """The bytes that a byte-level vocabulary's letters stand for: printable ones themselves, the others from U+0100 on."""
+        from tokenizers.pre_tokenizers import ByteLevel
+
+        letters = set(ByteLevel.alphabet())
+        own = {chr(b): b for b in range(256) if chr(b) in letters}
+        out = own | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if chr(b) not in own)}
+        if set(out) != letters:
+            raise ValueError("the vocabulary maps bytes to letters in another way")
         return out
 
     def encode(self, text: str) -> bytes:
         """32-bit ids."""
-        words = text.split(" ")
-        kept = self.kept
-        missing = set(words).difference(kept)
-        if not missing:
-            return b"".join(map(kept.__getitem__, words))
-        new = self._learn(missing)
-        if len(kept) > CACHE_ENTRIES:
-            kept.clear()
-            kept[""] = b""
-            new |= self._learn(set(words).difference(new, [""]))
-        kept.update(new)
-        ids = b"".join(map(kept.__getitem__, words))
-        for w in new:
-            if len(w) > CACHE_CHARS:
-                del kept[w]
-        return ids
-
-
-_TAIL = re.compile(r"(?<=[a-z])[^a-z0-9'\s\x00-\x1f\x7f]+$")
+        if _UNUSUAL.search(text):
+            return array.array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+        words = _WORDS.findall(text.lower())
+        if not words:
+            return b""
+        words.append("")
+        return self.ids[self.merger.encode_to_numpy("\0".join(words), disallowed_special=())].tobytes()
+
+
+# Latin letters that lower-casing and composition leave one letter each, and the marks of some languages beside ASCII.
+_LETTERS, _MARKS = "a-z\xdf-\xf6\xf8-\xff", "\xa1\xab\xbb\xbf"
+_UNUSUAL = re.compile(f"[^\t-\r -~\xc0-\xd6\xd8-\xde{_LETTERS}{_MARKS}]")
+_WORDS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[!-/:-@\\[-`{{-~{_MARKS}]+")
 
 
 @functools.cache
