@@ -12,13 +12,15 @@ and the next lower one.
 1. Documents with equal sets are one class, known by its smallest id.
 2. Class representatives send the hashes of their segments, dealt by hash; a group of
    documents sends an equal hash once, with counts. Each partition answers how many
-   partners a segment would bring, and the smallest of them.
+   partners a segment would bring.
 3. Each representative picks the cheapest segments that reach U + 1 (a hot or empty
    segment is skipped where others suffice). A picked segment without partners costs
    nothing; most have none.
-4. Each picked segment gives a pair with the smallest partner; pairs are verified
-   exactly on the whole sets. Candidates that these links don't connect already are
-   then verified too, a growing number of partners of each segment at a time, until
+4. A token that no other candidate's set has differs from every partner, whatever its
+   segment: two sets with more such tokens than the bound can't link and are no pair.
+5. Each picked segment gives a pair with its partner of the fewest lone tokens; pairs are
+   verified exactly on the whole sets. Candidates that these links don't connect already
+   are then verified too, a growing number of partners of each segment at a time, until
    every candidate is verified or in one component.
 
 Defined results: null texts and texts without words have no shingles and are their own
@@ -45,9 +47,8 @@ from .common import BASES, U64, Chunk, Words, chunks, discard, materialise, mix,
 from .components import components
 
 GROUP_ENTRIES = 1_000_000  # segment hashes of a group of documents
-NONE = np.iinfo(np.int64).max
 LOW = U64(0xFFFFFFFF)
-MEMBERS = "key long, node long, n int, form int, own boolean, wants0 boolean, wants1 boolean, least0 long, least1 long"
+MEMBERS = "key long, node long, n int, form int, own boolean, wants0 boolean, wants1 boolean"
 
 
 @dataclass(frozen=True)
@@ -179,25 +180,21 @@ def signatures(docs: DataFrame, like: Similarity, parts: int) -> DataFrame:
     """Packed segment hashes of representatives (columns doc_id, text, tag); the lower half of a tag becomes the set's size."""
 
     def flush(group: G.Group) -> pa.RecordBatch:
-        h, place, form, own, node = (np.concatenate([x[k] for x in group.held]) for k in range(5))
+        h, place, form, own = (np.concatenate([x[k] for x in group.held]) for k in range(4))
         order = np.lexsort((form, h))
-        h, place, form, own, node = h[order], place[order], form[order], own[order], node[order]
+        h, place, form, own = h[order], place[order], form[order], own[order]
         new = np.ones(len(h), bool)
         new[1:] = (h[1:] != h[:-1]) | (form[1:] != form[:-1])
         first = np.flatnonzero(new)
         size = np.diff(np.append(first, len(h)))
-        alike = None
         held = np.add.reduceat(own.astype(np.int64), first) if len(first) else first
-        least = np.minimum.reduceat(np.where(own, node, NONE), first) if len(first) else first
-        if (size > 1).any():
-            alike = (place[~new].astype(np.uint32), np.repeat(place[first], size)[~new].astype(np.uint32))
-        h, place, form, count = h[first], place[first], form[first], size
+        alike = (place[~new].astype(np.uint32), np.repeat(place[first], size)[~new].astype(np.uint32))
+        h, place, form = h[first], place[first], form[first]
         data = []
         for p, a, b in G.by_part(part_of(h, parts)):
             low = h[a:b] & LOW
             by = np.argsort(low)
-            ids, index = np.unique(least[a:b][by], return_inverse=True)
-            data.append((p, G.dump(np.diff(low[by], prepend=U64(0)).astype(np.uint32), place[a:b][by].astype(np.uint32), form[a:b][by], count[a:b][by].astype(np.uint32), held[a:b][by].astype(np.uint32), ids, index.astype(np.uint32))))
+            data.append((p, G.dump(np.diff(low[by], prepend=U64(0)).astype(np.uint32), place[a:b][by].astype(np.uint32), form[a:b][by], size[a:b][by].astype(np.uint32), held[a:b][by].astype(np.uint32))))
         return group.rows(parts, data, None, alike)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -210,7 +207,7 @@ def signatures(docs: DataFrame, like: Similarity, parts: int) -> DataFrame:
             tags = chunk.rows.column("tag").to_numpy() & ~np.int64(LOW) | s.n
             bases = group.add(chunk.ids, tags, np.where(s.n > 0, slots, 0))
             for doc, slot, h, form, own in segment_entries(s, like):
-                group.held.append((h, bases[doc] + slot, form, own, chunk.ids[doc].astype(np.int64)))
+                group.held.append((h, bases[doc] + slot, form, own))
                 group.weight += len(h)
             if group.weight >= GROUP_ENTRIES:
                 yield flush(group)
@@ -221,7 +218,7 @@ def signatures(docs: DataFrame, like: Similarity, parts: int) -> DataFrame:
 
 
 def shared_segments(rows: DataFrame) -> DataFrame:
-    """Of each partition, the entries with partners: place, hash, form, partners whole and with a deletion, the least of each."""
+    """Of each partition, the entries with partners: place, hash, form, partners whole and with a deletion."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         data, out = G.incoming(batches)
@@ -230,23 +227,18 @@ def shared_segments(rows: DataFrame) -> DataFrame:
             unpacked = [G.load(p) for _, p in data]
             h = np.concatenate([np.cumsum(u[0], dtype=np.uint32) for u in unpacked])
             place, form, count, held = (np.concatenate([u[k] for u in unpacked]) for k in (1, 2, 3, 4))
-            least = np.concatenate([u[5][u[6]] for u in unpacked])
             grp = np.repeat([g for g, _ in data], [len(u[0]) for u in unpacked])
             del unpacked, data
             order = np.argsort(h)
             cuts = runs(h[order])
             many = np.diff(cuts)
-            told = []
-            for f in (0, 1):
-                mine = form[order] == f
-                told.append(np.add.reduceat(np.where(mine, held[order], 0).astype(np.int64), cuts[:-1]))
-                told.append(np.minimum.reduceat(np.where(mine, least[order], NONE), cuts[:-1]))
+            told = [np.add.reduceat(np.where(form[order] == f, held[order], 0).astype(np.int64), cuts[:-1]) for f in (0, 1)]
             whole = np.add.reduceat((form[order] == 0).astype(np.int64), cuts[:-1])
-            good = (np.add.reduceat(count[order].astype(np.int64), cuts[:-1]) > 1) & (whole > 0) & (told[0] + told[2] > 0)
+            good = (np.add.reduceat(count[order].astype(np.int64), cuts[:-1]) > 1) & (whole > 0) & (told[0] + told[1] > 0)
             at = order[np.repeat(good, many)]
-            n0, l0, n1, l1 = (np.repeat(t[good], many[good]) for t in told)
+            n0, n1 = (np.repeat(t[good], many[good]) for t in told)
             key = (np.int64(part) << 32) | h[at].astype(np.int64)
-            out += G.answers(grp[at], place[at], key, form[at], n0.astype(np.uint32), n1.astype(np.uint32), l0, l1)
+            out += G.answers(grp[at], place[at], key, form[at], n0.astype(np.uint32), n1.astype(np.uint32))
         yield G.packed(out)
 
     return rows.mapInArrow(run, G.PACKED)
@@ -295,7 +287,7 @@ def members(found: DataFrame, like: Similarity) -> DataFrame:
                 own, w0, w1 = pick(n, f, like)
                 keep = own | w0 | w1
                 k = int(keep.sum())
-                out.append((f[1][keep], np.full(k, node), np.full(k, n, np.int32), f[2][keep].astype(np.int32), own[keep], w0[keep], w1[keep], f[5][keep], f[6][keep]))
+                out.append((f[1][keep], np.full(k, node), np.full(k, n, np.int32), f[2][keep].astype(np.int32), own[keep], w0[keep], w1[keep]))
                 size += k
                 if size > 200_000:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names)
@@ -338,8 +330,26 @@ def set_table(docs: DataFrame, like: Similarity) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "node long, members binary")
 
 
-def _close(x, y, percent: int):
-    return F.least(x, y) * 100 >= F.greatest(x, y) * percent
+def lone_tokens(sets: DataFrame) -> DataFrame:
+    """node, lone: how many tokens of a node no other set of the table has; 0 for nodes of several sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                token = [np.frombuffer(x.as_buffer(), np.int64) for x in part.column("members")]
+                node = np.repeat(part.column("node").to_numpy(), [len(t) for t in token])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(token)), pa.array(node)], ["token", "node"])
+
+    single = sets.mapInArrow(run, "token long, node long").groupBy("token").agg(F.count("*").alias("n"), F.min("node").alias("node")).where("n = 1")
+    several = sets.groupBy("node").count().where("count > 1").select("node")
+    return single.groupBy("node").agg(F.count("*").alias("lone")).join(several, "node", "left_anti")
+
+
+def can_link(n, lone, m, other_lone, percent: int):
+    """Whether sets of sizes n and m can link when so many tokens of each are in no other set."""
+    most = F.least(n - lone, m - other_lone, F.floor((n + m - lone - other_lone) / 2))
+    return most * 100 >= (n + m - most) * percent
 
 
 def _with_component(nodes: DataFrame, comp: DataFrame) -> DataFrame:
@@ -350,25 +360,37 @@ def links_of(own: DataFrame, reps: DataFrame, like: Similarity) -> DataFrame:
     """node, component of the representatives that link (other than the least of a component)."""
     spark, parts = own.sparkSession, partitions(own.sparkSession)
     texts = own.join(reps.select("doc_id", "tag"), ["doc_id", "tag"], "left_semi")
-    entries = G.deal(signatures(texts, like, parts), parts)
-    found = materialise(members(G.per_document(shared_segments(entries), parts), like), "members")
+    answers = materialise(shared_segments(G.deal(signatures(texts, like, parts), parts)), "segments")
+    found = materialise(members(G.per_document(answers, parts, once=False), like), "members")
+    discard(answers)
     wanted = found.where("wants0 or wants1").select("key").distinct()
     live = found.join(wanted, "key", "left_semi")
     nodes = live.select("node").distinct()
     sets = materialise(set_table(texts.join(nodes, texts.doc_id == nodes.node, "left_semi"), like), "sets")
-    least = live.where("wants0 and least0 <> node").select("node", F.col("least0").alias("other")).unionByName(live.where("wants1 and least1 <> node").select("node", F.col("least1").alias("other")))
-    pairs = least.where(F.col("other") < NONE).select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
-    links = materialise(verified(pairs, sets, like), "links")
-    tested = materialise(pairs, "tested")
-    comp, low, width = components(links), 0, 4
+    lone = lone_tokens(sets)
+    rows = live.join(lone, "node", "left").withColumn("lone", F.coalesce("lone", F.lit(0)))
+    rows = materialise(rows.where((F.col("n") - F.col("lone")) * 100 >= F.col("n") * like.percent).select("key", "node", "n", "lone", "form", "own", "wants0", "wants1"), "rows")
+    discard(found)
+    partner = F.struct("lone", "node", "form", "n")  # in order of rank: a text that many copies come from has no lone tokens
+
+    def candidates(wanting: DataFrame, some: DataFrame) -> DataFrame:
+        """Pairs of rows that want a partner and partners (key, partner) that they can link to."""
+        other = some.select("key", F.col("partner.node").alias("other"), F.col("partner.n").alias("m"), F.col("partner.lone").alias("gone"), F.col("partner.form").alias("kind"), *(["there"] if "there" in some.columns else []))
+        met = wanting.join(other, "key").where("node <> other and ((kind = 0 and wants0) or (kind = 1 and wants1))" + (" and component <> there" if "there" in some.columns else ""))
+        met = met.where(can_link(F.col("n"), F.col("lone"), F.col("m"), F.col("gone"), like.percent))
+        return met.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+
+    first = rows.where("own").groupBy("key").agg(F.min(partner).alias("partner"))
+    tested = materialise(candidates(rows.where("wants0 or wants1"), first), "tested")
+    links = materialise(verified(tested, sets, like), "links")
+    comp, low, width = components(links), 0, 16
     while True:  # partners low to low + width of each segment whose members aren't one component yet
-        open_members = _with_component(live, comp)
-        mixed = open_members.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1").select("key")
-        left = materialise(open_members.join(mixed, "key", "left_semi").select("key", "node", "n", "form", "own", "wants0", "wants1", "component"), "open")
-        ranked = left.where("own").withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy("node", "form")) - 1)
-        some = ranked.where((F.col("rank") >= low) & (F.col("rank") < low + width)).select("key", F.col("node").alias("other"), F.col("n").alias("m"), F.col("form").alias("kind"), F.col("component").alias("there"))
-        met = left.where("wants0 or wants1").join(some, "key").where("component <> there and ((kind = 0 and wants0) or (kind = 1 and wants1))").where(_close(F.col("n"), F.col("m"), like.percent))
-        more = materialise(met.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct().join(tested, ["a", "b"], "left_anti"), "tested")
+        placed = _with_component(rows, comp)
+        mixed = placed.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1").select("key")
+        left = materialise(placed.join(mixed, "key", "left_semi"), "open")
+        ranked = left.where("own").select("key", partner.alias("partner"), F.col("component").alias("there")).withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy("partner")) - 1)
+        some = ranked.where((F.col("rank") >= low) & (F.col("rank") < low + width))
+        more = materialise(candidates(left.where("wants0 or wants1"), some).join(tested, ["a", "b"], "left_anti"), "tested")
         new = materialise(verified(more, sets, like), "links")
         over = left.where("own").groupBy("key").count().where(F.col("count") > low + width).isEmpty()
         discard(left)
@@ -378,7 +400,7 @@ def links_of(own: DataFrame, reps: DataFrame, like: Similarity) -> DataFrame:
         if over:
             return comp
         tested = tested.unionByName(more)
-        low, width = low + width, 4 * width
+        low, width = low + width, 16 * width
 
 
 def jaccard_components(docs: DataFrame, like: Similarity = Similarity()) -> DataFrame:
@@ -399,5 +421,5 @@ def keep_first(docs: DataFrame, like: Similarity = Similarity()) -> DataFrame:
     Rows without an id, and rows of equal id, all stay.
     """
     placed = jaccard_components(docs, like)
-    gone = placed.where("component_id < doc_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"].cast("long") == gone["_gone"], "left_anti")
+    gone = placed.where("component_id < doc_id").select(F.col("doc_id").alias("__rf_gone")).distinct()
+    return docs.join(gone, docs["doc_id"].cast("long") == gone["__rf_gone"], "left_anti")
