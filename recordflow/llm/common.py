@@ -8,6 +8,7 @@ difference of two prefix sums.
 
 from __future__ import annotations
 
+import ctypes
 import functools
 import gc
 import time
@@ -21,7 +22,8 @@ from pyspark.sql import functions as F
 
 from ..shared import hadoop_path, shared_dir
 
-CHUNK_BYTES = 2 << 20  # text handled at once; a longer document is a chunk of its own
+BATCH_BYTES = 8 << 20  # of an Arrow batch on its way to Python; rows of whole documents are large
+CHUNK_BYTES = 1 << 20  # text handled at once; a longer document is a chunk of its own
 MASK = (1 << 64) - 1
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)  # odd, so that they have inverses
 U64 = np.uint64
@@ -44,6 +46,22 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return back
 
 
+def light_batches(spark: SparkSession) -> None:
+    """Bound the bytes of Arrow batches, unless the session has a smaller bound already."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if (now := int(spark.conf.get(name).rstrip("b"))) < 0 or now > BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
+def trim() -> None:
+    """Give memory that a worker has freed back to the machine: workers live on between tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # a C library without it
+        pass
+
+
 def release(spark: SparkSession) -> None:
     """Let go of the shuffle files of plans that have ended.
 
@@ -158,6 +176,7 @@ def chunks(batches: Iterable[pa.RecordBatch], id_name: str = "doc_id", text_name
             end = min(max(end, at + 1), len(ids))
             yield Chunk(ids[at:end], data[offsets[at] : offsets[end]], offsets[at : end + 1] - offsets[at], batch.slice(at, end - at))
             at = end
+    trim()
 
 
 class Words:
@@ -218,4 +237,5 @@ def exchange(rows: DataFrame, parts: int) -> DataFrame:
 
 def documents_view(docs: DataFrame, id_name: str = "doc_id", text_name: str = "text") -> DataFrame:
     """Only id and text, whatever else the table holds."""
+    light_batches(docs.sparkSession)
     return docs.select(F.col(id_name).cast("long").alias("doc_id"), F.col(text_name).cast("string").alias("text"))

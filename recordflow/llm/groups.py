@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents_view
+from .common import documents_view, trim
 
 DATA, DOCS, FOUND, ALIKE = 0, 1, 2, 3  # kinds of packed rows: for a partition, a group's documents, places found, places that share another's answer
 PACKED = "part int, grp long, kind int, payload binary"
@@ -113,6 +113,7 @@ def by_part(order_part: np.ndarray) -> Iterator[tuple[int, int, int]]:
 
 def incoming(batches: Iterator[pa.RecordBatch]) -> tuple[list[tuple[int, bytes]], list[tuple[int, int, int, bytes]]]:
     """A partition's packed rows: data by group, and what only passes through."""
+    trim()
     data, through = [], []
     for batch in batches:
         for part, grp, kind, payload in zip(*(batch.column(c).to_pylist() for c in NAMES), strict=True):

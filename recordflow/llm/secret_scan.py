@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents_view
+from .common import documents_view, light_batches
 
 MOST_FINDINGS = 20_000
 NEAR = 48  # bytes looked at on either side of a candidate
@@ -309,6 +309,7 @@ def scan(docs: DataFrame, forest: Forest | None = None, least: float = 0.5) -> D
 
 def mask_column(df: DataFrame, column: str = "text", forest: Forest | None = None, least: float = 0.5) -> DataFrame:
     """The table with secrets in a text column masked; all else as it is."""
+    light_batches(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(forest or default_forest())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
