@@ -22,7 +22,6 @@ gives an empty result.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
