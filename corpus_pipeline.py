@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from recordflow.llm import jaccard, packing, secret_scan, suffixes, toxicity
 from recordflow.llm.common import materialise
