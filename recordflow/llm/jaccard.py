@@ -383,7 +383,7 @@ def links_of(own: DataFrame, reps: DataFrame, like: Similarity) -> DataFrame:
     first = rows.where("own").groupBy("key").agg(F.min(partner).alias("partner"))
     tested = materialise(candidates(rows.where("wants0 or wants1"), first), "tested")
     links = materialise(verified(tested, sets, like), "links")
-    comp, low, width = components(links), 0, 16
+    comp, low, width = components(links), 0, 2
     while True:  # partners low to low + width of each segment whose members aren't one component yet
         placed = _with_component(rows, comp)
         mixed = placed.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1").select("key")
@@ -400,7 +400,7 @@ def links_of(own: DataFrame, reps: DataFrame, like: Similarity) -> DataFrame:
         if over:
             return comp
         tested = tested.unionByName(more)
-        low, width = low + width, 16 * width
+        low, width = low + width, 4 * width
 
 
 def jaccard_components(docs: DataFrame, like: Similarity = Similarity()) -> DataFrame:
