@@ -7,7 +7,10 @@ Each block of vectors gets a kd-tree over its projections. A query takes the lea
 of a block in order of their projected distance and verifies the members on the
 original vectors, until the chance that any vector nearer than its k-th best so far
 lies in a leaf that far away is small: the chi-square distribution function at
-(projected distance / k-th distance) squared reaches ``confidence``.
+(projected distance / k-th distance) squared reaches ``confidence``. Copies of a vector
+are one point of the tree with several ids. Projected distances are taken less a bound of
+their rounding, so at a k-th distance of 0 the search goes on through every leaf that can
+hold a copy.
 
 Queries meet blocks by number: each query is sent once to each block, of
 ``least_block`` to ``most_block`` vectors. The answers of the blocks, k of each, are merged by query.
@@ -79,18 +82,55 @@ class KdTree:
         self.low = np.array([points[x].min(axis=0) for x in self.leaves])
         self.high = np.array([points[x].max(axis=0) for x in self.leaves])
 
-    def distances(self, q: np.ndarray) -> np.ndarray:
-        """Squared distances of a projected query to the boxes."""
-        gap = np.maximum(np.maximum(self.low - q, q - self.high), 0)
+    def distances(self, q: np.ndarray, slack: float) -> np.ndarray:
+        """Squared distances of a projected query to the boxes, less what rounding can make of them."""
+        gap = np.maximum(np.maximum(self.low - q, q - self.high) - slack, 0)
         return (gap * gap).sum(axis=1)
 
 
+class Distinct:
+    """The distinct vectors of a block, and the ids of each that can be among the k nearest of a query.
+
+    Copies are equally far from any query, so of theirs only the k least ids other than
+    the query's can be, ids that are nearer by another vector included: k + 1 are kept.
+    """
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, k: int):
+        vectors = np.ascontiguousarray(vectors + 0.0)  # -0.0 is 0.0
+        order = np.argsort(vectors.view(f"V{vectors.shape[1] * vectors.itemsize}").ravel(), kind="stable")
+        new = np.ones(len(order), bool)
+        for at in range(1, len(order), 8192):
+            here = slice(at, at + 8192)
+            new[here] = (vectors[order[here]] != vectors[order[at - 1 : at + 8191][: len(order[here])]]).any(axis=1)
+        group, own = np.cumsum(new) - 1, ids[order]
+        by = np.lexsort((own, group))
+        group, own = group[by], own[by]
+        once = np.ones(len(own), bool)
+        once[1:] = (group[1:] != group[:-1]) | (own[1:] != own[:-1])
+        group, own = group[once], own[once]
+        keep = np.arange(len(own)) - np.searchsorted(group, group) <= k
+        self.vectors, self.ids = vectors[order[new]], own[keep]
+        self.first = np.searchsorted(group[keep], np.arange(len(self.vectors) + 1))
+
+    def of(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of these vectors, and the place in ``rows`` of each."""
+        if len(self.ids) == len(self.vectors):
+            return self.ids[rows], np.arange(len(rows))
+        many = self.first[rows + 1] - self.first[rows]
+        place = np.repeat(np.arange(len(rows)), many)
+        return self.ids[np.arange(len(place)) + (self.first[rows] - (np.cumsum(many) - many))[place]], place
+
+
 def nearest_in_block(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, search: Search) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """Of each query, ids and distances of its nearest in the block."""
     to = directions(vectors.shape[1], search)
+    block = Distinct(ids, vectors, search.k)
+    vectors = block.vectors
     tree = KdTree(vectors @ to, search.leaf)
-    for query_id, q in zip(query_ids, queries, strict=True):
-        far = tree.distances(q @ to)
+    norms = np.sqrt((vectors * vectors).sum(axis=1).max()) + np.sqrt((queries * queries).sum(axis=1))
+    slack = 2 * len(to) * np.finfo(float).eps * norms * np.sqrt((to * to).sum(axis=0).max())  # dot products round by less than size * eps * both norms
+    for query_id, q, projected, s in zip(query_ids, queries, queries @ to, slack, strict=True):
+        far = tree.distances(projected, s)
         order = np.argsort(far, kind="stable")
         at, step = 0, max(1, 2 * search.k // search.leaf + 1)
         best_ids, best = ids[:0], np.zeros(0)
@@ -105,9 +145,16 @@ def nearest_in_block(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray
                     break
             rows = np.concatenate([tree.leaves[x] for x in order[at : at + step]])
             at, step = at + step, min(2 * step, 16)
-            rows = rows[ids[rows] != query_id]
             gap = vectors[rows] - q
-            best_ids, best = smallest(np.concatenate([best_ids, ids[rows]]), np.concatenate([best, np.sqrt((gap * gap).sum(axis=1))]), search.k)
+            distance = np.sqrt((gap * gap).sum(axis=1))
+            if len(best) == search.k:
+                near = distance <= best[-1]
+                rows, distance = rows[near], distance[near]
+                if not len(rows):
+                    continue
+            own, place = block.of(rows)
+            other = own != query_id
+            best_ids, best = smallest(np.concatenate([best_ids, own[other]]), np.concatenate([best, distance[place][other]]), search.k)
         yield query_id, best_ids, best
 
 

@@ -57,6 +57,30 @@ def test_neighbours(spark):
     assert neighbours.nearest(none, lambda i: i % 100 == 0).collect() == []
 
 
+@pytest.mark.parametrize("size", [16, 48, 64, 100])
+def test_neighbours_of_many_copies(size):
+    rng = np.random.default_rng(size)
+    vectors = np.concatenate([np.tile(rng.standard_normal(size), (700, 1)), rng.standard_normal((1400, size))]).astype(np.float32).astype(float)
+    ids = rng.permutation(len(vectors)).astype(np.int64)
+    copies = ids[:700]
+    asks = np.concatenate([np.flatnonzero(np.isin(ids, np.sort(copies)[:20])), np.arange(20, 60)])
+    for q, got, far in neighbours.nearest_in_block(ids, vectors, ids[asks], vectors[asks], neighbours.Search()):
+        others = np.sort(copies[copies != q])
+        assert got.tolist() == others[:10].tolist() and not far.any()
+
+
+def test_neighbours_of_distinct_vectors():
+    rng = np.random.default_rng(5)
+    vectors = rng.integers(-1, 2, (9000, 4)).astype(float)
+    vectors[rng.random(vectors.shape) < 0.1] = -0.0
+    ids = rng.integers(0, 6000, 9000)
+    d = neighbours.Distinct(ids, vectors, 3)
+    assert sorted(map(tuple, (d.vectors + 0.0).tolist())) == sorted({tuple(v) for v in (vectors + 0.0).tolist()})
+    for i, v in enumerate(d.vectors):
+        own, place = d.of(np.array([i]))
+        assert own.tolist() == sorted(set(ids[(vectors == v).all(axis=1)].tolist()))[:4] and not place.any()
+
+
 def test_chi_square():
     x = np.array([0.0, 2.733, 15.507, 20.09])  # of 8 degrees: 0, 0.05, 0.95, 0.99
     assert np.allclose(neighbours.chi_square_cdf(x, 8), [0, 0.05, 0.95, 0.99], atol=1e-3)
