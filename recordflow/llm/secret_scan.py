@@ -1,15 +1,19 @@
 """Operator 9: secret scans, with a random forest that removes false positives.
 
-Candidates come from the whole text: tokens of known forms, values assigned to names
-such as token or password, and long strings that mix digits or cases with letters.
+Candidates come from the whole text: tokens of known forms and PEM blocks, values
+assigned to names such as token or password, and long strings that mix digits or cases
+with letters.
 A random forest judges each by its length, its transitions between characters, the
 share of it that dictionary words cover, whether it looks like a path, and the words
 around it. The forest is trained on labelled findings: (text before, value, text
-after, secret or not). ``labelled_findings`` makes a seeded set of such; a table of
-labelled findings can be given instead, of which at most ``MOST_FINDINGS`` are used.
-
-Defined results: null and empty texts have no candidates; overlapping candidates are
-one, the longer; a finding's span is in bytes of the UTF-8 text; equal findings in
+after, secret or not). ``labelled_findings`` makes a seeded set of such, cut from made-up
+texts as ``candidates`` cuts them: keywords, names, quotes or none of them on the left,
+tokens of known forms, PEM blocks and loose lines of these. A bare hexadecimal string
+without a keyword counts as a digest. A table of labelled findings can be given instead, of which at most ``MOST_FINDINGS`` are used.
+
+Defined results: null and empty texts have no candidates; candidates are apart: of
+overlapping ones a known form or PEM block stays whole, then an assigned value, and what
+is left of a longer one on either side is a candidate if long enough; a finding's span is in bytes of the UTF-8 text; equal findings in
 repeated rows are judged alike; other columns are ignored; an empty table gives an
 empty result.
 """
@@ -39,17 +43,16 @@ RESULT = "doc_id long, n_candidates long, n_secrets long, n_masked_bytes long, m
 
 # Forms of tokens that are published by those who issue them.
 KNOWN_FORMS = [
-    rb"AKIA[0-9A-Z]{16}",
-    rb"gh[pousr]_[A-Za-z0-9]{36}",
+    rb"AKIA[0-9A-Z]{16}(?![0-9A-Za-z])",
+    rb"gh[pousr]_[A-Za-z0-9]{36}(?![0-9A-Za-z])",
     rb"xox[abprs]-[A-Za-z0-9-]{10,}",
-    rb"AIza[0-9A-Za-z_-]{35}",
+    rb"AIza[0-9A-Za-z_-]{35}(?![0-9A-Za-z])",
     rb"[sr]k_(?:live|test)_[0-9A-Za-z]{16,}",
     rb"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]*",
-    rb"-----BEGIN [A-Z ]*PRIVATE KEY-----",
 ]
 # Words beside secrets, and beside strings that only look like them.
 SECRET_WORDS = ["token", "secret", "password", "passwd", "pwd", "apikey", "api_key", "api-key", "access_key", "auth", "bearer", "credential", "private"]
-PLAIN_WORDS = ["commit", "sha1", "sha256", "md5", "checksum", "digest", "hash", "uuid", "guid", "etag", "revision", "build", "version", "id", "image", "file", "path", "url", "href", "src", "isbn", "order", "invoice", "example", "sample"]
+PLAIN_WORDS = ["commit", "sha1", "sha256", "md5", "checksum", "digest", "hash", "uuid", "guid", "etag", "base64", "revision", "build", "version", "id", "image", "file", "path", "url", "href", "src", "isbn", "order", "invoice", "example", "sample"]
 # Words that people build names and paths from.
 DICTIONARY = """about access account action admin all and app archive article asset auth available back base bin blog body build button cache change check class client
 code color com comment commit config content control core create css data date default demo description detail dev dir disable doc down dummy edit email enable end error event example
@@ -64,23 +67,69 @@ _ASSIGNED = re.compile(rb"(?i)(?:" + _KEYWORDS + rb")[a-z0-9_-]{0,16}[\"']?[ \t]
 _LONG = re.compile(rb"[A-Za-z0-9+/_=-]{16,}")
 _MIXED = re.compile(rb"[0-9]|[a-z][A-Z]")
 _KNOWN = re.compile(b"|".join(KNOWN_FORMS))
-_KNOWN_STARTS = re.compile(rb"AKIA|gh[pousr]_|xox[abprs]-|AIza|[sr]k_(?:live|test)_|eyJ|-----BEGIN ")
+_KNOWN_STARTS = re.compile(rb"AKIA|gh[pousr]_|xox[abprs]-|AIza|[sr]k_(?:live|test)_|eyJ")
+_PEM_EDGE = re.compile(rb"-----(BEGIN|END) [A-Z0-9 ]+-----")
+_PEM_BODY = re.compile(rb"(?:[A-Za-z0-9+/=:,. -]|\s|\\[nr])*")
+_PEM_LINES = re.compile(rb"(?:(?:\s|\\[nr])+[A-Za-z0-9+/]{16,}={0,2}(?![^\s\\\"']))*")  # of a block without an end
+_PRIVATE = re.compile(rb"-----BEGIN [A-Z0-9 ]*PRIVATE KEY")
+_NAME = re.compile(rb"[A-Za-z_][A-Za-z0-9_-]*=(?=[^=])")
+LEAST_ASSIGNED, LEAST_LONG = 8, 16  # bytes, as in the expressions above
+
+
+def pem_blocks(text: bytes) -> list[tuple[int, int]]:
+    """Spans of PEM blocks; one without an end goes as far as its lines do."""
+    out, edges = [], list(_PEM_EDGE.finditer(text))
+    for m, end in zip(edges, [*edges[1:], None], strict=False):
+        if m[1] == b"BEGIN":
+            whole = end is not None and end[1] == b"END" and _PEM_BODY.fullmatch(text, m.end(), end.start())
+            out.append((m.start(), end.end() if whole else _PEM_LINES.match(text, m.end()).end()))
+    return out
+
+
+def assigned(text: bytes) -> list[tuple[int, int]]:
+    """Spans of assigned values; a value ends where another assignment starts in it."""
+    out, m = [], _ASSIGNED.search(text)
+    while m:
+        a, b = m.span(1)
+        inner = _ASSIGNED.search(text, a, b)
+        if inner:
+            b = inner.start()
+        if b - a >= LEAST_ASSIGNED:
+            out.append((a, b))
+        m = inner and _ASSIGNED.match(text, b) or _ASSIGNED.search(text, b)
+    return out
+
+
+def outside(spans: list[tuple[int, int]], taken: list[tuple[int, int]], least: int) -> list[tuple[int, int]]:
+    """What is left of spans outside others, where it has so many bytes; both are in order and apart."""
+    out, k = [], 0
+    for a, b in spans:
+        while k < len(taken) and taken[k][1] <= a:
+            k += 1
+        j = k
+        while j < len(taken) and taken[j][0] < b:
+            out.append((a, taken[j][0]))
+            a, j = taken[j][1], j + 1
+        out.append((a, b))
+    return [(a, b) for a, b in out if b - a >= least]
+
+
+def without_name(text: bytes, a: int, b: int) -> tuple[int, int]:
+    """A long string without the name it is assigned to, if its value is long enough alone."""
+    m = _NAME.match(text, a, b)
+    return (m.end(), b) if m and b - m.end() >= LEAST_LONG and _MIXED.search(text, m.end(), b) else (a, b)
 
 
 def candidates(text: bytes) -> list[tuple[int, int]]:
-    """Spans of candidates, in order and apart; of overlapping ones the longer stays."""
-    found = [m.span() for m in _LONG.finditer(text) if _MIXED.search(m[0])]
-    found += [m.span(1) for m in _ASSIGNED.finditer(text)]
+    """Spans of candidates, in order and apart: known forms first, then assigned values, then long strings."""
+    taken = pem_blocks(text)
     if _KNOWN_STARTS.search(text):
-        found += [m.span() for m in _KNOWN.finditer(text)]
-    out: list[tuple[int, int]] = []
-    for a, b in sorted(set(found)):
-        if out and a < out[-1][1]:
-            if b - a > out[-1][1] - out[-1][0]:
-                out[-1] = (a, b)
-            continue
-        out.append((a, b))
-    return out
+        known = [m.span() for m in _KNOWN.finditer(text)]
+        whole = set(outside(known, taken, 1))
+        taken = sorted(taken + [s for s in known if s in whole])
+    taken = sorted(taken + outside(assigned(text), taken, LEAST_ASSIGNED))
+    some = outside([m.span() for m in _LONG.finditer(text)], taken, LEAST_LONG)
+    return sorted(taken + [without_name(text, a, b) for a, b in some if _MIXED.search(text, a, b)])
 
 
 @cache
@@ -144,12 +193,12 @@ def features(before: bytes, value: bytes, after: bytes) -> list[float]:
         float(any(w in left_words[-1:] for w in PLAIN_WORDS)),
         float(left.rstrip("\"' \t")[-1:] in ("=", ":")),
         float(left[-1:] in "\"'" and right[:1] in "\"'"),
-        float(bool(_KNOWN.fullmatch(value))),
+        float(bool(_KNOWN.fullmatch(value) or _PRIVATE.match(value))),
     ]
 
 
 def labelled_findings(n: int = 4000, seed: int = 11) -> list[tuple[bytes, bytes, bytes, int]]:
-    """Made-up findings with labels, half of them secrets; the same for each seed."""
+    """Made-up findings with labels, cut by ``candidates``, half of them secrets; the same for each seed."""
     r = random.Random(seed)
     draw = lambda alphabet, k: "".join(r.choices(alphabet, k=k))
     lower, alnum = string.ascii_lowercase + string.digits, string.ascii_letters + string.digits
@@ -157,16 +206,54 @@ def labelled_findings(n: int = 4000, seed: int = 11) -> list[tuple[bytes, bytes,
     word = lambda: "".join(r.choices(syllables, k=r.randint(1, 4))) if r.random() < 0.9 else f"mail@{r.choice(DICTIONARY)}.example.com"
     names = lambda k, join: join.join(r.choices(DICTIONARY, k=k))
 
+    base64 = string.ascii_letters + string.digits + "+/"
+    known = [
+        lambda: "AKIA" + draw(string.ascii_uppercase + string.digits, 16),
+        lambda: "gh" + r.choice("pousr") + "_" + draw(alnum, 36),
+        lambda: "xoxb-" + "-".join([draw(string.digits, 12), draw(string.digits, 12), draw(alnum, 24)]),
+        lambda: "AIza" + draw(alnum + "_-", 34) + r.choice(alnum),
+        lambda: r.choice("sr") + "k_" + r.choice(["live", "test"]) + "_" + draw(alnum, r.randint(16, 40)),
+        lambda: "eyJ" + ".".join(draw(alnum + "_-", r.randint(12, 90)) for _ in range(3)),
+    ]
+    lines = lambda: [draw(base64, 64) for _ in range(r.randint(2, 26))] + [draw(base64, r.randint(16, 60)) + r.choice(["", "=", "=="])]
+
+    def block(what: str) -> str:
+        join = r.choice(["\n", "\n", "\r\n", "\\n"])
+        return join.join([f"-----BEGIN {what}-----", *lines(), *([f"-----END {what}-----"] if r.random() < 0.8 else [])])
+
+    def bare() -> tuple[str, str, str]:
+        """A secret that no keyword stands beside."""
+        kind = r.random()
+        if kind < 0.4:
+            value = r.choice(known)()
+        elif kind < 0.7:
+            value = draw(alnum, r.randint(28, 64))
+        else:
+            value = draw(base64, r.randint(32, 88))
+        quote = r.choice(['"', "'", "", "", ""])
+        left = r.choice(["", f"{word()} ", f"{word()}\n", f"{word()} {r.choice(['key', 'KEY', 'k', 'value', 'signature', word()])}{r.choice(['=', '=', ': ', ' = '])}"])
+        return left + quote, value, quote + r.choice(["", "\n", f" {word()}"])
+
+    def private() -> tuple[str, str, str]:
+        if r.random() < 0.7:
+            return r.choice(["", f"{word()} {word()}\n"]), block(r.choice(["", "RSA ", "EC ", "DSA ", "OPENSSH ", "ENCRYPTED "]) + "PRIVATE KEY"), f"\n{word()}"
+        part = lines()  # of a block whose edges aren't in the text
+        return part[0] + "\n", part[1], "\n" + part[2]
+
     def secret() -> tuple[str, str, str]:
+        kind = r.random()
+        if kind < 0.25:
+            return bare()
+        if kind < 0.4:
+            return private()
         value = r.choice(
             [
                 lambda: draw("0123456789abcdef", r.choice([32, 40, 40, 64])),
                 lambda: draw("0123456789ABCDEF", r.choice([32, 40, 64])),
                 lambda: draw(alnum, r.randint(16, 64)),
                 lambda: draw(alnum + "+/_-", r.randint(20, 88)),
-                lambda: "AKIA" + draw(string.ascii_uppercase + string.digits, 16),
-                lambda: "ghp_" + draw(alnum, 36),
-                lambda: "sk_live_" + draw(alnum, 24),
+                *known[:2],
+                r.choice(known),
                 lambda: draw(alnum + "!#%&*", r.randint(10, 20)),
             ]
         )()
@@ -175,6 +262,12 @@ def labelled_findings(n: int = 4000, seed: int = 11) -> list[tuple[bytes, bytes,
         return f"{word()} {word()} {name}{r.choice([' = ', '=', ': ', ' := '])}{quote}", value, quote + r.choice(["", "!!", "###"]) + f" {word()}"
 
     def plain() -> tuple[str, str, str]:
+        if r.random() < 0.08:
+            return f"{word()}\n", block(r.choice(["CERTIFICATE", "PUBLIC KEY", "RSA PUBLIC KEY", "CERTIFICATE REQUEST"])), f"\n{word()}"
+        if r.random() < 0.08:
+            return r.choice(["", f"{word()} {word()} ", f"{word()}\n"]), draw("0123456789abcdef", r.choice([32, 40, 40, 64])), r.choice(["", "\n", f" {word()}"])
+        if r.random() < 0.08:
+            return f"{word()} data:image/{r.choice(['png', 'gif', 'jpeg'])};base64,", draw(base64, r.randint(40, 400)) + r.choice(["", "=", "=="]), f'" {word()}'
         value, named = r.choice(
             [
                 lambda: (draw("0123456789abcdef", r.choice([32, 40, 64])), True),
@@ -194,10 +287,15 @@ def labelled_findings(n: int = 4000, seed: int = 11) -> list[tuple[bytes, bytes,
         quote = r.choice(['"', "'", "", ""])
         return f"{word()} {word()} {name}{r.choice([' ', ': ', '=', ' = '])}{quote}", value, quote + f" {word()}"
 
-    out = []
-    for i in range(n):
-        before, value, after = secret() if i % 2 else plain()
-        out.append((before.encode(), value.encode(), after.encode(), i % 2))
+    out: list[tuple[bytes, bytes, bytes, int]] = []
+    while len(out) < n:
+        label = len(out) % 2
+        before, value, after = (x.encode() for x in (secret() if label else plain()))
+        text, start, end = before + value + after, len(before), len(before) + len(value)
+        found = [(a, b) for a, b in candidates(text) if a < end and b > start]
+        if found:
+            a, b = max(found, key=lambda x: min(x[1], end) - max(x[0], start))
+            out.append((text[max(0, a - NEAR) : a], text[a:b], text[b : b + NEAR], label))
     return out
 
 

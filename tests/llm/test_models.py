@@ -176,6 +176,41 @@ def test_secret_scan(spark, docs, texts, no_docs):
     assert secret_scan.scan(no_docs).collect() == []
 
 
+def secret_texts():
+    r = random.Random(8)
+    draw = lambda alphabet, k: "".join(r.choices(alphabet, k=k))
+    hexa, upper = "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    alnum = upper + upper[:26].lower()
+    for _ in range(30):
+        yield "token=", draw(hexa, 40), " and"
+        yield "auth: token=", draw(hexa, 40), ""
+        yield "a=b&password=user&secret=", draw(hexa, 40), " and"
+        yield "API_KEY=", "AKIA" + draw(upper, 16), "\n"
+        yield "key=", "AIza" + draw(alnum, 35), "\n"
+        yield "an ", "AKIA" + draw(upper, 16), " er"
+        yield "", "ghp_" + draw(alnum, 36), ""
+        body = "\n".join(draw(alnum + "+/", 64) for _ in range(12))
+        yield "st\n", f"-----BEGIN PRIVATE KEY-----\n{body}\nabcd==\n-----END PRIVATE KEY-----", "\nst"
+        yield "st\n", f"-----BEGIN RSA PRIVATE KEY-----\n{body}", "\n\nst"
+
+
+def test_secrets_in_longer_runs():
+    forest, seen = secret_scan.default_forest(), Counter()
+    for before, value, after in secret_texts():
+        text = (before + value + after).encode()
+        at = len(before.encode()), len((before + value).encode())
+        assert at in secret_scan.candidates(text), text
+        seen[[f[2] >= 0.5 for f in secret_scan.judged(text, forest) if f[:2] == at][0]] += 1
+    assert seen[False] <= 0.02 * seen.total()
+    for text in (b"commit=2dc477ac10d6c07b3fe008f63603773337d0d8aa", b"x 2dc477ac10d6c07b3fe008f63603773337d0d8aa y", b"/usr/lib/python3/dist-packages/module17.py"):
+        assert [s < 0.5 for _, _, s in secret_scan.judged(text, forest)] == [True]
+
+
+def test_findings_are_cut_by_candidates():
+    for before, value, after, _ in secret_scan.labelled_findings(300, seed=4):
+        assert value in [(before + value + after)[a:b] for a, b in secret_scan.candidates(before + value + after)] or len(before) == secret_scan.NEAR or len(after) == secret_scan.NEAR
+
+
 def test_candidates_apart():
     r = random.Random(3)
     for _ in range(300):
