@@ -21,7 +21,8 @@ and the next lower one.
 5. Each picked segment gives a pair with its partner of the fewest lone tokens; pairs are
    verified exactly on the whole sets. Candidates that these links don't connect already
    are then verified too, a growing number of partners of each segment at a time, until
-   every candidate is verified or in one component.
+   every candidate is verified or in one component. ``jaccard_links`` verifies all
+   candidates instead, and gives every link and the number of links of each row.
 
 Defined results: null texts and texts without words have no shingles and are their own
 component; fewer than ``words`` words are one shingle; rows with one id are one node;
@@ -356,8 +357,11 @@ def _with_component(nodes: DataFrame, comp: DataFrame) -> DataFrame:
     return nodes.join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
 
 
-def links_of(own: DataFrame, reps: DataFrame, like: Similarity) -> DataFrame:
-    """node, component of the representatives that link (other than the least of a component)."""
+PARTNER = "struct(lone, node, form, n)"  # in order of rank: a text that many copies come from has no lone tokens
+
+
+def segment_rows(own: DataFrame, reps: DataFrame, like: Similarity) -> tuple[DataFrame, DataFrame]:
+    """Rows of the shared segments of representatives that can have links, and their sets."""
     spark, parts = own.sparkSession, partitions(own.sparkSession)
     texts = own.join(reps.select("doc_id", "tag"), ["doc_id", "tag"], "left_semi")
     answers = materialise(shared_segments(G.deal(signatures(texts, like, parts), parts)), "segments")
@@ -371,26 +375,31 @@ def links_of(own: DataFrame, reps: DataFrame, like: Similarity) -> DataFrame:
     rows = live.join(lone, "node", "left").withColumn("lone", F.coalesce("lone", F.lit(0)))
     rows = materialise(rows.where((F.col("n") - F.col("lone")) * 100 >= F.col("n") * like.percent).select("key", "node", "n", "lone", "form", "own", "wants0", "wants1"), "rows")
     discard(found)
-    partner = F.struct("lone", "node", "form", "n")  # in order of rank: a text that many copies come from has no lone tokens
+    return rows, sets
+
 
-    def candidates(wanting: DataFrame, some: DataFrame) -> DataFrame:
-        """Pairs of rows that want a partner and partners (key, partner) that they can link to."""
-        other = some.select("key", F.col("partner.node").alias("other"), F.col("partner.n").alias("m"), F.col("partner.lone").alias("gone"), F.col("partner.form").alias("kind"), *(["there"] if "there" in some.columns else []))
-        met = wanting.join(other, "key").where("node <> other and ((kind = 0 and wants0) or (kind = 1 and wants1))" + (" and component <> there" if "there" in some.columns else ""))
-        met = met.where(can_link(F.col("n"), F.col("lone"), F.col("m"), F.col("gone"), like.percent))
-        return met.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+def candidates(wanting: DataFrame, some: DataFrame, like: Similarity) -> DataFrame:
+    """Pairs of rows that want a partner and partners (key, partner) that they can link to."""
+    other = some.select("key", F.col("partner.node").alias("other"), F.col("partner.n").alias("m"), F.col("partner.lone").alias("gone"), F.col("partner.form").alias("kind"), *(["there"] if "there" in some.columns else []))
+    met = wanting.join(other, "key").where("node <> other and ((kind = 0 and wants0) or (kind = 1 and wants1))" + (" and component <> there" if "there" in some.columns else ""))
+    met = met.where(can_link(F.col("n"), F.col("lone"), F.col("m"), F.col("gone"), like.percent))
+    return met.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
 
-    first = rows.where("own").groupBy("key").agg(F.min(partner).alias("partner"))
-    tested = materialise(candidates(rows.where("wants0 or wants1"), first), "tested")
+
+def links_of(own: DataFrame, reps: DataFrame, like: Similarity) -> DataFrame:
+    """node, component of the representatives that link (other than the least of a component)."""
+    rows, sets = segment_rows(own, reps, like)
+    first = rows.where("own").groupBy("key").agg(F.min(F.expr(PARTNER)).alias("partner"))
+    tested = materialise(candidates(rows.where("wants0 or wants1"), first, like), "tested")
     links = materialise(verified(tested, sets, like), "links")
     comp, low, width = components(links), 0, 2
     while True:  # partners low to low + width of each segment whose members aren't one component yet
         placed = _with_component(rows, comp)
         mixed = placed.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1").select("key")
         left = materialise(placed.join(mixed, "key", "left_semi"), "open")
-        ranked = left.where("own").select("key", partner.alias("partner"), F.col("component").alias("there")).withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy("partner")) - 1)
+        ranked = left.where("own").select("key", F.expr(PARTNER).alias("partner"), F.col("component").alias("there")).withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy("partner")) - 1)
         some = ranked.where((F.col("rank") >= low) & (F.col("rank") < low + width))
-        more = materialise(candidates(left.where("wants0 or wants1"), some).join(tested, ["a", "b"], "left_anti"), "tested")
+        more = materialise(candidates(left.where("wants0 or wants1"), some, like).join(tested, ["a", "b"], "left_anti"), "tested")
         new = materialise(verified(more, sets, like), "links")
         over = left.where("own").groupBy("key").count().where(F.col("count") > low + width).isEmpty()
         discard(left)
@@ -403,18 +412,52 @@ def links_of(own: DataFrame, reps: DataFrame, like: Similarity) -> DataFrame:
         low, width = low + width, 4 * width
 
 
+def representatives(keys: DataFrame) -> DataFrame:
+    """Of each class of equal sets: n_shingles, key, the least doc_id and its tag."""
+    classes = keys.where("doc_id is not null and n_shingles > 0").groupBy("n_shingles", "k0", "k1").agg(F.min(F.struct("doc_id", "tag")).alias("least"))
+    return classes.select("n_shingles", "k0", "k1", "least.doc_id", "least.tag")
+
+
 def jaccard_components(docs: DataFrame, like: Similarity = Similarity()) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id."""
     own = G.keyed(docs)
     keys = materialise(set_keys(own, like), "set-keys")
-    classes = keys.where("doc_id is not null and n_shingles > 0").groupBy("n_shingles", "k0", "k1").agg(F.min(F.struct("doc_id", "tag")).alias("least"))
-    reps = materialise(classes.select("n_shingles", "k0", "k1", "least.doc_id", "least.tag"), "classes")
+    reps = materialise(representatives(keys), "classes")
     comp = links_of(own, reps, like)
     placed = _with_component(reps.withColumnRenamed("doc_id", "node"), comp).select("n_shingles", "k0", "k1", "component")
     linked = keys.join(placed, ["n_shingles", "k0", "k1"], "left")
     return linked.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
 
 
+def all_links(own: DataFrame, reps: DataFrame, like: Similarity) -> DataFrame:
+    """All links (a, b) of the representatives, each verified on the whole sets; as many rows as there are."""
+    rows, sets = segment_rows(own, reps, like)
+    tested = materialise(candidates(rows.where("wants0 or wants1"), rows.where("own").select("key", F.expr(PARTNER).alias("partner")), like), "tested")
+    return materialise(verified(tested, sets, like).distinct(), "links")  # repeated rows of a representative give their links again
+
+
+def jaccard_links(docs: DataFrame, like: Similarity = Similarity()) -> tuple[DataFrame, DataFrame]:
+    """Per row doc_id, n_shingles, class_id, representative_id, n_links; and all links (a, b) of different classes.
+
+    A class holds the rows of equal sets, and is told by a number of its own;
+    representative_id is the least id of it. n_links is the number of other documents
+    that link to a row, copies and all; an id with several sets counts once for each.
+    Rows without an id or without shingles have no class and no links.
+    """
+    own = G.keyed(docs)
+    keys = materialise(set_keys(own, like), "set-keys")
+    numbered = materialise(materialise(representatives(keys), "classes").withColumn("class_id", F.monotonically_increasing_id()), "classes")
+    nodes = numbered.select("class_id", "doc_id", "tag")
+    texts = own.join(nodes, ["doc_id", "tag"]).select(F.col("class_id").alias("doc_id"), "text", "tag")  # a class is one node, though an id may have several
+    links = all_links(texts, nodes.select(F.col("class_id").alias("doc_id"), "tag"), like)
+    placed = keys.join(numbered.select("n_shingles", "k0", "k1", "class_id", F.col("doc_id").alias("representative_id")), ["n_shingles", "k0", "k1"], "left").withColumn("class_id", F.when(F.col("doc_id").isNotNull(), F.col("class_id"))).withColumn("representative_id", F.when(F.col("class_id").isNotNull(), F.col("representative_id")))
+    size = materialise(placed.where("class_id is not null").select("class_id", "doc_id").distinct().groupBy("class_id").agg(F.count("*").alias("ids")), "sizes")
+    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    beside = both.join(size.select(F.col("class_id").alias("b"), "ids"), "b").groupBy(F.col("a").alias("class_id")).agg(F.sum("ids").alias("beside"))
+    total = size.join(beside, "class_id", "left").select("class_id", (F.col("ids") - 1 + F.coalesce("beside", F.lit(0))).alias("n_links"))
+    return placed.join(total, "class_id", "left").select("doc_id", "n_shingles", "class_id", "representative_id", F.coalesce("n_links", F.lit(0)).alias("n_links")), links
+
+
 def keep_first(docs: DataFrame, like: Similarity = Similarity()) -> DataFrame:
     """The rows of ``docs`` that are the first of their component, with all their columns.
 

@@ -28,6 +28,10 @@ def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op4_jaccard_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_links(table(spark, sf_dir, "documents"))[0]
+
+
 def op5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 100 == 0)
 
@@ -57,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_blocks": op2_blocks,
     "op3_toxicity": op3_toxicity,
     "op4_jaccard": op4_jaccard,
+    "op4_jaccard_links": op4_jaccard_links,
     "op5_neighbours": op5_neighbours,
     "op6_byte_bpe": op6_byte_bpe,
     "op7_suffixes": op7_suffixes,

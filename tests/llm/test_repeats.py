@@ -180,3 +180,34 @@ def test_components(spark):
         parent[max(x, y)] = min(x, y)
     found = {row["node"]: row["component"] for row in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert {n: found.get(n, n) for n in parent} == {n: root(n) for n in parent}
+
+
+def test_jaccard_links(spark, docs, texts, no_docs):
+    r = random.Random(12)
+    base = [f"w{r.randrange(900)}" for _ in range(120)]
+    near = []
+    for i in range(60):  # one large group of near copies, some of them copied, some too far from others to link
+        w = list(base)
+        for k in range(i % 4):
+            w[r.randrange(len(w))] = f"v{i}{k}"
+        near += [(5000 + i, " ".join(w))] * (1 + i % 2) + [(7000 + i, " ".join(w))] * (i % 3 == 0)
+    more = [*near, (100, "another text of an id that is there already"), (8000, "another text of an id that is there already")]
+    df = docs.unionByName(spark.createDataFrame(rows(more), DOCS))
+
+    def shingles(t):
+        w = words("".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
+        return frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if w else frozenset()
+
+    sets = {(i, shingles(t)) for i, t in texts + more if i is not None and shingles(t)}
+    want = {x: sum(100 * len(x[1] & y[1]) >= 80 * len(x[1] | y[1]) for y in sets) - 1 for x in sets}
+    members = defaultdict(set)
+    for i, x in sets:
+        members[x].add(i)
+    got, links = jaccard.jaccard_links(df)
+    got = got.collect()
+    expected = Counter((i, len(shingles(t)), want.get((i, shingles(t)), 0), min(members[shingles(t)]) if (i, shingles(t)) in want else None) for i, t in texts + more)
+    assert Counter((x["doc_id"], x["n_shingles"], x["n_links"], x["representative_id"]) for x in got) == expected
+    assert len({x["class_id"] for x in got} - {None}) == len(members)
+    linked = [(x, y) for x in members for y in members if x != y and 100 * len(x & y) >= 80 * len(x | y)]
+    assert links.count() == links.distinct().count() == len(linked) // 2 > 200
+    assert jaccard.jaccard_links(no_docs)[0].collect() == []
