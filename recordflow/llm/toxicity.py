@@ -180,21 +180,23 @@ class Model:
             best = np.maximum(best, self.table[b])
         score = best - self.learn.drift
         h = tokens.words.hash
-        score[1:][h[1:] == h[:-1]] = -self.learn.drift  # a word said again at once tells nothing new
+        again = h[1:] == h[:-1]
+        first = tokens.words.docs[1:-1]  # of the documents after the first of the chunk
+        again[first[(first > 0) & (first < len(h))] - 1] = False
+        score[1:][again] = -self.learn.drift  # a word said again at once in a document tells nothing new
         return score
 
     def segments(self, tokens: Tokens) -> Iterator[list[tuple[int, int, float]]]:
         """Maximal segments of each document, by word."""
         s, w = self.scores(tokens), tokens.words
         up = s > 0
-        sums = np.concatenate(([0.0], np.cumsum(s)))
         for i in range(len(w.docs) - 1):
             a, b = int(w.docs[i]), int(w.docs[i + 1])
             at = np.flatnonzero(up[a:b])
             if not len(at):
                 yield []
                 continue
-            at += a
+            sums = np.concatenate(([0.0], np.cumsum(s[a:b])))  # of this document alone, so that equal texts have equal sums
             cut = np.flatnonzero(np.diff(at) > 1) + 1
             first = at[np.concatenate(([0], cut))]
             last = at[np.concatenate((cut - 1, [len(at) - 1]))]
@@ -204,7 +206,7 @@ class Model:
             order_last, value = order_first.copy(), np.empty(2 * len(first) - 1)
             order_first[::2], order_last[::2], value[::2] = first, last, run
             order_first[1::2], order_last[1::2], value[1::2] = last[:-1] + 1, first[1:] - 1, gap
-            yield maximal_segments(order_first.tolist(), order_last.tolist(), value.tolist())
+            yield maximal_segments((order_first + a).tolist(), (order_last + a).tolist(), value.tolist())
 
     def features(self, segments: list[tuple[int, int, float]], words: int) -> tuple[float, float]:
         """Calibrated sum, lambda S - ln(K m) and 0 at least, of the best segment, and the logarithm of 1 + that of all."""

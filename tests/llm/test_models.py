@@ -146,6 +146,16 @@ def test_toxicity(spark):
     assert kept.columns == docs.columns and Counter(r["doc_id"] for r in kept.collect()) == Counter(r["doc_id"] for r in got if not r["predicted"])
 
 
+def test_toxicity_of_equal_texts(spark):
+    texts, labels = toxic_corpus(300)
+    texts += [(9000 + i, t) for i, t in enumerate(["moronic"] * 6 + ["", None, "moronic", "the moronic", "moronic", texts[7][1], texts[7][1], ""])]
+    docs = spark.createDataFrame(rows(texts), DOCS).coalesce(1)
+    lab = spark.createDataFrame([(i, 0, t) for i, t in labels], "doc_id long, quality int, toxic int")
+    got = {r["doc_id"]: (r["score"], [tuple(p) for p in r["passages"]]) for r in toxicity.toxicity(docs, lab).collect()}
+    assert len({repr(got[9000 + i]) for i in (0, 1, 2, 3, 4, 5, 8, 10)}) == 1 and got[9000][0] > got[9006][0]
+    assert got[9011] == got[9012] == got[7]
+
+
 def test_toxicity_without_labels(spark, no_docs):
     lab = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     docs = spark.createDataFrame(rows([(1, "some text"), (2, None)]), DOCS)
