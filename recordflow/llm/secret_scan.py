@@ -38,6 +38,7 @@ from .common import documents_view, light_batches
 
 MOST_FINDINGS = 20_000
 NEAR = 48  # bytes looked at on either side of a candidate
+WINDOW = 256  # bytes of a candidate judged at once; a longer one counts as its most secret window
 MASK = b"<secret>"
 RESULT = "doc_id long, n_candidates long, n_secrets long, n_masked_bytes long, masked_sha256 string, findings array<struct<start:long,end:long,score:double>>"
 
@@ -162,20 +163,23 @@ def covered_by_words(value: str) -> float:
     return covered / max(1, n)
 
 
-def features(before: bytes, value: bytes, after: bytes) -> list[float]:
-    v = value.decode("latin-1")
-    n = len(v)
-    kinds = ["d" if c in string.digits else "u" if c in string.ascii_uppercase else "l" if c in string.ascii_lowercase else "s" for c in v[:256]]
-    letters = [ord(c) - 97 if "a" <= c <= "z" else 26 for c in v[:256].lower()]
+def windows(value: bytes) -> list[bytes]:
+    """Windows that cover a value, each half over the next."""
+    last = max(0, len(value) - WINDOW)
+    return [value[at : at + WINDOW] for at in [*range(0, last, WINDOW // 2), last]]
+
+
+def characters(part: bytes) -> list[float]:
+    """What the characters of a window are like."""
+    v = part.decode("latin-1")
+    kinds = ["d" if c in string.digits else "u" if c in string.ascii_uppercase else "l" if c in string.ascii_lowercase else "s" for c in v]
+    letters = [ord(c) - 97 if "a" <= c <= "z" else 26 for c in v.lower()]
     table = _transitions()
     pairs = [table[a, b] for a, b in zip(letters, letters[1:], strict=False) if a < 26 and b < 26]
     share = {k: kinds.count(k) / len(kinds) for k in "duls"}
-    _, counts = np.unique(np.frombuffer(value[:256], np.uint8), return_counts=True)
+    _, counts = np.unique(np.frombuffer(part, np.uint8), return_counts=True)
     p = counts / counts.sum()
-    left, right = before[-NEAR:].decode("latin-1").lower(), after[:NEAR].decode("latin-1").lower()
-    left_words = re.findall(r"[a-z0-9_-]+", left)[-4:]
     return [
-        min(n, 512),
         share["d"],
         share["u"],
         share["l"],
@@ -183,8 +187,17 @@ def features(before: bytes, value: bytes, after: bytes) -> list[float]:
         sum(a != b for a, b in zip(kinds, kinds[1:], strict=False)) / max(1, len(kinds) - 1),
         float(np.mean(pairs)) if pairs else 0.0,
         float(-(p * np.log2(p)).sum()),
-        covered_by_words(v[:256]),
-        float(v.count("/") + v.count("\\")) / max(1, n) * 10,
+        covered_by_words(v),
+    ]
+
+
+def surroundings(before: bytes, value: bytes, after: bytes) -> list[float]:
+    """What form the whole candidate has, and what stands around it."""
+    v = value.decode("latin-1")
+    left, right = before[-NEAR:].decode("latin-1").lower(), after[:NEAR].decode("latin-1").lower()
+    left_words = re.findall(r"[a-z0-9_-]+", left)[-4:]
+    return [
+        float(v.count("/") + v.count("\\")) / max(1, len(v)) * 10,
         float(bool(re.search(r"^[./~]|://|\.(?:js|css|png|jpe?g|gif|html?|php|py|java|txt|json|xml|svg|pdf)\b", v))),
         float(bool(re.search(r"https?:|www\.|@", left[-24:] + v))),
         float(bool(re.fullmatch(r"[0-9a-f]{8}-(?:[0-9a-f]{4}-){3}[0-9a-f]{12}", v.lower()))),
@@ -197,6 +210,17 @@ def features(before: bytes, value: bytes, after: bytes) -> list[float]:
     ]
 
 
+def by_window(before: bytes, value: bytes, after: bytes) -> list[list[float]]:
+    """Features of a candidate, once for each of its windows."""
+    around = surroundings(before, value, after)
+    return [[min(len(value), 512), *characters(w), *around] for w in windows(value)]
+
+
+def features(before: bytes, value: bytes, after: bytes) -> list[float]:
+    """Features by the first window."""
+    return [min(len(value), 512), *characters(value[:WINDOW]), *surroundings(before, value, after)]
+
+
 def labelled_findings(n: int = 4000, seed: int = 11) -> list[tuple[bytes, bytes, bytes, int]]:
     """Made-up findings with labels, cut by ``candidates``, half of them secrets; the same for each seed."""
     r = random.Random(seed)
@@ -371,8 +395,12 @@ def judged(text: bytes, forest: Forest) -> list[tuple[int, int, float]]:
     spans = candidates(text)
     if not spans:
         return []
-    x = np.array([features(text[max(0, a - NEAR) : a], text[a:b], text[b : b + NEAR]) for a, b in spans])
-    return [(a, b, float(s)) for (a, b), s in zip(spans, forest.scores(x), strict=True)]
+    x, first = [], []
+    for a, b in spans:
+        first.append(len(x))
+        x += by_window(text[max(0, a - NEAR) : a], text[a:b], text[b : b + NEAR])
+    best = np.maximum.reduceat(forest.scores(np.array(x)), first)
+    return [(a, b, float(s)) for (a, b), s in zip(spans, best, strict=True)]
 
 
 def masked(text: bytes, findings: list[tuple[int, int, float]], least: float) -> bytes:

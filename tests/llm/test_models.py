@@ -216,6 +216,17 @@ def test_secrets_in_longer_runs():
         assert [s < 0.5 for _, _, s in secret_scan.judged(text, forest)] == [True]
 
 
+def test_long_candidates_are_judged_whole():
+    r = random.Random(6)
+    secret = "".join(r.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", k=256)).encode()
+    text = b"token = " + b"the_default_user_name_" * 60 + secret
+    [(a, b, score)] = secret_scan.judged(text, secret_scan.default_forest())
+    assert (a, b) == (8, len(text)) and score >= 0.5
+    assert secret_scan.judged(b"token = " + b"the_default_user_name_" * 60, secret_scan.default_forest())[0][2] < 0.5
+    value = bytes(range(256)) * 9 + b"tail"
+    assert b"".join(w[: secret_scan.WINDOW // 2] for w in secret_scan.windows(value)[:-1])[: len(value) - 300] == value[: len(value) - 300] and secret_scan.windows(value)[-1] == value[-256:]
+
+
 def test_findings_are_cut_by_candidates():
     for before, value, after, _ in secret_scan.labelled_findings(300, seed=4):
         assert value in [(before + value + after)[a:b] for a, b in secret_scan.candidates(before + value + after)] or len(before) == secret_scan.NEAR or len(after) == secret_scan.NEAR
