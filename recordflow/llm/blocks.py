@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import groups as G
-from .common import U64, Words, chunks, discard, materialise, part_of, partitions, prefix, runs, span_hash
+from .common import U64, Words, chunks, discard, materialise, part_of, partitions, runs, window_hash
 
 GROUP_WORDS = 2_000_000  # words of a group of documents
 GROUP_WINDOWS = 1_000_000  # candidate windows of a group
@@ -76,7 +76,7 @@ def probes(docs: DataFrame, window: int, parts: int) -> DataFrame:
             doc = w.doc_of()
             at = w.windows(block)
             at = at[many[doc[at]] >= window]
-            h = span_hash(prefix(w.hash), at, at + block)
+            h = window_hash(w.hash, block)[at]
             inside = at - w.docs[doc[at]]
             group.held.append((h, (bases[doc[at]] + inside) << 1 | (inside % block == 0)))
             if group.size >= GROUP_WORDS:
@@ -153,7 +153,7 @@ def candidates(docs: DataFrame, window: int, parts: int) -> DataFrame:
                 start, count = G.load(spans.as_py())
                 marked[w.docs[i] : w.docs[i + 1]] = spread(start, count, window - block, many[i])
             at = at[marked[at]]
-            f, g = (span_hash(prefix(w.hash, k), at, at + window, k) for k in (0, 1))
+            f, g = (window_hash(x, window)[at] for x in (w.hash, w.check))
             group.held.append((f, (g >> U64(32)).astype(np.uint32), chunk.ids[doc[at]].astype(np.int64), bases[doc[at]] + at - w.docs[doc[at]]))
             group.weight += len(at)
             if group.weight >= GROUP_WINDOWS or group.size >= 1 << 30:

@@ -1,53 +1,61 @@
 """Helpers that several operators of this subpackage use.
 
 Bytes and words are handled a chunk of whole documents at a time, as numpy
-arrays over Arrow's buffers: no Python object is made per word or per byte.
-Hashes are polynomials modulo 2**64, so that the hash of any window is a
-difference of two prefix sums.
+arrays over Arrow's buffers: no Python object is made per place of a word or byte.
+A word's hash has 128 bits, of its bytes under a fixed seed. The hash of a window is
+joined from those of its halves, and scrambled at each step, so that no two windows
+can cancel out in a sum, whatever their words are.
 """
 
 from __future__ import annotations
 
+import contextlib
 import ctypes
 import functools
-import gc
-import time
 import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..shared import hadoop_path, shared_dir
+from ..shared import hadoop_path, written
 
 BATCH_BYTES = 8 << 20  # of an Arrow batch on its way to Python; rows of whole documents are large
 CHUNK_BYTES = 1 << 20  # text handled at once; a longer document is a chunk of its own
-MASK = (1 << 64) - 1
-BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)  # odd, so that they have inverses
+SALTS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)  # odd
 U64 = np.uint64
 
 
+@contextlib.contextmanager
+def freeing(spark: SparkSession) -> Iterator[None]:
+    """Plans run here delete their shuffle files when they end; only their results go on."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, "false")
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     This cuts the lineage in a way that survives lost executors. Shuffle files
-    that only the written plan needed can go, so they are let go at once.
+    that only the written plan needed go with its end.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/recordflow/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    schema = df.schema
-    del df
-    release(spark)
-    back = spark.read.schema(schema).parquet(path)
-    back._recordflow_path = path
-    return back
+    with freeing(df.sparkSession):
+        return written(df, name)
 
 
 def light_batches(spark: SparkSession) -> None:
-    """Bound the bytes of Arrow batches, unless the session has a smaller bound already."""
+    """Bound the bytes of Arrow batches, unless the session has a smaller bound already.
+
+    The bound stays set, as the plans that need it are run later, by the caller.
+    """
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
     if (now := int(spark.conf.get(name).rstrip("b"))) < 0 or now > BATCH_BYTES:
         spark.conf.set(name, str(BATCH_BYTES))
@@ -62,22 +70,11 @@ def trim() -> None:
         pass
 
 
-def release(spark: SparkSession) -> None:
-    """Let go of the shuffle files of plans that have ended.
-
-    Spark deletes them once the driver has collected the plan as garbage; what the
-    end of the job still holds takes a second collection.
-    """
-    for _ in range(2):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.25)
-
-
-def discard(df: DataFrame) -> None:
-    """Delete a table written by ``materialise`` that no later plan reads."""
-    path, store = hadoop_path(df.sparkSession, df._recordflow_path)
-    store.delete(path, True)
+def discard(*tables: DataFrame) -> None:
+    """Delete tables written by ``materialise`` that no later plan reads."""
+    for df in tables:
+        path, store = hadoop_path(df.sparkSession, df._recordflow_path)
+        store.delete(path, True)
 
 
 def partitions(spark: SparkSession) -> int:
@@ -95,41 +92,25 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def powers(n: int, which: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """Powers 0..n-1 of a base, and of its inverse."""
-    got = _POWERS.get(which)
-    if got is None or len(got[0]) < n:
-        size = max(n, 1 << 16)
-        base = BASES[which]
-        both = []
-        for b in (base, pow(base, -1, 1 << 64)):
-            steps = np.full(size, b, U64)
-            steps[0] = 1
-            both.append(np.cumprod(steps))
-        _POWERS[which] = got = (both[0], both[1])
-    return got[0][:n], got[1][:n]
-
+def join_hashes(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Hashes of what stands at left followed by what stands at right; both are scrambled already."""
+    return mix(left * U64(SALTS[0]) + right)
 
-def prefix(values: np.ndarray, which: int = 0) -> np.ndarray:
-    """Prefix sums of values[i] * base**i, with a leading 0."""
-    out = np.zeros(len(values) + 1, U64)
-    np.cumsum(values * powers(len(values), which)[0], out=out[1:])
-    return out
-
-
-def span_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray, which: int = 0) -> np.ndarray:
-    """Hashes of values[start:end], from their prefix sums."""
-    inverse = powers(len(sums), which)[1]
-    return mix((sums[end] - sums[start]) * inverse[start] + (end - start).astype(U64))
 
-
-@functools.cache
-def byte_values() -> np.ndarray:
-    """A scrambled 64-bit value for each byte."""
-    return mix(np.arange(1, 257, dtype=U64) * U64(BASES[1]))
+def window_hash(h: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of all windows of k values that start at 0, 1 and so on."""
+    n, done, out, size, part = len(h) - k + 1, 0, None, 1, mix(h ^ U64(SALTS[1]))
+    if n <= 0:
+        return np.zeros(0, U64)
+    while True:  # a window is made up of windows of 1, 2, 4 and so on, by the binary digits of k
+        if k & size:
+            here = part[done : done + n]
+            out = here if out is None else join_hashes(out, here)
+            done += size
+        if 2 * size > k:
+            return out
+        part = join_hashes(part[:-size], part[size:])
+        size *= 2
 
 
 @functools.cache
@@ -148,6 +129,9 @@ def lower_table() -> np.ndarray:
     return out
 
 
+_digest = functools.partial(xxhash.xxh3_128_digest, seed=SALTS[0])
+
+
 class Chunk:
     """Some whole documents: ids, their bytes end to end, and the bounds of each."""
 
@@ -180,7 +164,7 @@ def chunks(batches: Iterable[pa.RecordBatch], id_name: str = "doc_id", text_name
 
 
 class Words:
-    """The words of a chunk: byte start and end of each, hash, and each document's first word."""
+    """The words of a chunk: byte start and end of each, 128 bits of hash, and each document's first word."""
 
     def __init__(self, chunk: Chunk, lower: bool = False, parting: np.ndarray | None = None):
         data = chunk.data
@@ -197,9 +181,14 @@ class Words:
         after[:-1] = word[1:]
         self.end = np.flatnonzero(word & (~after | first[1:])) + 1
         self.docs = np.searchsorted(self.start, chunk.bounds)  # of document i: words docs[i]:docs[i + 1]
-        values = lower_table()[data] if lower else data
-        self.byte_sums = prefix(byte_values()[values])
-        self.hash = span_hash(self.byte_sums, self.start, self.end)
+        letters = np.ascontiguousarray((lower_table()[data] if lower else data)[word])
+        ends = np.zeros(len(self.start) + 1, np.int64)
+        np.cumsum(self.end - self.start, out=ends[1:])
+        coded = pa.Array.from_buffers(pa.large_binary(), len(self.start), [None, pa.py_buffer(ends), pa.py_buffer(letters)]).dictionary_encode()
+        self.code = coded.indices.to_numpy()  # of each word, among the distinct ones
+        self.distinct = coded.dictionary
+        lanes = np.frombuffer(b"".join(map(_digest, self.distinct.to_pylist())), U64).reshape(-1, 2)
+        self.hash, self.check = lanes[self.code, 0], lanes[self.code, 1]
 
     def __len__(self) -> int:
         return len(self.start)
@@ -214,6 +203,22 @@ class Words:
         return at[at + k <= last]
 
 
+def eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on, as one value."""
+    return np.array(np.ndarray(max(0, len(data) - 7), "<u8", np.ascontiguousarray(data), strides=(1,)) if len(data) > 7 else (), U64)
+
+
+def same_bytes(data: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether the ``size`` bytes (8 at least) from each place in a on are those from b on."""
+    out = np.ones(len(a), bool)
+    if len(a):
+        part = np.ndarray(len(data) - 7, "<u8", np.ascontiguousarray(data), strides=(1,))
+        for at in range(0, int(size.max()), 8):
+            step = np.minimum(at, size - 8)
+            out &= part[a + step] == part[b + step]
+    return out
+
+
 def runs(sorted_values: np.ndarray) -> np.ndarray:
     """Where runs of equal values start, with the length at the end."""
     if not len(sorted_values):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialise
+from .common import discard, freeing, materialise
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -24,9 +24,8 @@ def _small_star(edges: DataFrame) -> DataFrame:
 
 def _is_stars(edges: DataFrame) -> bool:
     """Whether each node hangs on one node, which hangs on none: then nothing is left to do."""
-    if not edges.groupBy("u").count().where("count > 1").isEmpty():
-        return False
-    return edges.join(edges.select(F.col("u").alias("v")), "v", "left_semi").isEmpty()
+    with freeing(edges.sparkSession):
+        return edges.groupBy("u").count().where("count > 1").isEmpty() and edges.join(edges.select(F.col("u").alias("v")), "v", "left_semi").isEmpty()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -40,4 +39,6 @@ def components(links: DataFrame) -> DataFrame:
         following = materialise(_small_star(_large_star(edges)), "edges")
         discard(edges)
         edges = following
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    out = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    out._recordflow_path = edges._recordflow_path
+    return out

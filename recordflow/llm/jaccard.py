@@ -44,11 +44,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import groups as G
-from .common import BASES, U64, Chunk, Words, chunks, discard, materialise, mix, part_of, partitions, prefix, runs, span_hash
+from .common import SALTS, U64, Chunk, Words, chunks, discard, freeing, join_hashes, materialise, mix, part_of, partitions, runs, window_hash
 from .components import components
 
 GROUP_ENTRIES = 1_000_000  # segment hashes of a group of documents
 LOW = U64(0xFFFFFFFF)
+SKETCH = 16  # longs of parities of a set
 MEMBERS = "key long, node long, n int, form int, own boolean, wants0 boolean, wants1 boolean"
 
 
@@ -103,13 +104,16 @@ class Shingles:
     def __init__(self, chunk: Chunk, like: Similarity):
         w = Words(chunk, lower=True)
         many = np.diff(w.docs)
-        sums = prefix(w.hash)
         at = w.windows(like.words)
-        short = np.flatnonzero((many > 0) & (many < like.words))
-        doc = np.concatenate([w.doc_of()[at], short])
-        start = np.concatenate([at, w.docs[short]])
-        end = np.concatenate([at + like.words, w.docs[short + 1]])
-        h = span_hash(sums, start, end)
+        doc, h = [w.doc_of()[at]], [window_hash(w.hash, like.words)[at]]
+        for k in range(1, like.words):  # documents of fewer words are one shingle each
+            short = np.flatnonzero(many == k)
+            whole = np.full(len(short), k, U64)
+            for j in range(k):
+                whole = join_hashes(whole, w.hash[w.docs[short] + j])
+            doc.append(short)
+            h.append(whole)
+        doc, h = np.concatenate(doc), np.concatenate(h)
         order = np.lexsort((h, doc))
         doc, h = doc[order], h[order]
         new = np.ones(len(h), bool)
@@ -131,7 +135,7 @@ def set_keys(docs: DataFrame, like: Similarity) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in chunks(batches):
             s = Shingles(chunk, like)
-            k = [mix(s.total(mix(s.hash ^ U64(b))) + s.n.astype(U64)).view(np.int64) for b in BASES]
+            k = [mix(s.total(mix(s.hash ^ U64(b))) + s.n.astype(U64)).view(np.int64) for b in SALTS]
             yield pa.RecordBatch.from_arrays([chunk.rows.column("doc_id"), chunk.rows.column("tag"), pa.array(s.n), pa.array(k[0]), pa.array(k[1])], ["doc_id", "tag", "n_shingles", "k0", "k1"])
 
     return docs.mapInArrow(run, "doc_id long, tag long, n_shingles long, k0 long, k1 long")
@@ -145,7 +149,7 @@ def segment_entries(s: Shingles, like: Similarity) -> Iterator[tuple[np.ndarray,
     """
     power = max(10, int(s.n.max(initial=1)).bit_length())
     b = bands(power, like)
-    value = mix(s.hash ^ U64(BASES[1]))
+    value = mix(s.hash ^ U64(SALTS[1]))
     own_band = b.of(s.n)
     for down in (0, 1):
         band = own_band - down
@@ -158,7 +162,7 @@ def segment_entries(s: Shingles, like: Similarity) -> Iterator[tuple[np.ndarray,
         doc, h, v = s.doc[tokens], s.hash[tokens], value[tokens]
         size = np.where(in_use, b.segments[np.maximum(band, 0)], 0)
         base = np.cumsum(size) - size
-        seed = mix(band.astype(np.int64).view(U64) + U64(BASES[0]))
+        seed = mix(band.astype(np.int64).view(U64) + U64(SALTS[0]))
         seg = ((mix(h ^ seed[doc]) >> U64(32)) * size[doc].astype(U64) >> U64(32)).astype(np.int64)
         place = base[doc] + seg
         order = np.argsort(place)
@@ -319,16 +323,27 @@ def verified(pairs: DataFrame, sets: DataFrame, like: Similarity) -> DataFrame:
     return pairs.join(two, "b").join(one, "a").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
+def parities(s: Shingles) -> np.ndarray:
+    """Of each document SKETCH longs: bit i is the parity of the tokens whose hash falls on i.
+
+    The bits in which two sketches differ are at most the tokens in which the sets do.
+    """
+    at = mix(s.hash ^ U64(SALTS[0])) >> U64(64 - (64 * SKETCH - 1).bit_length())
+    out = np.zeros(len(s.n) * SKETCH, U64)
+    np.bitwise_xor.at(out, s.doc * SKETCH + (at >> U64(6)).astype(np.int64), U64(1) << (at & U64(63)))
+    return out.reshape(-1, SKETCH).view(np.int64)
+
+
 def set_table(docs: DataFrame, like: Similarity) -> DataFrame:
-    """node, members (sorted 64-bit hashes) of documents."""
+    """node, n, members (sorted 64-bit hashes) and the sketch p0, p1 and so on of documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in chunks(batches):
             s = Shingles(chunk, like)
             raw = [s.hash[a:b].tobytes() for a, b in zip(s.first[:-1], s.first[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([chunk.rows.column("doc_id"), pa.array(raw, pa.binary())], ["node", "members"])
+            yield pa.RecordBatch.from_arrays([chunk.rows.column("doc_id"), pa.array(s.n.astype(np.int32)), pa.array(raw, pa.binary()), *map(pa.array, np.ascontiguousarray(parities(s).T))], ["node", "n", "members", *(f"p{i}" for i in range(SKETCH))])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "node long, members binary")
+    return docs.select("doc_id", "text").mapInArrow(run, "node long, n int, members binary, " + ", ".join(f"p{i} long" for i in range(SKETCH)))
 
 
 def lone_tokens(sets: DataFrame) -> DataFrame:
@@ -378,37 +393,56 @@ def segment_rows(own: DataFrame, reps: DataFrame, like: Similarity) -> tuple[Dat
     return rows, sets
 
 
+def with_sketches(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    return rows.join(sets.drop("members"), ["node", "n"])
+
+
 def candidates(wanting: DataFrame, some: DataFrame, like: Similarity) -> DataFrame:
-    """Pairs of rows that want a partner and partners (key, partner) that they can link to."""
-    other = some.select("key", F.col("partner.node").alias("other"), F.col("partner.n").alias("m"), F.col("partner.lone").alias("gone"), F.col("partner.form").alias("kind"), *(["there"] if "there" in some.columns else []))
-    met = wanting.join(other, "key").where("node <> other and ((kind = 0 and wants0) or (kind = 1 and wants1))" + (" and component <> there" if "there" in some.columns else ""))
+    """Pairs of rows that want a partner and rows of the same key that they can link to.
+
+    Refused are pairs of one component, where components are told, pairs with too many
+    lone tokens, and, where sketches are told, pairs whose parities differ too often: none of these can be a new link.
+    """
+    told = [("component", "there")] * ("component" in some.columns) + [(f"p{i}", f"q{i}") for i in range(SKETCH)] * ("p0" in some.columns)
+    other = some.select("key", *(F.col(x).alias(y) for x, y in [("node", "other"), ("n", "m"), ("lone", "gone"), ("form", "kind"), *told]))
+    met = wanting.join(other, "key").where("node <> other and ((kind = 0 and wants0) or (kind = 1 and wants1))")
+    if "component" in some.columns:
+        met = met.where("component <> there")
     met = met.where(can_link(F.col("n"), F.col("lone"), F.col("m"), F.col("gone"), like.percent))
+    if "p0" in some.columns:
+        met = met.where(" + ".join(f"bit_count(p{i} ^ q{i})" for i in range(SKETCH)) + f" <= ({100 - like.percent} * (n + m)) div {100 + like.percent}")
     return met.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
 
 
 def links_of(own: DataFrame, reps: DataFrame, like: Similarity) -> DataFrame:
-    """node, component of the representatives that link (other than the least of a component)."""
+    """node, component of the representatives that link (other than the least of a component).
+
+    The rows of a segment lie at places from 0 to their number, by a hash of the node;
+    each round takes the partners in the next stretch of these places, in all segments
+    that still join several components. So no segment's rows are ever ordered or gathered in one task.
+    """
     rows, sets = segment_rows(own, reps, like)
-    first = rows.where("own").groupBy("key").agg(F.min(F.expr(PARTNER)).alias("partner"))
-    tested = materialise(candidates(rows.where("wants0 or wants1"), first, like), "tested")
-    links = materialise(verified(tested, sets, like), "links")
-    comp, low, width = components(links), 0, 2
-    while True:  # partners low to low + width of each segment whose members aren't one component yet
+    hub = rows.where("own").groupBy("key").agg(F.min(F.expr(PARTNER)).alias("hub")).select("key", "hub.*")
+    tested = materialise(candidates(rows.where("wants0 or wants1"), hub, like), "tested")
+    comp = components(verified(tested, sets, like))
+    low, width, place = 0, 2, F.pmod(F.xxhash64("node"), F.lit(1 << 30)) * F.col("many") / (1 << 30)
+    refuted = tested
+    while True:
         placed = _with_component(rows, comp)
-        mixed = placed.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1").select("key")
-        left = materialise(placed.join(mixed, "key", "left_semi"), "open")
-        ranked = left.where("own").select("key", F.expr(PARTNER).alias("partner"), F.col("component").alias("there")).withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy("partner")) - 1)
-        some = ranked.where((F.col("rank") >= low) & (F.col("rank") < low + width))
-        more = materialise(candidates(left.where("wants0 or wants1"), some, like).join(tested, ["a", "b"], "left_anti"), "tested")
-        new = materialise(verified(more, sets, like), "links")
-        over = left.where("own").groupBy("key").count().where(F.col("count") > low + width).isEmpty()
+        mixed = placed.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.sum(F.col("own").cast("long")).alias("many")).where("c0 <> c1").select("key", "many")
+        left = materialise(with_sketches(placed.join(mixed, "key"), sets), "open")
+        some = left.where("own").where((place >= low) & (place < low + width))
+        more = materialise(candidates(left.where("wants0 or wants1"), some, like).join(refuted, ["a", "b"], "left_anti"), "tested")
+        with freeing(own.sparkSession):
+            done = left.where(F.col("many") > low + width).isEmpty()
         discard(left)
-        if not new.isEmpty():
-            links = links.unionByName(new)
-            comp = components(links)
-        if over:
+        before = comp
+        comp = components(verified(more, sets, like).unionByName(before.select(F.col("node").alias("a"), F.col("component").alias("b"))))
+        discard(before)
+        if done:
+            discard(rows, sets, tested)
             return comp
-        tested = tested.unionByName(more)
+        refuted = refuted.unionByName(more)
         low, width = low + width, 4 * width
 
 
@@ -432,7 +466,8 @@ def jaccard_components(docs: DataFrame, like: Similarity = Similarity()) -> Data
 def all_links(own: DataFrame, reps: DataFrame, like: Similarity) -> DataFrame:
     """All links (a, b) of the representatives, each verified on the whole sets; as many rows as there are."""
     rows, sets = segment_rows(own, reps, like)
-    tested = materialise(candidates(rows.where("wants0 or wants1"), rows.where("own").select("key", F.expr(PARTNER).alias("partner")), like), "tested")
+    both = materialise(with_sketches(rows, sets), "open")
+    tested = materialise(candidates(both.where("wants0 or wants1"), both.where("own"), like), "tested")
     return materialise(verified(tested, sets, like).distinct(), "links")  # repeated rows of a representative give their links again
 
 

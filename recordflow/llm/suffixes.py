@@ -10,11 +10,12 @@ same distance, so repeats only need to be sought among the places of one anchor.
    belong to it. Contexts that one group of documents shares are sent once, for the
    smallest id. Anchors with very many occurrences send each string as a context of
    its own, dealt by its own hash, so no anchor gathers in one task.
-3. A partition takes its contexts in batches of rising id. A context seen before is
-   covered. Each batch of the others gets a suffix array: the starts of its strings
-   in the order of their bytes. It is scanned against the arrays of the levels so far
-   for matches, becomes the lowest level, and levels of equal size merge, so that
-   sizes are geometric and a suffix is merged a logarithmic number of times.
+3. A partition takes its contexts in batches of rising id. A context whose bytes were
+   seen before is covered. Each batch of the others, where an anchor has several, gets a
+   suffix array: the places of its strings in the order of their bytes. It is merge-scanned against the
+   arrays of the levels so far for matches, becomes the lowest level, and levels of like size
+   merge, so that sizes are geometric and a suffix is merged a logarithmic number of times.
+   Hashes only bring together what may be equal; bytes decide what goes.
 4. Documents drop the covered bytes.
 
 Defined results: null and empty texts have no bytes; a document without an id is no
@@ -27,6 +28,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +38,7 @@ from pyspark.sql import functions as F
 
 from . import groups as G
 from .blocks import spread
-from .common import U64, byte_values, chunks, discard, materialise, mix, part_of, partitions, prefix, runs, span_hash
+from .common import SALTS, U64, chunks, discard, eights, join_hashes, materialise, mix, part_of, partitions, runs, same_bytes
 
 GRAM = 25
 GROUP_ANCHORS = 1_500_000  # anchors of a group of documents
@@ -47,15 +49,22 @@ RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 s
 LOW = U64(0xFFFFFFFF)
 
 
+def gram_hashes(data: np.ndarray) -> np.ndarray:
+    """Hashes of the strings of GRAM bytes that start at each byte, from their bytes eight at a time."""
+    n = max(0, len(data) - GRAM + 1)
+    part, out = mix(eights(data) ^ U64(SALTS[1])), np.full(n, GRAM, U64)
+    for at in [*range(0, GRAM - 8, 8), GRAM - 8]:
+        out = join_hashes(out, part[at : at + n])
+    return out
+
+
 class Anchors:
     """The anchors of a chunk: place, first string and number of strings of each, and hash."""
 
     def __init__(self, chunk, length: int):
-        self.sums = prefix(byte_values()[chunk.data])
         n, width = len(chunk.data), length - GRAM + 1
-        at = np.arange(max(0, n - GRAM + 1))
-        h = span_hash(self.sums, at, at + GRAM)
-        key = mix(h) & ~LOW | at.astype(U64)  # least hash first, leftmost on ties
+        self.grams = h = gram_hashes(chunk.data)
+        key = mix(h) & ~LOW | np.arange(len(h), dtype=U64)  # least hash first, leftmost on ties
         got = 1
         while got < width:  # minima over 1, 2, 4 and so on, up to the width
             step = min(got, width - got)
@@ -99,11 +108,13 @@ def anchors(docs: DataFrame, length: int, parts: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group = G.Group()
         for chunk in chunks(batches):
+            if group.size and group.size + len(chunk.data) >= 1 << 30:  # places take 31 bits, with a chunk of 2 GB at most
+                yield flush(group)
             a = Anchors(chunk, length)
             bases = group.add(chunk.ids, chunk.rows.column("tag").to_numpy(), np.diff(chunk.bounds))
             group.held.append((a.hash, bases[a.doc] + a.start - chunk.bounds[a.doc]))
             group.weight += len(a.hash)
-            if group.weight >= GROUP_ANCHORS or group.size >= 1 << 30:
+            if group.weight >= GROUP_ANCHORS:
                 yield flush(group)
         if group.size:
             yield flush(group)
@@ -143,6 +154,19 @@ def gather_bytes(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.nd
     return data[np.repeat(start - (ends - size), size) + np.arange(total)]
 
 
+def equal_contexts(a: np.ndarray, c: np.ndarray, doc: np.ndarray, text: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order of contexts by anchor and bytes, then document, and where runs of equal ones begin.
+
+    Hashes bring equal contexts together, their bytes tell whether they are equal.
+    """
+    order = np.lexsort((doc, c, a))
+    new = np.ones(len(order), bool)
+    new[1:] = (a[order[1:]] != a[order[:-1]]) | (c[order[1:]] != c[order[:-1]]) | (size[order[1:]] != size[order[:-1]])
+    alike = np.flatnonzero(~new)
+    new[alike] = ~same_bytes(text, begin[order[alike]], begin[order[alike - 1]], size[order[alike]])
+    return order, np.flatnonzero(new)
+
+
 def contexts(docs: DataFrame, length: int, parts: int) -> DataFrame:
     """Packed contexts of the shared anchors of each document (columns doc_id, tag, text, spans)."""
 
@@ -152,10 +176,7 @@ def contexts(docs: DataFrame, length: int, parts: int) -> DataFrame:
         text = np.concatenate([x[5] for x in group.held])
         size = count + length - 1
         begin = np.cumsum(size) - size
-        order = np.lexsort((doc, c, a))
-        new = np.ones(len(a), bool)
-        new[1:] = (a[order][1:] != a[order][:-1]) | (c[order][1:] != c[order][:-1])
-        first = np.flatnonzero(new)
+        order, first = equal_contexts(a, c, doc, text, begin, size)
         least = np.repeat(doc[order][first], np.diff(np.append(first, len(a))))
         gone = order[doc[order] > least]
         left = np.sort(order[doc[order] == least])
@@ -173,6 +194,8 @@ def contexts(docs: DataFrame, length: int, parts: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group = G.Group()
         for chunk in chunks(batches):
+            if group.size and group.size + len(chunk.data) >= 1 << 30:
+                yield flush(group)
             a = Anchors(chunk, length)
             bases = group.add(chunk.ids, chunk.rows.column("tag").to_numpy(), np.diff(chunk.bounds))
             shared = np.zeros(len(chunk.data) + 1, np.uint8)
@@ -186,14 +209,17 @@ def contexts(docs: DataFrame, length: int, parts: int) -> DataFrame:
             start = np.concatenate([a.start[plain], single])
             count = np.concatenate([a.count[plain], np.ones(len(single), np.int64)])
             doc = np.concatenate([a.doc[plain], np.repeat(a.doc[common], each)])
-            whole = span_hash(a.sums, start, start + count + length - 1)
+            end = start + count + length - 1
+            whole = count.astype(U64)
+            for at in (start, start + GRAM, end - 2 * GRAM, end - GRAM):  # these strings cover a context, which is shorter than 4 * GRAM
+                whole = join_hashes(whole, a.grams[at])
             # the anchor's place in its context is part of the context's hash
             h = np.concatenate([a.hash[plain], whole[len(plain) :]])
             shift = np.concatenate([a.place[plain] - a.start[plain], np.zeros(len(single), np.int64)])
-            c = mix(whole + shift.astype(U64))
+            c = join_hashes(whole, shift.astype(U64))
             group.held.append((h, c, chunk.ids[doc].astype(np.int64), bases[doc] + start - chunk.bounds[doc], count, gather_bytes(chunk.data, start, count + length - 1)))
             group.weight += int((count + length - 1).sum())
-            if group.weight >= GROUP_CONTEXT_BYTES or group.size >= 1 << 31:
+            if group.weight >= GROUP_CONTEXT_BYTES:
                 yield flush(group)
         if group.size:
             yield flush(group)
@@ -201,52 +227,82 @@ def contexts(docs: DataFrame, length: int, parts: int) -> DataFrame:
     return docs.mapInArrow(run, G.PACKED)
 
 
-class SuffixLevels:
-    """Suffix arrays of geometric sizes over all batches so far.
+@dataclass(frozen=True)
+class Level:
+    """A suffix array: a text, and places in it in the order of the bytes that begin there."""
+
+    text: np.ndarray
+    place: np.ndarray
+
+    def __len__(self) -> int:
+        return len(self.place)
 
-    A level holds distinct strings in the order of their bytes; ``seen`` tells which
-    strings of a new batch a level holds. Batches come in rising order of id.
+
+class SuffixLevels:
+    """A logarithmic family of suffix arrays.
+
+    A level is a text and the places of its suffixes in the order of their first
+    ``length`` bytes, of equal ones one. A new batch gets its own suffix array, which is
+    merge-scanned against the array of each level: where a batch's suffix stands beside a
+    level's, their bytes are compared. It is then the lowest level, and a level less than twice as long
+    as the one above it is merged into that, so each suffix is merged a logarithmic number of times.
+    Batches come in rising order of id, so what a level holds is from a smaller id.
     """
 
     def __init__(self, length: int):
-        self.kind = np.dtype(f"S{length}")
-        self.levels: list[np.ndarray] = []
+        self.length = length
+        self.levels: list[Level] = []
 
-    def suffix_array(self, strings: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Order of the strings by their bytes, and which of them begin a run of equal ones."""
-        order = np.argsort(strings, kind="stable")
-        new = np.ones(len(order), bool)
-        new[1:] = strings[order[1:]] != strings[order[:-1]]
-        return order, new
+    def strings(self, text: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """The first bytes of suffixes; a last byte that isn't 0 keeps bytes 0 at the end apart."""
+        out = np.empty((len(place), self.length + 1), np.uint8)
+        out[:, : self.length] = np.lib.stride_tricks.sliding_window_view(text, self.length)[place]
+        out[:, self.length] = 1
+        return out.reshape(-1).view(f"S{self.length + 1}")
 
     def add(self, strings: np.ndarray, doc: np.ndarray) -> np.ndarray:
-        """Which strings a smaller id has, in this batch or before it; then the batch is indexed."""
-        order, new = self.suffix_array(strings)
-        first = np.flatnonzero(new)
+        """The same for a batch of single strings of ``length`` bytes."""
+        text = np.frombuffer(strings.astype(f"S{self.length}").tobytes(), np.uint8)
+        return self.add_suffixes(text, np.arange(len(strings)) * self.length, doc)
+
+    def add_suffixes(self, text: np.ndarray, place: np.ndarray, doc: np.ndarray) -> np.ndarray:
+        """Which suffixes (places of ``text``, of documents) a smaller id has, in this batch or before it; then the batch is indexed."""
+        if not len(place):
+            return np.zeros(0, bool)
+        string = self.strings(text, place)
+        order = np.argsort(string, kind="stable")
+        string = string[order]
+        first = np.flatnonzero(np.concatenate(([True], string[1:] != string[:-1])))
         size = np.diff(np.append(first, len(order)))
-        least = np.minimum.reduceat(doc[order], first) if len(first) else doc[:0]
-        distinct = strings[order[first]]
+        least = np.minimum.reduceat(doc[order], first)
+        distinct, own = string[first], place[order[first]]
         before = np.zeros(len(distinct), bool)
         for level in self.levels:
-            at = np.searchsorted(level, distinct)
-            at[at == len(level)] = 0
-            before |= level[at] == distinct
-        covered = np.zeros(len(strings), bool)
+            before |= self._scan(self.strings(level.text, level.place), distinct)[1]
+        covered = np.zeros(len(place), bool)
         covered[order] = np.repeat(before, size) | (doc[order] > np.repeat(least, size))
-        self._insert(distinct[~before])
+        self._insert(text, own[~before])
         return covered
 
-    def _insert(self, level: np.ndarray) -> None:
-        while self.levels and len(self.levels[-1]) < 2 * len(level):
-            other = self.levels.pop()
-            merged = np.empty(len(level) + len(other), self.kind)
-            at = np.searchsorted(other, level) + np.arange(len(level))
-            rest = np.ones(len(merged), bool)
-            rest[at] = False
-            merged[at], merged[rest] = level, other
-            level = merged
-        if len(level):
-            self.levels.append(level)
+    @staticmethod
+    def _scan(level: np.ndarray, batch: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The merged order of two sorted runs, the level first on ties, and which of the batch the level has."""
+        both = np.concatenate([level, batch])
+        order = np.argsort(both, kind="stable")  # of two sorted runs: one merge
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        at = rank[len(level) :]
+        beside = order[np.maximum(at - 1, 0)]
+        return order, (at > 0) & (beside < len(level)) & (both[beside] == batch)
+
+    def _insert(self, text: np.ndarray, place: np.ndarray) -> None:
+        while self.levels and len(self.levels[-1]) < 2 * len(place):
+            under = self.levels.pop()
+            order, _ = self._scan(self.strings(under.text, under.place), self.strings(text, place))
+            place = np.concatenate([under.place, place + len(under.text)])[order]
+            text = np.concatenate([under.text, text])
+        if len(place):
+            self.levels.append(Level(text, place))
 
 
 def covered(rows: DataFrame, length: int) -> DataFrame:
@@ -272,10 +328,7 @@ def covered(rows: DataFrame, length: int) -> DataFrame:
         text = np.concatenate(texts)
         size = count + length - 1
         begin = np.cumsum(size) - size
-        order = np.lexsort((doc, c, a))
-        new = np.ones(len(a), bool)
-        new[1:] = (a[order][1:] != a[order][:-1]) | (c[order][1:] != c[order][:-1])
-        first = np.flatnonzero(new)
+        order, first = equal_contexts(a, c, doc, text, begin, size)
         run_size = np.diff(np.append(first, len(a)))
         least = np.repeat(doc[order][first], run_size)
         later = doc[order] > least
@@ -290,7 +343,6 @@ def covered(rows: DataFrame, length: int) -> DataFrame:
             ids = doc[heads[rising]]
             hit_context, hit_string = [], []
             levels = SuffixLevels(length)
-            spans = np.lib.stride_tricks.sliding_window_view(text, length)
             at = 0
             while at < len(rising):  # a batch ends with a document, so that earlier batches have smaller ids only
                 end = min(at + BATCH, len(rising))
@@ -300,8 +352,8 @@ def covered(rows: DataFrame, length: int) -> DataFrame:
                 h = heads[own]
                 which = np.repeat(np.arange(len(h)), count[h])
                 string = np.arange(len(which)) - np.repeat(np.cumsum(count[h]) - count[h], count[h])
-                strings = np.ascontiguousarray(spans[begin[h][which] + string]).reshape(-1).view(levels.kind)
-                hit = levels.add(strings, doc[h][which])
+                own_begin = np.cumsum(size[h]) - size[h]
+                hit = levels.add_suffixes(gather_bytes(text, begin[h], size[h]), own_begin[which] + string, doc[h][which])
                 hit_context.append(own[which[hit]])
                 hit_string.append(string[hit])
             where, string = np.concatenate(hit_context), np.concatenate(hit_string)

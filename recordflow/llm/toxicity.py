@@ -1,9 +1,10 @@
 """Operator 3: toxicity by maximum-scoring segments.
 
-Words, and their first few bytes, are hashed into a fixed number of buckets. Counts
-over the whole corpus are a Dirichlet prior for the log-odds of each bucket between
-toxic and other labelled documents; a word's score is the best lower confidence bound
-of its buckets' log-odds less a drift, so that ordinary text scores below zero.
+A word's features are the word itself and its first few bytes. The features learnt are
+those of toxic labelled documents, told apart by 64-bit hashes. Their counts over the whole corpus are a
+Dirichlet prior for the log-odds of each between toxic and other labelled documents; a
+word's score is the best lower confidence bound of its features' log-odds less a
+drift, so that ordinary text scores below zero.
 
 A linear scan finds all maximal scoring segments of a document. Under the scores of
 clean text the sum S of a document's best segment follows an extreme-value law:
@@ -13,15 +14,17 @@ clean labelled documents. Segments are passages if that probability is at most
 ``significant``. A document's score is a logistic function, fitted to labelled rows, of
 the calibrated sums of its best and of all its segments.
 
-Labels are learnt from at most ``Learning.most`` rows, those with the least hash of the
-id; corpus counts cover all documents. Held-out rows, crc32(id as text) mod 5 = 0, are
+Labels are learnt from at most ``Learning.most`` documents, those with the least hash of the
+id, one row of each, and at most ``Learning.features`` features, those of most toxic documents;
+corpus counts cover all documents. Held-out rows, crc32(id as text) mod 5 = 0, are
 never learnt from.
 
 Defined results: null and empty texts have no segments and get the score of such texts;
 without labelled rows of both kinds all scores are 0; a row without an id is scored and
 is not held out; labels that are null, or of ids without a document, are left out; ids
-labelled twice count as toxic if any label is; repeated rows and other columns do no
-harm; an empty table gives an empty result.
+labelled twice count as toxic if any label is; of an id with several texts the least is learnt from;
+equal texts have equal scores; very long texts are handled whole, one at a time; repeated rows and other
+columns do no harm; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -35,17 +38,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, Chunk, Words, chunks, discard, documents_view, materialise, span_hash
+from .common import SALTS, U64, Chunk, Words, chunks, discard, documents_view, eights, freeing, lower_table, materialise, mix
 
-PARTS = 16  # of a vector of counts on its way
 SCORED = "doc_id long, held_out boolean, score double, predicted int, passages array<struct<start:long,end:long,sum:double,p:double>>"
 
 
 @dataclass(frozen=True)
 class Learning:
-    most: int = 20_000  # labelled rows learnt from
-    bits: int = 18  # 2**bits buckets
-    prefixes: tuple[int, ...] = (5, 6, 7, 8)  # bytes; a word counts as a whole too
+    most: int = 20_000  # labelled documents learnt from
+    features: int = 1 << 18  # learnt at most
+    prefixes: tuple[int, ...] = (5, 6, 7, 8)  # bytes, 8 at most; a word counts as a whole too
     prior: float = 200.0  # weight of the prior, in tokens
     bound: float = 1.0  # standard errors below the log-odds
     drift: float = 1.0
@@ -62,76 +64,92 @@ def parting() -> np.ndarray:
 
 
 class Tokens:
-    """Words of a chunk with the buckets of each."""
+    """Words of a chunk, and the hashes of the features of each distinct word."""
 
     def __init__(self, chunk: Chunk, learn: Learning):
         self.words = w = Words(chunk, lower=True, parting=parting())
-        shift = U64(64 - learn.bits)
-        self.buckets = [(w.hash >> shift).astype(np.int32)]
+        at = np.unique(w.code, return_index=True)[1] if len(w) else np.zeros(0, np.int64)  # a place of each distinct word
+        size = (w.end - w.start)[at]
+        letters = np.concatenate([lower_table()[chunk.data], np.zeros(8, np.uint8)])
+        begin = eights(letters)[w.start[at]]
+        columns = [w.hash[at]]
         for k in learn.prefixes:
-            end = np.minimum(w.end, w.start + k)
-            self.buckets.append((span_hash(w.byte_sums, w.start, end) >> shift).astype(np.int32))
+            n = np.minimum(size, k).astype(U64)
+            columns.append(mix(mix(begin & (~U64(0) >> (U64(64) - U64(8) * n))) ^ (n + U64(SALTS[0]))))
+        self.features = np.column_stack(columns)
 
     def per_document(self) -> tuple[np.ndarray, np.ndarray]:
-        """Document and bucket, each pair once."""
-        doc = self.words.doc_of()
-        pairs = np.concatenate([doc.astype(np.int64) << 32 | b for b in self.buckets])
-        pairs = np.unique(pairs)
-        return pairs >> 32, pairs & 0xFFFFFFFF
+        """Document and feature, each pair once."""
+        pairs = np.unique(self.words.doc_of().astype(np.int64) << 32 | self.words.code)
+        doc, hashes = pairs >> 32, self.features[pairs & 0xFFFFFFFF]
+        doc, hashes = np.repeat(doc, hashes.shape[1]), hashes.ravel()
+        order = np.lexsort((hashes, doc))
+        doc, hashes = doc[order], hashes[order]
+        new = np.ones(len(doc), bool)
+        new[1:] = (doc[1:] != doc[:-1]) | (hashes[1:] != hashes[:-1])
+        return doc[new], hashes[new]
 
 
-def summed(rows: DataFrame, size: int) -> np.ndarray:
-    """The sum of vectors that tasks sent in parts (part, payload of int64); ``size`` bounds what is collected."""
+COUNTS = "key long, n long, toxic long"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for part, payload in zip(batch.column("part").to_pylist(), batch.column("payload"), strict=True):
-                v = np.frombuffer(payload.as_buffer(), np.int64)
-                total[part] = total[part] + v if part in total else v
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([v.tobytes() for v in total.values()], pa.binary())], ["part", "payload"])
 
-    got = {r["part"]: np.frombuffer(r["payload"], np.int64) for r in rows.repartitionById(PARTS, F.col("part")).mapInArrow(run, "part int, payload binary").collect()}
-    return np.concatenate([got.get(p, np.zeros(size // PARTS, np.int64)) for p in range(PARTS)])
+def counted(key: np.ndarray, n: np.ndarray, toxic: np.ndarray | None = None) -> pa.RecordBatch:
+    toxic = np.zeros(len(key), np.int64) if toxic is None else toxic
+    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(key).view(np.int64)), pa.array(n.astype(np.int64)), pa.array(toxic.astype(np.int64))], ["key", "n", "toxic"])
 
 
-def _parts(vector: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.arange(PARTS, dtype=np.int32)), pa.array([v.tobytes() for v in np.split(vector, PARTS)], pa.binary())], ["part", "payload"])
+def added_up(rows: DataFrame) -> DataFrame:
+    """Sums of counts by key; tasks add up before the exchange."""
+    return rows.groupBy("key").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic"))
 
 
-def corpus_counts(docs: DataFrame, learn: Learning) -> np.ndarray:
-    """How often each bucket occurs in all documents."""
+def label_counts(sample: DataFrame, learn: Learning) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The features learnt, in order, and the other and toxic documents of each; ``learn.features`` bounds what is collected."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << learn.bits, np.int64)
         for chunk in chunks(batches):
-            for b in Tokens(chunk, learn).buckets:
-                total += np.bincount(b, minlength=len(total))
-        yield _parts(total)
+            doc, hashes = Tokens(chunk, learn).per_document()
+            toxic = chunk.rows.column("toxic").to_numpy()[doc]
+            yield counted(hashes, 1 - toxic, toxic)
+
+    rows = added_up(sample.mapInArrow(run, COUNTS)).where("toxic > 0").orderBy(F.desc("toxic"), "key").limit(learn.features).toPandas()
+    key = rows["key"].to_numpy(np.int64).view(U64)
+    order = np.argsort(key)
+    return key[order], rows["n"].to_numpy(np.int64)[order], rows["toxic"].to_numpy(np.int64)[order]
+
 
-    return summed(docs.select("doc_id", "text").mapInArrow(run, "part int, payload binary"), 1 << learn.bits)
+def places(features: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """The place of each hash among the features, or -1."""
+    if not len(features):
+        return np.full(hashes.shape, -1)
+    at = np.minimum(np.searchsorted(features, hashes), len(features) - 1)
+    return np.where(features[at] == hashes, at, -1)
 
 
-def label_counts(sample: DataFrame, learn: Learning) -> np.ndarray:
-    """Documents with each bucket, not toxic and toxic; the last column of each has all documents."""
-    n = 1 << learn.bits
+def corpus_counts(docs: DataFrame, features: np.ndarray, learn: Learning) -> tuple[np.ndarray, int]:
+    """How often each of the features occurs in all documents, and how many features these have in all."""
+    shared = docs.sparkSession.sparkContext.broadcast(features)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(2 * n + 2 * PARTS, np.int64)
+        own = shared.value
+        total = np.zeros(len(own) + 1, np.int64)
         for chunk in chunks(batches):
-            toxic = chunk.rows.column("toxic").to_numpy()
-            doc, bucket = Tokens(chunk, learn).per_document()
-            total += np.bincount(bucket + n * toxic[doc], minlength=len(total))
-            for k in (0, 1):
-                total[2 * n + k] += int((toxic == k).sum())
-        yield _parts(total)
+            t = Tokens(chunk, learn)
+            times = np.bincount(t.words.code, minlength=len(t.features)).astype(np.int64)
+            at = places(own, t.features)
+            np.add.at(total, at.ravel(), np.repeat(times, at.shape[1]))  # place -1 is the last: all others
+        there = np.flatnonzero(total)
+        yield counted(there, total[there])
 
-    return summed(sample.mapInArrow(run, "part int, payload binary"), 2 * n + 2 * PARTS)
+    out = np.zeros(len(features) + 1, np.int64)
+    for r in added_up(docs.select("doc_id", "text").mapInArrow(run, COUNTS)).collect():  # a row for each feature learnt, at most
+        out[r["key"]] = r["n"]
+    return out[:-1], int(out.sum())
 
 
-def log_odds(corpus: np.ndarray, other: np.ndarray, toxic: np.ndarray, documents: tuple[int, int], learn: Learning) -> np.ndarray:
-    """Lower confidence bounds of the log-odds of each bucket, with the corpus as Dirichlet prior."""
-    prior = learn.prior * (corpus + 1) / (corpus.sum() + len(corpus))
+def log_odds(corpus: np.ndarray, total: int, other: np.ndarray, toxic: np.ndarray, documents: tuple[int, int], learn: Learning) -> np.ndarray:
+    """Lower confidence bounds of the log-odds of each feature, with the corpus as Dirichlet prior."""
+    prior = learn.prior * (corpus + 1) / (total + len(corpus) + 1)
     rate = []
     for y, n in ((toxic, documents[1]), (other, documents[0])):
         rate.append(np.log((y + prior) / (n + learn.prior - np.minimum(y, n) - prior + 1)))
@@ -140,46 +158,51 @@ def log_odds(corpus: np.ndarray, other: np.ndarray, toxic: np.ndarray, documents
     return np.clip(delta - learn.bound * error, -learn.clip, learn.clip)
 
 
-def maximal_segments(first: list[int], last: list[int], score: list[float]) -> list[tuple[int, int, float]]:
+def maximal_segments(first: list[int], last: list[int], score: list[float], steps: list[int] | None = None) -> list[tuple[int, int, float]]:
     """All maximal scoring segments of a sequence given as runs: first and last word, and sum.
 
-    Linear time: each candidate keeps the sums before and after it; a new run either
-    stands alone or swallows the candidates back to the nearest with a smaller sum before.
+    Linear time: each candidate keeps the sums before and after it, and which earlier
+    candidate is the nearest with a smaller sum before it. A new run follows these links;
+    a link once followed lies under the new candidate's own, or goes with what it swallows,
+    and is never followed again. ``steps`` gets how many were followed.
     """
-    kept: list[tuple[int, int, float, float]] = []  # first, last, sum before, sum after
-    total = 0.0
+    kept: list[tuple[int, int, float, float, int]] = []  # first, last, sum before, sum after, link
+    total, n = 0.0, 0
     for a, b, s in zip(first, last, score, strict=True):
         if s <= 0:
             total += s
             continue
-        one = (a, b, total, total + s)
-        total += s
-        while kept:
-            j = len(kept) - 1
-            while j >= 0 and kept[j][2] >= one[2]:
-                j -= 1
-            if j < 0 or kept[j][3] >= one[3]:
+        begin, before, after, j = a, total, total + s, len(kept) - 1
+        total = after
+        while True:
+            while j >= 0 and kept[j][2] >= before:
+                j, n = kept[j][4], n + 1
+            if j < 0 or kept[j][3] >= after:
                 break
-            one = (kept[j][0], one[1], kept[j][2], one[3])
+            begin, before = kept[j][0], kept[j][2]
+            link = kept[j][4]
             del kept[j:]
-        kept.append(one)
-    return [(a, b, after - before) for a, b, before, after in kept]
+            j, n = link, n + 1
+        kept.append((begin, b, before, after, j))
+    if steps is not None:
+        steps.append(n)
+    return [(a, b, after - before) for a, b, before, after, _ in kept]
 
 
 @dataclass(frozen=True)
 class Model:
-    table: np.ndarray | None  # a score for each bucket
+    table: np.ndarray | None  # a score for each feature
     learn: Learning
+    known: np.ndarray | None = None  # the features, in order
     rate: float = 1.0  # lambda
     log_k: float = 0.0
     weights: tuple[float, float, float] = (0.0, 0.0, 0.0)
 
     def scores(self, tokens: Tokens) -> np.ndarray:
-        best = self.table[tokens.buckets[0]]
-        for b in tokens.buckets[1:]:
-            best = np.maximum(best, self.table[b])
-        score = best - self.learn.drift
-        h = tokens.words.hash
+        at = places(self.known, tokens.features)
+        best = np.where(at >= 0, self.table[at], -self.learn.clip).max(axis=1, initial=-self.learn.clip)
+        score = best[tokens.words.code] - self.learn.drift
+        h = tokens.words.code
         again = h[1:] == h[:-1]
         first = tokens.words.docs[1:-1]  # of the documents after the first of the chunk
         again[first[(first > 0) & (first < len(h))] - 1] = False
@@ -226,10 +249,11 @@ class Model:
 def solve_rate(values: np.ndarray, counts: np.ndarray) -> float:
     """The positive solution of E[exp(rate * s)] = 1, by halving."""
     p = counts / counts.sum()
-    low, high = 0.0, 1.0
+    most = min(64.0, 700 / max(float(values.max(initial=0)), 1.0))  # beyond, exp is out of range
+    low, high = 0.0, min(1.0, most)
     value = lambda r: float((p * np.exp(r * values)).sum())
-    while value(high) < 1 and high < 64:
-        low, high = high, 2 * high
+    while value(high) < 1 and high < most:
+        low, high = high, min(2 * high, most)
     for _ in range(60):
         middle = (low + high) / 2
         low, high = (middle, high) if value(middle) < 1 else (low, middle)
@@ -255,24 +279,29 @@ def held_out(doc_id):
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, learn: Learning) -> DataFrame:
-    """doc_id, text, toxic of at most ``learn.most`` labelled rows that aren't held out, written to the shared folder."""
+    """doc_id, text, toxic of at most ``learn.most`` labelled documents that aren't held out, a row of each, written to the shared folder."""
     own = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)")
     some = own.where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(learn.most)
-    return materialise(docs.join(F.broadcast(some), "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "toxic"), "labelled")  # at most learn.most rows are broadcast
+    found = docs.join(F.broadcast(some), "doc_id")  # at most learn.most rows are broadcast
+    return materialise(found.groupBy("doc_id", "toxic").agg(F.min(F.coalesce("text", F.lit(""))).alias("text")).select("doc_id", "text", "toxic"), "labelled")
 
 
 def fit(docs: DataFrame, labels: DataFrame, learn: Learning = Learning()) -> Model:
     """Learn from the labelled sample, with the whole corpus as prior."""
     own = documents_view(docs)
-    sample = training_sample(own, labels, learn)
-    n = 1 << learn.bits
-    counts = label_counts(sample, learn)
-    documents = int(counts[2 * n]), int(counts[2 * n + 1])
-    if not all(documents):
+    with freeing(docs.sparkSession):
+        return _fit(own, training_sample(own, labels, learn), learn)
+
+
+def _fit(own: DataFrame, sample: DataFrame, learn: Learning) -> Model:
+    documents = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}  # two rows
+    if len(documents) < 2:
+        discard(sample)
         return Model(None, learn)
-    table = log_odds(corpus_counts(own, learn), counts[:n], counts[n : 2 * n], documents, learn)
-    model = Model(table, learn)
-    shared = sample.sparkSession.sparkContext.broadcast(model)
+    known, other, toxic = label_counts(sample, learn)
+    corpus, total = corpus_counts(own, known, learn)
+    table = log_odds(corpus, total, other, toxic, (documents[0], documents[1]), learn)
+    shared = sample.sparkSession.sparkContext.broadcast(Model(table, learn, known))
     grid = 4096  # of scores, from -16 to 16
 
     def ordinary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -281,10 +310,12 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Learning = Learning()) -> Mod
             s = shared.value.scores(t := Tokens(chunk, learn))
             clean = (chunk.rows.column("toxic").to_numpy() == 0)[t.words.doc_of()]
             total += np.bincount(np.clip((s[clean] + 16) * (grid / 32), 0, grid - 1).astype(np.int64), minlength=grid)
-        yield _parts(total)
+        yield counted(np.arange(grid), total)
 
-    histogram = summed(sample.mapInArrow(ordinary, "part int, payload binary"), grid)
-    rate = solve_rate((np.arange(grid) + 0.5) * (32 / grid) - 16, histogram)
+    histogram = np.zeros(grid, np.int64)
+    for r in added_up(sample.mapInArrow(ordinary, COUNTS)).collect():  # grid rows
+        histogram[r["key"]] = r["n"]
+    rate = solve_rate((np.arange(grid) + 0.5) * (32 / grid) - 16, histogram) if histogram.any() else 1.0
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in chunks(batches):
@@ -296,7 +327,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Learning = Learning()) -> Mod
     clean = rows[(rows["toxic"] == 0) & (rows["best"] > 0)]
     euler = 0.5772156649015329  # the mean of a standard extreme value
     log_k = float((rate * clean["best"] - np.log(clean["words"])).mean() - euler) if len(clean) else 0.0
-    model = Model(None, learn, rate, log_k)  # for its calibration only
+    model = Model(None, learn, None, rate, log_k)  # for its calibration only
 
     def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in chunks(batches):
@@ -306,7 +337,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Learning = Learning()) -> Mod
 
     rows = sample.mapInArrow(described, "toxic int, best double, all double").toPandas()  # at most learn.most rows
     discard(sample)
-    return Model(table, learn, rate, log_k, tuple(fit_logistic(rows[["best", "all"]].to_numpy(), rows["toxic"].to_numpy(float))))
+    return Model(table, learn, known, rate, log_k, tuple(fit_logistic(rows[["best", "all"]].to_numpy(), rows["toxic"].to_numpy(float))))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
