@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from . import costmodel
 from .functions import record
 from .operators import filters, ordinals, runs, sorting, verify
-from .sources import generate
+from .shared import new_path
+from .sources import generate, records
 from .spec import RecordSpec
 from .tables import table
 
@@ -224,7 +225,92 @@ def page_cost(spark: SparkSession, d: str) -> DataFrame:
     return counts.select("name", "n_rows", costmodel.pages(n, hdd.page).alias("n_pages"), costmodel.access_time(n, 1024, hdd.latency, hdd.bandwidth).alias("seconds"))
 
 
-@query()
+@query("""SELECT p_partkey, CAST(CASE WHEN p_size <> 0 THEN length(bin(p_size & -p_size)) - 1 END AS INTEGER) AS low, CAST(p_partkey & 255 AS BIGINT) AS masked,
+least(p_size, CAST(p_partkey % 50 AS INTEGER)) AS smaller, greatest(p_size, CAST(p_partkey % 50 AS INTEGER)) AS larger FROM part""")
+def bit_helpers(spark: SparkSession, d: str) -> DataFrame:
+    p, other = table(spark, d, "part"), (F.col("p_partkey") % 50).cast("int")
+    return p.select("p_partkey", record.lowest_bit("p_size").alias("low"), F.col("p_partkey").bitwiseAND(F.lit(record.bit_mask(8))).alias("masked"), record.smaller("p_size", other).alias("smaller"), record.larger("p_size", other).alias("larger"))
+
+
+def _order_records(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as records of 24 bytes, the line feed included."""
+    return table(spark, d, "orders").select("o_orderkey", F.concat(F.lpad(F.col("o_orderkey").cast("string"), 8, "0"), F.rpad("o_orderpriority", 15, ".")).alias("rec"))
+
+
+_ORDER_RECORDS = "(SELECT o_orderkey, lpad(CAST(o_orderkey AS VARCHAR), 8, '0') || rpad(o_orderpriority, 15, '.') AS rec FROM orders)"
+ORDER_SPEC = RecordSpec(24)
+
+
+def _record_files(spark: SparkSession, df: DataFrame, name: str) -> str:
+    path = new_path(spark, name)
+    records.write_records(df, path)
+    return path
+
+
+@query(f"SELECT rec, substr(rec, 1, 8) AS key FROM {_ORDER_RECORDS}")
+def record_text_scan(spark: SparkSession, d: str) -> DataFrame:
+    return records.read_text_records(spark, _record_files(spark, _order_records(spark, d), "text-records"), ORDER_SPEC)
+
+
+@query(f"SELECT lower(hex(encode(rec || chr(10)))) AS rec, substr(rec, 1, 8) AS key FROM {_ORDER_RECORDS}")
+def record_binary_scan(spark: SparkSession, d: str) -> DataFrame:
+    read = records.read_binary_records(spark, _record_files(spark, _order_records(spark, d), "binary-records"), ORDER_SPEC)
+    return read.select(F.lower(F.hex("rec")).alias("rec"), F.col("key").cast("string").alias("key"))
+
+
+@query(f"SELECT rec, row_number() OVER (ORDER BY rec) AS rn FROM (SELECT DISTINCT substr(rec, 5) AS rec FROM {_ORDER_RECORDS})")
+def write_read_back(spark: SparkSession, d: str) -> DataFrame:
+    """Written as sorted, distinct files, joined to one file, and read again."""
+    out = sorting.sort_distinct(_order_records(spark, d).select(F.substring("rec", 5, 19).alias("rec")), "rec")
+    target = new_path(spark, "joined") + "/output.txt"
+    records.join_files(spark, _record_files(spark, out, "sorted-records"), target)
+    return ordinals.with_ordinal(records.read_text_records(spark, target, RecordSpec(20)).select("rec"), "rec")
+
+
+@query(f"SELECT CAST((rn - 1) // 4096 AS BIGINT) AS run, min(rec) AS first_rec, max(rec) AS last_rec, count(*) AS n_rows FROM (SELECT rec, row_number() OVER (ORDER BY rec) AS rn FROM {_ORDER_RECORDS}) GROUP BY 1")
+def sorted_run_files(spark: SparkSession, d: str) -> DataFrame:
+    """Written as sorted runs, and read again in the order of the files."""
+    path = new_path(spark, "runs")
+    records.write_runs(_order_records(spark, d), path, 8)
+    return runs.run_stats(spark.read.schema("rec string").parquet(path), "rec", 4096, "rec").select(F.col("run_id").alias("run"), F.col("first_key").alias("first_rec"), F.col("last_key").alias("last_rec"), "n_rows")
+
+
+@query("SELECT count(*) AS n_rows, CAST(0 AS BIGINT) AS violations FROM orders")
+def verify_order_files(spark: SparkSession, d: str) -> DataFrame:
+    return verify.verify_order(spark, _record_files(spark, sorting.sort_records(_order_records(spark, d), "rec"), "ordered-records"), ORDER_SPEC)
+
+
+@query("SELECT count(*) AS n_rows, coalesce(sum(CAST(before > k AS BIGINT))::BIGINT, 0) AS violations FROM (SELECT k, lag(k) OVER (ORDER BY o_orderkey) AS before FROM (SELECT o_orderkey, lpad(CAST(o_custkey AS VARCHAR), 8, '0') AS k FROM orders))")
+def verify_order_unsorted_files(spark: SparkSession, d: str) -> DataFrame:
+    """Files in the order of another column, so that their keys are out of order."""
+    out = table(spark, d, "orders").select("o_orderkey", F.concat(F.lpad(F.col("o_custkey").cast("string"), 8, "0"), F.rpad("o_orderpriority", 15, ".")).alias("rec"))
+    return verify.verify_order(spark, _record_files(spark, out.orderBy("o_orderkey"), "unordered-records"), ORDER_SPEC)
+
+
+def _generated_sql(n: str, size: int, seed: int) -> str:
+    """SQL for the records of the generator: the same arithmetic, by id and place."""
+    p, q = generate.PRIMES
+    batch = f"(CASE WHEN {n} <= 1 THEN 0 ELSE least(4096, {n}) // 2 * 2 END)"
+    return f"""(WITH ids AS (SELECT id, CASE WHEN {batch} > 0 AND id < {n} // greatest({batch}, 1) * {batch} THEN id // 2 * 2 ELSE id END AS source FROM (SELECT unnest(range({n})) AS id)),
+bases AS (SELECT id, ((source % {p}) * 48271 % {p} * 69621 + source // {p} * 40692 + {seed * 16807 + 1}) % {p} AS one, ((source % {p}) * 40014 % {q} * 39373 + source // {p} * 30323 + {seed * 45991 + 7}) % {q} AS two FROM ids)
+SELECT id, string_agg(substr('{generate.ALPHABET}', CAST((one + i * 104729) % {p} * ((two + i * 1299709) % {q}) % {p} % {len(generate.ALPHABET)} AS INTEGER) + 1, 1), '' ORDER BY i) AS rec FROM bases, (SELECT unnest(range({size})) AS i) GROUP BY id)"""
+
+
+@query(f"SELECT id, rec, substr(rec, 1, 8) AS key FROM {_generated_sql('(SELECT count(*) FROM customer)', 39, 100)}")
+def generated_records(spark: SparkSession, d: str) -> DataFrame:
+    """As many records as there are customers."""
+    return generate.generate(spark, table(spark, d, "customer").count(), RecordSpec(40))
+
+
+@query("SELECT n AS n_rows, n - CASE WHEN n <= 1 THEN 0 ELSE n // (least(4096, n) // 2 * 2) * (least(4096, n) // 2) END AS n_distinct, n AS n_valid, CASE WHEN n > 0 THEN 31 END AS shortest, CASE WHEN n > 0 THEN 31 END AS longest FROM (SELECT count(*) AS n FROM orders)")
+def generated_profile(spark: SparkSession, d: str) -> DataFrame:
+    """What must hold of generated records: pairs of duplicates, length and alphabet; as many as there are orders."""
+    made = generate.generate(spark, table(spark, d, "orders").count(), RecordSpec(32))
+    each = made.groupBy("rec").agg(F.count("*").alias("n"))
+    return each.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_rows"), F.count("*").alias("n_distinct"), F.coalesce(F.sum(F.when(record.is_valid("rec"), F.col("n"))), F.lit(0)).alias("n_valid"), F.min(F.length("rec")).alias("shortest"), F.max(F.length("rec")).alias("longest"))
+
+
+@query(f"SELECT DISTINCT rec FROM {_generated_sql('10000', 99, 100)}")
 def generate_sort_distinct(spark: SparkSession, d: str) -> DataFrame:
     """Generated records in pairs, sorted without duplicates."""
     return sorting.sort_distinct(generate.generate(spark, 10_000, RecordSpec(100)), "rec")

@@ -12,7 +12,7 @@ from .costmodel import check_sizes
 from .functions.text import ok_bad, short_number
 from .operators.sorting import sort_distinct
 from .operators.verify import is_sound, verify_integrity, verify_order
-from .report import Report, log, observed
+from .report import Monitor, Report, log, observed
 from .shared import hadoop_path
 from .sources.generate import open_or_generate
 from .sources.records import read_text_records, write_records
@@ -29,6 +29,7 @@ def arguments(argv: list[str] | None) -> argparse.Namespace:
     p.add_argument("--input", default=None, help="folder of the input; it is generated if missing")
     p.add_argument("--output", default=None, help="folder of the output")
     p.add_argument("--seed", type=int, default=100)
+    p.add_argument("--monitor", type=float, default=0, metavar="SECONDS", help="note memory and tasks so often, in the report")
     p.add_argument("--mode", choices=["range", "hash", "adjacent"], default="range")
     return p.parse_args(argv)
 
@@ -58,6 +59,15 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     logging.basicConfig(filename=args.trace, level=logging.INFO, format="%(message)s", force=True)
     spark = spark or SparkSession.builder.appName("recordflow").getOrCreate()
     report = Report()
+    with Monitor(spark, args.monitor) as monitor:
+        status = run(spark, args, spec, report)
+    if monitor.samples:
+        report.findings["monitor"] = monitor.summary()
+    log.info("%s", report.as_json())
+    return status
+
+
+def run(spark: SparkSession, args: argparse.Namespace, spec: RecordSpec, report: Report) -> int:
     if args.verify_only:
         for name in (args.input, args.output):
             p, fs = hadoop_path(spark, name)
@@ -68,15 +78,15 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         with report.timed("input"):
             source = open_or_generate(spark, args.input, args.count, spec, args.seed)
         with report.timed("sort"):
-            read, n_in = observed(source, "input")
-            out, n_out = observed(sort_distinct(read, "rec", mode=args.mode), "output")
+            out, n_out = observed(sort_distinct(source, "rec", mode=args.mode), "output")
             write_records(out, args.output)
-        n_output = n_out.get["n_rows"]
-        report.sorted_rows(args.count, n_output)
-        log.info("sorted %s records, removed %s duplicates", short_number(args.count), args.count - n_output)
-        del n_in
+        n_input, n_output = source.count(), n_out.get["n_rows"]  # an observation of the input would count again what range cuts sample
+        report.sorted_rows(n_input, n_output)
+        log.info("sorted %s records, removed %s duplicates", short_number(n_input), n_input - n_output)
+        if n_input != args.count:
+            log.error("the sort took %s records in, not the %s asked for", n_input, args.count)
+            return 3
     sound = verify(spark, args, spec, report) if args.verify or args.verify_only else True
-    log.info("%s", report.as_json())
     return 0 if sound else 1
 
 

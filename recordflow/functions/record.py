@@ -22,7 +22,7 @@ def byte_key(rec: Column | str, size: int = 8) -> Column:
 
 def is_valid(rec: Column | str) -> Column:
     """All characters are ASCII letters or digits."""
-    return col(rec).rlike("^[0-9A-Za-z]+$")
+    return col(rec).rlike(r"\A[0-9A-Za-z]+\z")
 
 
 def key_before(a: Column | str, b: Column | str, size: int = 8) -> Column:
@@ -75,6 +75,16 @@ def is_odd(x: Column | str) -> Column:
     return F.pmod(col(x), F.lit(2)) == 1
 
 
+def smaller(x: Column | str, y: Column | str) -> Column:
+    """The smaller of two values; null if either is."""
+    return F.when(col(x) <= col(y), col(x)).when(col(x) > col(y), col(y))
+
+
+def larger(x: Column | str, y: Column | str) -> Column:
+    """The larger of two values; null if either is."""
+    return F.when(col(x) >= col(y), col(x)).when(col(x) < col(y), col(y))
+
+
 def bit_mask(n: int) -> int:
     """A number with the n lowest bits set."""
     return (1 << n) - 1

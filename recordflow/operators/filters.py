@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.record import is_valid
 from .ordinals import with_ordinal
 
 
@@ -20,4 +21,4 @@ def filter_alternate(df: DataFrame, *order: Column | str, name: str = "rn") -> D
 
 def filter_valid(df: DataFrame, column: str = "rec") -> DataFrame:
     """Records of ASCII letters and digits only."""
-    return df.where(F.col(column).rlike("^[0-9A-Za-z]+$"))
+    return df.where(is_valid(column))

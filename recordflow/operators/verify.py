@@ -60,12 +60,35 @@ def _row(values: list) -> pa.RecordBatch:
 
 
 def order_violations(df: DataFrame, key: str, *order: str) -> DataFrame:
-    """violations: rows whose key is below that of the row before in the given order of positions."""
-    from .ordinals import with_ordinal
+    """violations: rows whose key is below that of the row before in the given order of positions.
 
-    placed = with_ordinal(df, *order)
-    after = placed.select((F.col("rn") + 1).alias("rn"), F.col(key).alias("_before"))
-    return placed.join(after, "rn").agg(F.coalesce(F.sum((F.col("_before") > F.col(key)).cast("long")), F.lit(0)).alias("violations"))
+    One range exchange: neighbours are compared where they are sorted, and of each
+    part only its first and last key go on. Nulls are neither below nor above.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = df.repartitionByRange(parts, *order).sortWithinPartitions(*order).select(F.col(key).alias("key"), F.spark_partition_id().alias("part"))
+    kind = dealt.schema["key"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = last = part = None
+        bad = 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            own = batch.column("key")
+            if part is None:
+                first, part = own.slice(0, 1), batch.column("part")[0]
+            else:
+                bad += pc.sum(pc.greater(last, own.slice(0, 1))).as_py() or 0
+            bad += pc.sum(pc.greater(own.slice(0, batch.num_rows - 1), own.slice(1))).as_py() or 0
+            last = own.slice(batch.num_rows - 1)
+        if part is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([part.as_py()], pa.int32()), first, last, pa.array([bad], pa.int64())], ["part", "first", "last", "bad"])
+
+    told = dealt.mapInArrow(run, f"part int, first {kind}, last {kind}, bad long")
+    before = F.lag("last").over(Window.orderBy("part"))  # a row for each part
+    each = told.withColumn("bad", F.col("bad") + F.coalesce((before > F.col("first")).cast("long"), F.lit(0)))
+    return each.agg(F.coalesce(F.sum("bad"), F.lit(0)).alias("violations"))
 
 
 def verify_subset(output: DataFrame, source: DataFrame, column: str = "rec") -> DataFrame:

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
 
-from recordflow import cli, costmodel
+from recordflow import cli, costmodel, report, shared
 from recordflow.functions import record, text
-from recordflow.operators import runs, sorting, verify
+from recordflow.operators import filters, runs, sorting, verify
 from recordflow.report import Report
 from recordflow.sources import generate, records
 from recordflow.spec import RecordSpec, Settings, read_settings
@@ -180,3 +181,59 @@ def test_streams(spark, tmp_path):
     q = streams.write_sorted_batches(stream.select("rec"), str(tmp_path / "runs"), str(tmp_path / "cp"), "rec").trigger(availableNow=True).start()
     q.awaitTermination()
     assert sorted(r["rec"] for r in spark.read.parquet(str(tmp_path / "runs")).collect()) == [f"r{i}" for i in range(5)]
+
+
+def test_violations_across_parts(spark):
+    rows = [(i, (i * 7919) % 101 if i % 9 else None) for i in range(500)]
+    values = [v for _, v in rows]
+    want = sum(a > b for a, b in zip(values, values[1:], strict=False) if a is not None and b is not None)
+    for parts in (1, 3, 16):
+        assert verify.order_violations(spark.createDataFrame(rows, "i int, v int").repartition(parts), "v", "i").first()["violations"] == want
+    text = spark.createDataFrame([(i, f"k{v}") for i, v in rows], "i int, v string")
+    assert verify.order_violations(text, "v", "i").first()["violations"] == sum(f"k{a}" > f"k{b}" for a, b in zip(values, values[1:], strict=False))
+    assert verify.order_violations(text.where("i < 0"), "v", "i").first()["violations"] == 0
+
+
+def test_valid_to_the_last_byte(spark):
+    df = spark.createDataFrame([("abc",), ("abc\n",), ("\nabc",), ("",), ("aB9",), ("é",), (None,)], "rec string")
+    assert [r["rec"] for r in filters.filter_valid(df).collect()] == ["abc", "aB9"]
+    assert [r["v"] for r in df.select(record.is_valid("rec").alias("v")).collect()] == [True, False, False, False, True, False, None]
+
+
+def test_input_count_is_checked(spark, tmp_path, monkeypatch):
+    """A sort that took in fewer records than asked for fails."""
+    from recordflow import cli
+
+    real = cli.open_or_generate
+    monkeypatch.setattr(cli, "open_or_generate", lambda *a, **k: real(*a, **k).limit(20))
+    assert cli.main(["-c", "30", "-s", "40", "--input", str(tmp_path / "i"), "--output", str(tmp_path / "o")], spark) == 3
+
+
+def test_monitor(spark):
+    with report.Monitor(spark, 0.05) as monitor:
+        spark.range(3_000_000).selectExpr("sum(id * 3)").collect()
+    assert monitor.summary()["n_samples"] == len(monitor.samples) >= 1 and monitor.summary()["most_driver_heap_bytes"] > 0
+    with report.Monitor(spark, 0) as none:
+        pass
+    assert none.samples == []
+
+
+def test_shared_folder_of_a_cluster(spark):
+    class Context:
+        master = "spark://somewhere:7077"
+
+    class Session:
+        sparkContext, conf = Context(), type("Conf", (), {"get": staticmethod(lambda name, default: default)})()  # noqa: N815
+
+    with pytest.raises(ValueError, match="checkpoint"):
+        shared.shared_dir(Session())
+
+
+def test_entry_without_a_dependency():
+    """Where something that the optional part needs is absent, all else is there."""
+    import subprocess
+    import sys
+
+    code = "import sys; sys.modules['zstandard'] = None; import __spark_entry__ as e; n = e.queries(); print('scan_count' in n, any(x.startswith('op') for x in n) or 'pipeline' in n)"
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, cwd=os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    assert out.stdout.split() == ["True", "False"], out.stderr[-500:]
