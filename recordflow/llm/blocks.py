@@ -3,21 +3,22 @@
 Every document is cut into non-overlapping reference blocks of half a window. A
 window of ``window`` words that occurs twice holds a whole reference block of each
 of its documents, so probing the index of blocks with every rolling window of block
-length meets every repeat. A hit is extended over the windows around it: their
-fingerprints (96 bits) are compared exactly, and runs of windows that an earlier
+length meets every repeat. Each hit is extended over the words around it, as far as a
+window with the block can reach: there words are compared, and runs of windows that an earlier
 document has too are the maximal repeats that go.
 
 1. Blocks and probes are dealt by hash; hits are places whose hash a reference block
-   shares. A hash that one group of documents holds often enough settles there and is
-   sent once, so a passage that many documents share loads no partition.
-2. The windows around hits are dealt by fingerprint, and each finds the smallest id
-   that has it; within a group of documents only the smallest one's are sent.
+   shares. A hash that one group of documents holds often is sent once, so a passage
+   that many documents share loads no partition.
+2. Each hit sends its context: the words of all windows that hold the block. A block that very many groups
+   of documents hold sends each window as a context of its own, dealt by its own hash,
+   so no block gathers in one task. Equal contexts, and windows of the others, are told by their bytes.
 3. Documents drop the covered words.
 
 Defined results: null and empty texts have no words; a document without an id is
 no source and keeps all its words, as do documents shorter than a window; documents
-of equal id never remove each other's words; repeated rows give repeated results;
-other columns are ignored; an empty table gives an empty result.
+of equal id never remove each other's words; repeated rows give repeated results; very long
+texts are handled whole, one at a time; other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -31,41 +32,41 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import groups as G
-from .common import U64, Words, chunks, discard, materialise, part_of, partitions, runs, window_hash
+from .common import SALTS, U64, Words, chunks, discard, join_hashes, materialise, part_of, partitions, runs, span_hashes, window_hash
+from .contexts import Heads, Sender, covered, equal_contexts, gather_bytes
 
 GROUP_WORDS = 2_000_000  # words of a group of documents
-GROUP_WINDOWS = 1_000_000  # candidate windows of a group
+COMMON = 2000  # a block that more groups of documents hold sends single windows
 RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 LOW = U64(0xFFFFFFFF)
 
 
 def probes(docs: DataFrame, window: int, parts: int) -> DataFrame:
-    """Packed hashes of all rolling windows of block length; the lowest bit of a place tells reference blocks."""
+    """Packed hashes of all rolling windows of block length, each once for a group.
+
+    The lowest bits of a place tell whether one of them is a reference block, and whether
+    the group has it more than once.
+    """
     block = window // 2
 
     def flush(group: G.Group) -> pa.RecordBatch:
-        h = np.concatenate([x[0] for x in group.held]) if group.held else np.zeros(0, U64)
-        place = np.concatenate([x[1] for x in group.held]) if group.held else np.zeros(0, np.int64)
+        h, place = (np.concatenate([x[k] for x in group.held]) for k in (0, 1))
         order = np.argsort(h)
         h, place = h[order], place[order]
         cuts = runs(h)
-        length = np.diff(cuts)
-        own = np.zeros(len(h), bool)  # settled here: with a reference block and another place of the same hash
-        single = np.ones(len(h), bool)
-        if len(h):
-            settled = (np.add.reduceat(place & 1, cuts[:-1]) > 0) & (length > 1)
-            own = np.repeat(settled, length)
-            single = ~own
-            block_at = np.where(place & 1, np.arange(len(h)), len(h))
-            single[np.minimum.reduceat(block_at, cuts[:-1])[settled]] = True  # one reference block goes on
-        found = np.sort(place[own] >> 1)
-        h, place = h[single], place[single]
+        one, many = cuts[:-1], np.diff(cuts)
+        again = np.ones(len(h), bool)
+        again[one] = False
+        start = place >> 1
+        alike = (start[again].astype(np.uint32), np.repeat(start[one], many)[again].astype(np.uint32))
+        reference = np.maximum.reduceat(place & 1, one) if len(one) else one
+        h, place = h[one], start[one] << 2 | reference << 1 | (many > 1)
         data = []
         for p, a, b in G.by_part(part_of(h, parts)):
             low = h[a:b] & LOW
-            order = np.argsort(low)
-            data.append((p, G.dump(np.diff(low[order], prepend=U64(0)).astype(np.uint32), place[a:b][order].astype(np.uint32))))
-        return group.rows(parts, data, (found.astype(np.uint32), np.ones(len(found), np.uint32)))
+            by = np.argsort(low)
+            data.append((p, G.dump(np.diff(low[by], prepend=U64(0)).astype(np.uint32), place[a:b][by].astype(np.uint64))))
+        return group.rows(parts, data, None, alike)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group = G.Group()
@@ -88,7 +89,7 @@ def probes(docs: DataFrame, window: int, parts: int) -> DataFrame:
 
 
 def hits(rows: DataFrame) -> DataFrame:
-    """Of each partition, the places whose hash a reference block shares."""
+    """Of each partition, the places whose hash a reference block shares; the count is 1 for common blocks, else 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         data, out = G.incoming(batches)
@@ -100,12 +101,14 @@ def hits(rows: DataFrame) -> DataFrame:
             del unpacked, data
             order = np.argsort(h)
             cuts = runs(h[order])
-            length = np.diff(cuts)
-            good = (np.add.reduceat((place & 1)[order], cuts[:-1]) > 0) & (length > 1)
-            at = order[np.repeat(good, length)]
-            start = place[at] >> 1
+            many = np.diff(cuts)
+            bits = np.bitwise_or.reduceat(place[order] & U64(3), cuts[:-1])
+            good = (bits >= 2) & ((many > 1) | (bits == 3))
+            at = order[np.repeat(good, many)]
+            common = np.repeat(many[good] > COMMON, many[good]).astype(np.uint32)
+            start = (place[at] >> U64(2)).astype(np.uint32)
             by = np.lexsort((start, grp[at]))
-            out += G.answers(grp[at][by], start[by], np.ones(len(by), np.uint32))
+            out += G.answers(grp[at][by], start[by], common[by])
         yield G.packed(out)
 
     return rows.mapInArrow(run, G.PACKED)
@@ -119,74 +122,57 @@ def spread(starts: np.ndarray, counts: np.ndarray, before: int, n: int) -> np.nd
     return np.cumsum(edge[:-1]) > 0
 
 
-def candidates(docs: DataFrame, window: int, parts: int) -> DataFrame:
-    """Packed fingerprints of the windows around the hits of each document (columns doc_id, tag, text, spans)."""
+def contexts(docs: DataFrame, window: int, parts: int) -> DataFrame:
+    """Packed contexts of the hits of each document (columns doc_id, tag, text, spans): their words, with a space after each."""
     block = window // 2
 
-    def flush(group: G.Group) -> pa.RecordBatch:
-        f, check, doc, place = (np.concatenate([x[k] for x in group.held]) for k in range(4))
-        order = np.lexsort((doc, check, f))
-        f, check, doc, place = f[order], check[order], doc[order], place[order]
-        same = np.zeros(len(f), bool)
-        same[1:] = (f[1:] == f[:-1]) & (check[1:] == check[:-1])
-        first = np.flatnonzero(~same)
-        least = np.repeat(doc[first], np.diff(np.append(first, len(f))))
-        covered = doc > least
-        found = np.sort(place[covered])
-        f, check, doc, place = (x[~covered] for x in (f, check, doc, place))
-        data = []
-        for p, a, b in G.by_part(part_of(f, parts)):
-            by = np.argsort(place[a:b])
-            ids, index = np.unique(doc[a:b][by], return_inverse=True)
-            data.append((p, G.dump(f[a:b][by], check[a:b][by], ids, index.astype(np.uint32), place[a:b][by].astype(np.uint32))))
-        return group.rows(parts, data, (found.astype(np.uint32), np.ones(len(found), np.uint32)))
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group = G.Group()
+        sender = Sender(parts)
         for chunk in chunks(batches):
             w = Words(chunk)
-            many = np.diff(w.docs)
-            bases = group.add(chunk.ids, chunk.rows.column("tag").to_numpy(), many)
-            doc, at = w.doc_of(), w.windows(window)
-            marked = np.zeros(len(w), bool)
-            for i, spans in enumerate(chunk.rows.column("spans")):
-                start, count = G.load(spans.as_py())
-                marked[w.docs[i] : w.docs[i + 1]] = spread(start, count, window - block, many[i])
-            at = at[marked[at]]
-            f, g = (window_hash(x, window)[at] for x in (w.hash, w.check))
-            group.held.append((f, (g >> U64(32)).astype(np.uint32), chunk.ids[doc[at]].astype(np.int64), bases[doc[at]] + at - w.docs[doc[at]]))
-            group.weight += len(at)
-            if group.weight >= GROUP_WINDOWS or group.size >= 1 << 30:
-                yield flush(group)
-        if group.size:
-            yield flush(group)
+            bases = sender.group.add(chunk.ids, chunk.rows.column("tag").to_numpy(), np.diff(w.docs))
+            found = [G.load(spans.as_py()) for spans in chunk.rows.column("spans")]
+            of = np.repeat(np.arange(len(found)), [len(f[0]) for f in found])
+            place = np.concatenate([f[0] for f in found]).astype(np.int64) + w.docs[of]
+            common = np.concatenate([f[1] for f in found]) > 0
+            left = np.maximum(w.docs[of], place - (block - 1))  # the first word of the first window that the block may begin a reference of
+            right = np.minimum(w.docs[of + 1], place + window)
+            wide = right - left >= window
+            at = np.flatnonzero(wide & ~common)
+            many = (right - left - window + 1)[some := np.flatnonzero(wide & common)]
+            single = np.unique(np.repeat(left[some] - (np.cumsum(many) - many), many) + np.arange(int(many.sum())))
+            whole, checks = window_hash(w.hash, window), window_hash(w.check, window)
+            first, last = np.concatenate([left[at], single]), np.concatenate([right[at], single + window])
+            doc = np.searchsorted(w.docs, first, "right") - 1
+            anchor = np.concatenate([window_hash(w.hash, block)[place[at]], whole[single]])
+            check = join_hashes(join_hashes(checks[first], checks[last - window]), np.concatenate([place[at] - left[at], np.zeros(len(single), np.int64)]).astype(U64))
+            size = w.end - w.start + 1
+            ends = np.concatenate(([0], np.cumsum(size)))
+            text = np.full(int(ends[-1]), 32, np.uint8)
+            letter = np.ones(len(text), bool)
+            letter[ends[1:] - 1] = False
+            text[letter] = w.letters()
+            sender.add(anchor, check, chunk.ids[doc], bases[doc] + first - w.docs[doc], last - first - window + 1, ends[last] - ends[first], gather_bytes(text, ends[first], ends[last] - ends[first]))
+            if sender.full() or sender.group.size >= 1 << 30:
+                yield sender.flush()
+        if sender.group.size:
+            yield sender.flush()
 
     return docs.mapInArrow(run, G.PACKED)
 
 
-def covered(rows: DataFrame) -> DataFrame:
-    """Of each partition, the windows that a smaller id has too."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        data, out = G.incoming(batches)
-        if data:
-            unpacked = [G.load(p) for _, p in data]
-            f, check, place = (np.concatenate([u[k] for u in unpacked]) for k in (0, 1, 4))
-            doc = np.concatenate([u[2][u[3]] for u in unpacked])
-            grp = np.repeat([g for g, _ in data], [len(u[0]) for u in unpacked])
-            del unpacked, data
-            order = np.lexsort((check, f))
-            f, check, d = f[order], check[order], doc[order]
-            new = np.ones(len(f), bool)
-            new[1:] = (f[1:] != f[:-1]) | (check[1:] != check[:-1])
-            first = np.flatnonzero(new)
-            least = np.repeat(np.minimum.reduceat(d, first), np.diff(np.append(first, len(f))))
-            at = order[d > least]
-            by = np.lexsort((place[at], grp[at]))
-            out += G.answers(grp[at][by], place[at][by], np.ones(len(by), np.uint32))
-        yield G.packed(out)
-
-    return rows.mapInArrow(run, G.PACKED)
+def compare_windows(heads: Heads, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Windows of heads that a head of a smaller document with the same block has, word for word."""
+    ends = np.concatenate(([0], np.flatnonzero(heads.text == 32) + 1))
+    first = np.searchsorted(ends, heads.begin)  # word of each head
+    h = window_hash(span_hashes(heads.text, ends[:-1], np.diff(ends), SALTS[0]), window)
+    which = np.repeat(np.arange(len(first)), heads.count)
+    string = np.arange(len(which)) - np.repeat(np.cumsum(heads.count) - heads.count, heads.count)
+    at = first[which] + string
+    order, runs_at = equal_contexts(heads.anchor[which], h[at], heads.doc[which], heads.text, ends[at], ends[at + window] - ends[at])
+    doc = heads.doc[which][order]
+    hit = order[doc > np.repeat(doc[runs_at], np.diff(np.append(runs_at, len(order))))]
+    return which[hit], string[hit]
 
 
 def repeated_windows(docs: DataFrame, window: int = 50) -> DataFrame:
@@ -194,8 +180,8 @@ def repeated_windows(docs: DataFrame, window: int = 50) -> DataFrame:
     parts = partitions(docs.sparkSession)
     own = G.keyed(docs).where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= 2 * window - 1))
     hit = materialise(G.per_document(hits(G.deal(probes(own, window, parts), parts)), parts), "block-hits")
-    near = candidates(own.join(hit, ["doc_id", "tag"]).select("doc_id", "tag", "text", "spans"), window, parts)
-    out = materialise(G.per_document(covered(G.deal(near, parts)), parts), "block-repeats")
+    near = contexts(own.join(hit, ["doc_id", "tag"]).select("doc_id", "tag", "text", "spans"), window, parts)
+    out = materialise(G.per_document(covered(G.deal(near, parts), lambda heads: compare_windows(heads, window)), parts), "block-repeats")
     discard(hit)
     return out
 

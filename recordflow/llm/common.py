@@ -2,7 +2,7 @@
 
 Bytes and words are handled a chunk of whole documents at a time, as numpy
 arrays over Arrow's buffers: no Python object is made per place of a word or byte.
-A word's hash has 128 bits, of its bytes under a fixed seed. The hash of a window is
+A word's hash is of its bytes, eight at a time. The hash of a window is
 joined from those of its halves, and scrambled at each step, so that no two windows
 can cancel out in a sum, whatever their words are.
 """
@@ -25,6 +25,7 @@ from ..shared import hadoop_path, written
 
 BATCH_BYTES = 8 << 20  # of an Arrow batch on its way to Python; rows of whole documents are large
 CHUNK_BYTES = 1 << 20  # text handled at once; a longer document is a chunk of its own
+LONG_WORD = 256  # bytes
 SALTS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)  # odd
 U64 = np.uint64
 
@@ -129,9 +130,6 @@ def lower_table() -> np.ndarray:
     return out
 
 
-_digest = functools.partial(xxhash.xxh3_128_digest, seed=SALTS[0])
-
-
 class Chunk:
     """Some whole documents: ids, their bytes end to end, and the bounds of each."""
 
@@ -163,8 +161,28 @@ def chunks(batches: Iterable[pa.RecordBatch], id_name: str = "doc_id", text_name
     trim()
 
 
+def span_hashes(data: np.ndarray, start: np.ndarray, size: np.ndarray, salt: int) -> np.ndarray:
+    """Hashes of the ``size`` bytes (1 at least) from each start on.
+
+    Eight bytes at a time are joined on; two different words of up to eight bytes of one length never
+    have the same hash. Words longer than LONG_WORD are hashed one by one.
+    """
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    part = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+    value = lambda at, n: part[at] & (~U64(0) >> (U64(64) - U64(8) * np.minimum(n, 8).astype(U64)))
+    out = mix(mix(size.astype(U64) + U64(salt)) ^ value(start, size))
+    rows, done = np.flatnonzero((size > 8) & (size <= LONG_WORD)), 8
+    while len(rows):
+        out[rows] = join_hashes(out[rows], value(start[rows] + done, size[rows] - done))
+        done += 8
+        rows = rows[size[rows] > done]
+    for i in np.flatnonzero(size > LONG_WORD):
+        out[i] = xxhash.xxh3_64_intdigest(data[start[i] : start[i] + size[i]].tobytes(), seed=salt)
+    return out
+
+
 class Words:
-    """The words of a chunk: byte start and end of each, 128 bits of hash, and each document's first word."""
+    """The words of a chunk: byte start and end of each, hashes, and each document's first word."""
 
     def __init__(self, chunk: Chunk, lower: bool = False, parting: np.ndarray | None = None):
         data = chunk.data
@@ -181,14 +199,22 @@ class Words:
         after[:-1] = word[1:]
         self.end = np.flatnonzero(word & (~after | first[1:])) + 1
         self.docs = np.searchsorted(self.start, chunk.bounds)  # of document i: words docs[i]:docs[i + 1]
-        letters = np.ascontiguousarray((lower_table()[data] if lower else data)[word])
-        ends = np.zeros(len(self.start) + 1, np.int64)
-        np.cumsum(self.end - self.start, out=ends[1:])
-        coded = pa.Array.from_buffers(pa.large_binary(), len(self.start), [None, pa.py_buffer(ends), pa.py_buffer(letters)]).dictionary_encode()
-        self.code = coded.indices.to_numpy()  # of each word, among the distinct ones
-        self.distinct = coded.dictionary
-        lanes = np.frombuffer(b"".join(map(_digest, self.distinct.to_pylist())), U64).reshape(-1, 2)
-        self.hash, self.check = lanes[self.code, 0], lanes[self.code, 1]
+        self.data = lower_table()[data] if lower else data
+        self.is_letter = word
+
+    @functools.cached_property
+    def hash(self) -> np.ndarray:
+        """A hash of each word."""
+        return span_hashes(self.data, self.start, self.end - self.start, SALTS[0])
+
+    @functools.cached_property
+    def check(self) -> np.ndarray:
+        """Another hash of each word, independent of the first."""
+        return span_hashes(self.data, self.start, self.end - self.start, SALTS[1])
+
+    def letters(self) -> np.ndarray:
+        """The words' bytes, end to end."""
+        return self.data[self.is_letter]
 
     def __len__(self) -> int:
         return len(self.start)
@@ -211,11 +237,14 @@ def eights(data: np.ndarray) -> np.ndarray:
 def same_bytes(data: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
     """Whether the ``size`` bytes (8 at least) from each place in a on are those from b on."""
     out = np.ones(len(a), bool)
-    if len(a):
-        part = np.ndarray(len(data) - 7, "<u8", np.ascontiguousarray(data), strides=(1,))
-        for at in range(0, int(size.max()), 8):
-            step = np.minimum(at, size - 8)
-            out &= part[a + step] == part[b + step]
+    rows, at = np.arange(len(a)), 0
+    part = np.ndarray(len(data) - 7, "<u8", np.ascontiguousarray(data), strides=(1,)) if len(a) else None
+    while len(rows):
+        step = np.minimum(at, size[rows] - 8)
+        same = part[a[rows] + step] == part[b[rows] + step]
+        out[rows[~same]] = False
+        at += 8
+        rows = rows[same & (size[rows] > at)]
     return out
 
 
@@ -226,6 +255,14 @@ def runs(sorted_values: np.ndarray) -> np.ndarray:
     return np.concatenate(([0], np.flatnonzero(sorted_values[1:] != sorted_values[:-1]) + 1, [len(sorted_values)]))
 
 
+def by_document(doc: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """The order by document and then value; documents are numbers of a chunk's rows."""
+    if len(doc) and doc.max() >= 1 << 16:
+        return np.lexsort((values, doc))
+    order = np.argsort(values)
+    return order[np.argsort(doc[order].astype(np.uint16), kind="stable")]
+
+
 def part_of(h: np.ndarray, parts: int) -> np.ndarray:
     """The exchange partition of a hash, by its upper 32 bits."""
     return ((h >> U64(32)) * U64(parts) >> U64(32)).astype(np.int64)

@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import groups as G
-from .common import SALTS, U64, Chunk, Words, chunks, discard, freeing, join_hashes, materialise, mix, part_of, partitions, runs, window_hash
+from .common import SALTS, U64, Chunk, Words, by_document, chunks, discard, freeing, join_hashes, materialise, mix, part_of, partitions, runs, window_hash
 from .components import components
 
 GROUP_ENTRIES = 1_000_000  # segment hashes of a group of documents
@@ -114,7 +114,7 @@ class Shingles:
             doc.append(short)
             h.append(whole)
         doc, h = np.concatenate(doc), np.concatenate(h)
-        order = np.lexsort((h, doc))
+        order = by_document(doc, h)
         doc, h = doc[order], h[order]
         new = np.ones(len(h), bool)
         new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
@@ -436,14 +436,17 @@ def links_of(own: DataFrame, reps: DataFrame, like: Similarity) -> DataFrame:
         with freeing(own.sparkSession):
             done = left.where(F.col("many") > low + width).isEmpty()
         discard(left)
-        before = comp
-        comp = components(verified(more, sets, like).unionByName(before.select(F.col("node").alias("a"), F.col("component").alias("b"))))
-        discard(before)
+        new = materialise(verified(more, sets, like), "links")
+        if not new.isEmpty():
+            before = comp
+            comp = components(new.unionByName(before.select(F.col("node").alias("a"), F.col("component").alias("b"))))
+            discard(before)
+        discard(new)
         if done:
             discard(rows, sets, tested)
             return comp
         refuted = refuted.unionByName(more)
-        low, width = low + width, 4 * width
+        low, width = low + width, 8 * width
 
 
 def representatives(keys: DataFrame) -> DataFrame:

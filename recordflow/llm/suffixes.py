@@ -32,18 +32,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import groups as G
 from .blocks import spread
-from .common import SALTS, U64, chunks, discard, eights, join_hashes, materialise, mix, part_of, partitions, runs, same_bytes
+from .common import SALTS, U64, chunks, discard, eights, join_hashes, materialise, mix, part_of, partitions, runs
+from .contexts import Heads, Sender, covered, gather_bytes
 
 GRAM = 25
 GROUP_ANCHORS = 1_500_000  # anchors of a group of documents
-GROUP_CONTEXT_BYTES = 24 << 20  # contexts of a group
-BATCH = 4096  # contexts that get a suffix array together
+BATCH = 4096  # heads that get a suffix array together
 COMMON = 2000  # an anchor that more groups of documents hold sends single strings
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 LOW = U64(0xFFFFFFFF)
@@ -147,57 +146,16 @@ def shared_anchors(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, G.PACKED)
 
 
-def gather_bytes(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """data[start:start + size] of each, end to end."""
-    ends = np.cumsum(size)
-    total = int(ends[-1]) if len(ends) else 0
-    return data[np.repeat(start - (ends - size), size) + np.arange(total)]
-
-
-def equal_contexts(a: np.ndarray, c: np.ndarray, doc: np.ndarray, text: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Order of contexts by anchor and bytes, then document, and where runs of equal ones begin.
-
-    Hashes bring equal contexts together, their bytes tell whether they are equal.
-    """
-    order = np.lexsort((doc, c, a))
-    new = np.ones(len(order), bool)
-    new[1:] = (a[order[1:]] != a[order[:-1]]) | (c[order[1:]] != c[order[:-1]]) | (size[order[1:]] != size[order[:-1]])
-    alike = np.flatnonzero(~new)
-    new[alike] = ~same_bytes(text, begin[order[alike]], begin[order[alike - 1]], size[order[alike]])
-    return order, np.flatnonzero(new)
-
-
 def contexts(docs: DataFrame, length: int, parts: int) -> DataFrame:
     """Packed contexts of the shared anchors of each document (columns doc_id, tag, text, spans)."""
 
-    def flush(group: G.Group) -> pa.RecordBatch:
-        packer = zstandard.ZstdCompressor(level=3)
-        a, c, doc, place, count = (np.concatenate([x[k] for x in group.held]) for k in range(5))
-        text = np.concatenate([x[5] for x in group.held])
-        size = count + length - 1
-        begin = np.cumsum(size) - size
-        order, first = equal_contexts(a, c, doc, text, begin, size)
-        least = np.repeat(doc[order][first], np.diff(np.append(first, len(a))))
-        gone = order[doc[order] > least]
-        left = np.sort(order[doc[order] == least])
-        by_place = gone[np.argsort(place[gone])]
-        part = part_of(a[left], parts)
-        order = np.argsort(part, kind="stable")
-        left = left[order]
-        data = []
-        for p, x, y in G.by_part(part[order]):
-            own = left[x:y]
-            ids, index = np.unique(doc[own], return_inverse=True)
-            data.append((p, G.dump(a[own], c[own], ids, index.astype(np.uint32), place[own].astype(np.uint32), count[own].astype(np.uint8)) + packer.compress(gather_bytes(text, begin[own], size[own]).tobytes())))
-        return group.rows(parts, data, (place[by_place].astype(np.uint32), count[by_place].astype(np.uint32)))
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group = G.Group()
+        sender = Sender(parts)
         for chunk in chunks(batches):
-            if group.size and group.size + len(chunk.data) >= 1 << 30:
-                yield flush(group)
+            if sender.group.size and sender.group.size + len(chunk.data) >= 1 << 30:
+                yield sender.flush()
             a = Anchors(chunk, length)
-            bases = group.add(chunk.ids, chunk.rows.column("tag").to_numpy(), np.diff(chunk.bounds))
+            bases = sender.group.add(chunk.ids, chunk.rows.column("tag").to_numpy(), np.diff(chunk.bounds))
             shared = np.zeros(len(chunk.data) + 1, np.uint8)
             for i, spans in enumerate(chunk.rows.column("spans")):
                 start, common = G.load(spans.as_py())
@@ -209,20 +167,18 @@ def contexts(docs: DataFrame, length: int, parts: int) -> DataFrame:
             start = np.concatenate([a.start[plain], single])
             count = np.concatenate([a.count[plain], np.ones(len(single), np.int64)])
             doc = np.concatenate([a.doc[plain], np.repeat(a.doc[common], each)])
-            end = start + count + length - 1
+            size = count + length - 1
             whole = count.astype(U64)
-            for at in (start, start + GRAM, end - 2 * GRAM, end - GRAM):  # these strings cover a context, which is shorter than 4 * GRAM
+            for at in (start, start + GRAM, start + size - 2 * GRAM, start + size - GRAM):  # these strings cover a context, which is shorter than 4 * GRAM
                 whole = join_hashes(whole, a.grams[at])
             # the anchor's place in its context is part of the context's hash
             h = np.concatenate([a.hash[plain], whole[len(plain) :]])
             shift = np.concatenate([a.place[plain] - a.start[plain], np.zeros(len(single), np.int64)])
-            c = join_hashes(whole, shift.astype(U64))
-            group.held.append((h, c, chunk.ids[doc].astype(np.int64), bases[doc] + start - chunk.bounds[doc], count, gather_bytes(chunk.data, start, count + length - 1)))
-            group.weight += int((count + length - 1).sum())
-            if group.weight >= GROUP_CONTEXT_BYTES:
-                yield flush(group)
-        if group.size:
-            yield flush(group)
+            sender.add(h, join_hashes(whole, shift.astype(U64)), chunk.ids[doc], bases[doc] + start - chunk.bounds[doc], count, size, gather_bytes(chunk.data, start, size))
+            if sender.full():
+                yield sender.flush()
+        if sender.group.size:
+            yield sender.flush()
 
     return docs.mapInArrow(run, G.PACKED)
 
@@ -305,75 +261,23 @@ class SuffixLevels:
             self.levels.append(Level(text, place))
 
 
-def covered(rows: DataFrame, length: int) -> DataFrame:
-    """Of each partition, the strings that a smaller id has too."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        data, out = G.incoming(batches)
-        if data:
-            out += answer(data)
-        yield G.packed(out)
-
-    def answer(data: list[tuple[int, bytes]]) -> list[tuple[int, int, int, bytes]]:
-        fields, texts, n = [], [], []
-        for _, payload in data:
-            got, text = split_context(payload)
-            fields.append(got)
-            texts.append(text)
-            n.append(len(got[0]))
-        a, c, place, count = (np.concatenate([f[k] for f in fields]) for k in (0, 1, 4, 5))
-        doc = np.concatenate([f[2][f[3]] for f in fields])
-        count = count.astype(np.int64)
-        grp = np.repeat([g for g, _ in data], n)
-        text = np.concatenate(texts)
-        size = count + length - 1
+def compare_suffixes(heads: Heads, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Strings of heads that a head of a smaller document has, by suffix arrays of batches of rising id."""
+    where, found, levels, at = [], [], SuffixLevels(length), 0
+    rising = np.argsort(heads.doc, kind="stable")
+    ids = heads.doc[rising]
+    while at < len(rising):  # a batch ends with a document, so that earlier batches have smaller ids only
+        end = int(np.searchsorted(ids, ids[min(at + BATCH, len(rising)) - 1], "right"))
+        own = rising[at:end]
+        at = end
+        n, size = heads.count[own], heads.size[own]
+        which = np.repeat(np.arange(len(own)), n)
+        string = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
         begin = np.cumsum(size) - size
-        order, first = equal_contexts(a, c, doc, text, begin, size)
-        run_size = np.diff(np.append(first, len(a)))
-        least = np.repeat(doc[order][first], run_size)
-        later = doc[order] > least
-        answers = [(grp[order[later]], place[order[later]], count[order[later]])]
-        # contexts of anchors that have others: their strings are compared one by one
-        anchor = a[order[first]]
-        many = np.diff(runs(anchor))
-        mixed = np.repeat(many > 1, many)
-        heads = order[first[mixed]]
-        if len(heads):
-            rising = np.argsort(doc[heads], kind="stable")
-            ids = doc[heads[rising]]
-            hit_context, hit_string = [], []
-            levels = SuffixLevels(length)
-            at = 0
-            while at < len(rising):  # a batch ends with a document, so that earlier batches have smaller ids only
-                end = min(at + BATCH, len(rising))
-                end = int(np.searchsorted(ids, ids[end - 1], "right"))
-                own = rising[at:end]
-                at = end
-                h = heads[own]
-                which = np.repeat(np.arange(len(h)), count[h])
-                string = np.arange(len(which)) - np.repeat(np.cumsum(count[h]) - count[h], count[h])
-                own_begin = np.cumsum(size[h]) - size[h]
-                hit = levels.add_suffixes(gather_bytes(text, begin[h], size[h]), own_begin[which] + string, doc[h][which])
-                hit_context.append(own[which[hit]])
-                hit_string.append(string[hit])
-            where, string = np.concatenate(hit_context), np.concatenate(hit_string)
-            # all occurrences of the context in its smallest id share the answer
-            smallest = np.add.reduceat((~later).astype(np.int64), first)[mixed]
-            copies = smallest[where]
-            index = np.repeat(first[mixed][where] - (np.cumsum(copies) - copies), copies) + np.arange(int(copies.sum()))
-            row = order[index]
-            answers.append((grp[row], place[row] + np.repeat(string, copies), np.ones(len(row), np.int64)))
-        g, s, k = (np.concatenate([x[i] for x in answers]) for i in range(3))
-        by = np.lexsort((s, g))
-        return G.answers(g[by], s[by].astype(np.uint32), k[by].astype(np.uint32))
-
-    return rows.mapInArrow(run, G.PACKED)
-
-
-def split_context(payload: bytes) -> tuple[list[np.ndarray], np.ndarray]:
-    """The six arrays of a packed row of contexts, and the contexts themselves."""
-    fields, rest = G.load_some(payload, 6)
-    return fields, np.frombuffer(zstandard.ZstdDecompressor().decompress(rest.tobytes()), np.uint8)
+        hit = levels.add_suffixes(gather_bytes(heads.text, heads.begin[own], size), begin[which] + string, heads.doc[own][which])
+        where.append(own[which[hit]])
+        found.append(string[hit])
+    return np.concatenate(where), np.concatenate(found)
 
 
 def repeated_strings(docs: DataFrame, length: int = 50) -> DataFrame:
@@ -382,7 +286,7 @@ def repeated_strings(docs: DataFrame, length: int = 50) -> DataFrame:
     own = G.keyed(docs).where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= length))
     hit = materialise(G.per_document(shared_anchors(G.deal(anchors(own, length, parts), parts)), parts), "anchors")
     near = contexts(own.join(hit, ["doc_id", "tag"]).select("doc_id", "tag", "text", "spans"), length, parts)
-    out = materialise(G.per_document(covered(G.deal(near, parts), length), parts), "repeats")
+    out = materialise(G.per_document(covered(G.deal(near, parts), lambda heads: compare_suffixes(heads, length)), parts), "repeats")
     discard(hit)
     return out
 

@@ -34,11 +34,12 @@ from dataclasses import dataclass
 from functools import cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SALTS, U64, Chunk, Words, chunks, discard, documents_view, eights, freeing, lower_table, materialise, mix
+from .common import SALTS, U64, Chunk, Words, by_document, chunks, discard, documents_view, freeing, materialise, mix
 
 SCORED = "doc_id long, held_out boolean, score double, predicted int, passages array<struct<start:long,end:long,sum:double,p:double>>"
 
@@ -68,11 +69,12 @@ class Tokens:
 
     def __init__(self, chunk: Chunk, learn: Learning):
         self.words = w = Words(chunk, lower=True, parting=parting())
-        at = np.unique(w.code, return_index=True)[1] if len(w) else np.zeros(0, np.int64)  # a place of each distinct word
+        self.code, distinct = pd.factorize(w.hash)  # of each word, among the distinct ones
+        at = np.zeros(len(distinct), np.int64)
+        at[self.code[::-1]] = np.arange(len(w))[::-1]  # the first place of each
         size = (w.end - w.start)[at]
-        letters = np.concatenate([lower_table()[chunk.data], np.zeros(8, np.uint8)])
-        begin = eights(letters)[w.start[at]]
-        columns = [w.hash[at]]
+        begin = np.ndarray(len(w.data) + 1, "<u8", np.concatenate([w.data, np.zeros(8, np.uint8)]), strides=(1,))[w.start[at]]
+        columns = [distinct]
         for k in learn.prefixes:
             n = np.minimum(size, k).astype(U64)
             columns.append(mix(mix(begin & (~U64(0) >> (U64(64) - U64(8) * n))) ^ (n + U64(SALTS[0]))))
@@ -80,10 +82,10 @@ class Tokens:
 
     def per_document(self) -> tuple[np.ndarray, np.ndarray]:
         """Document and feature, each pair once."""
-        pairs = np.unique(self.words.doc_of().astype(np.int64) << 32 | self.words.code)
+        pairs = np.unique(self.words.doc_of().astype(np.int64) << 32 | self.code)
         doc, hashes = pairs >> 32, self.features[pairs & 0xFFFFFFFF]
         doc, hashes = np.repeat(doc, hashes.shape[1]), hashes.ravel()
-        order = np.lexsort((hashes, doc))
+        order = by_document(doc, hashes)
         doc, hashes = doc[order], hashes[order]
         new = np.ones(len(doc), bool)
         new[1:] = (doc[1:] != doc[:-1]) | (hashes[1:] != hashes[:-1])
@@ -135,7 +137,7 @@ def corpus_counts(docs: DataFrame, features: np.ndarray, learn: Learning) -> tup
         total = np.zeros(len(own) + 1, np.int64)
         for chunk in chunks(batches):
             t = Tokens(chunk, learn)
-            times = np.bincount(t.words.code, minlength=len(t.features)).astype(np.int64)
+            times = np.bincount(t.code, minlength=len(t.features)).astype(np.int64)
             at = places(own, t.features)
             np.add.at(total, at.ravel(), np.repeat(times, at.shape[1]))  # place -1 is the last: all others
         there = np.flatnonzero(total)
@@ -201,8 +203,8 @@ class Model:
     def scores(self, tokens: Tokens) -> np.ndarray:
         at = places(self.known, tokens.features)
         best = np.where(at >= 0, self.table[at], -self.learn.clip).max(axis=1, initial=-self.learn.clip)
-        score = best[tokens.words.code] - self.learn.drift
-        h = tokens.words.code
+        score = best[tokens.code] - self.learn.drift
+        h = tokens.code
         again = h[1:] == h[:-1]
         first = tokens.words.docs[1:-1]  # of the documents after the first of the chunk
         again[first[(first > 0) & (first < len(h))] - 1] = False
@@ -248,7 +250,7 @@ class Model:
 
 def solve_rate(values: np.ndarray, counts: np.ndarray) -> float:
     """The positive solution of E[exp(rate * s)] = 1, by halving."""
-    p = counts / counts.sum()
+    values, p = values[counts > 0], counts[counts > 0] / counts.sum()
     most = min(64.0, 700 / max(float(values.max(initial=0)), 1.0))  # beyond, exp is out of range
     low, high = 0.0, min(1.0, most)
     value = lambda r: float((p * np.exp(r * values)).sum())
