@@ -4,14 +4,15 @@ Pages are written as WARC records into archives of bounded size, kept in a table
 of the shared folder. Of records with equal payloads one is the response; the
 others are revisits that carry its headers only. Reading the archives back yields,
 for each archive, a run of index lines sorted by URL key and time. The external
-merge deals the lines by range of URL key and time, and a tournament tree of
-losers merges the sorted runs of each range, so that the whole index is in order
-and the captures of a URL stand together, numbered by time.
+merge deals the lines by range of URL key, time, page and place, in ranges of about ``RANGE_ROWS``
+lines, so that no URL is a range of its own; each task gets its part of each run in order,
+from a sort that spills, and a tournament tree of losers merges these, so that the whole index is in order
+and the captures of a URL stand together.
 
 Defined results: a null payload is empty; a null URL is the empty string; payloads
-below ``least`` bytes are never revisits; a page without an id is never referred to and comes first
+below ``least`` bytes are never revisits; a page without an id is a response, is never referred to and comes first
 among equal times; equal times are ordered by page_id;
-repeated rows are further captures; other columns are ignored; empty tables give
+repeated rows are further captures; a very long payload is an archive of its own, held whole by a task; other columns are ignored; empty tables give
 empty results.
 """
 
@@ -23,16 +24,20 @@ import gzip
 import hashlib
 import re
 import uuid
+import zlib
 from collections.abc import Iterable, Iterator
 from urllib.parse import urlsplit
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, partitions
+from .common import light_batches, materialise, partitions
 
+FEED = 1 << 16  # bytes of an archive that are unpacked at once
+RANGE_ROWS = 100_000  # index lines of a range, about
 ARCHIVE_BYTES = 4 << 20  # of payload in an archive; a larger payload is one of its own
 EPOCH = 1_700_000_000  # a page without a time of capture was fetched page_id modulo 10**9 seconds later
 ARCHIVES = "archive string, data binary"
@@ -126,13 +131,15 @@ def write_record(page_id: int, url: str, captured: int, payload: bytes, refers_t
 
 def read_records(archive: bytes) -> Iterator[tuple[int, int, dict[str, str], bytes]]:
     """Offset, stored size, header and block of each record of an archive."""
-    import zlib
-
-    at = 0
+    view, at = memoryview(archive), 0
     while at < len(archive):
-        member = zlib.decompressobj(31)
-        raw = member.decompress(archive[at:] if at else archive) + member.flush()
-        size = len(archive) - at - len(member.unused_data)
+        member, parts, end = zlib.decompressobj(31), [], at
+        while not member.eof and end < len(archive):
+            parts.append(member.decompress(view[end : end + FEED]))
+            end = min(end + FEED, len(archive))
+        if not member.eof:
+            raise ValueError(f"the record at {at} breaks off")
+        raw, size = b"".join(parts), end - at - len(member.unused_data)
         head, _, rest = raw.partition(b"\r\n\r\n")
         lines = head.decode().split("\r\n")
         if not lines[0].startswith("WARC/"):
@@ -194,15 +201,22 @@ def _index_batch(rows: list[tuple], extra: tuple = ()) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, INDEX_TYPES, strict=False)] + [pa.array(c, pa.int64()) for c in columns[len(INDEX_TYPES) :]], [*INDEX_NAMES, *extra])
 
 
-def _sorted_runs(batches: Iterable[pa.RecordBatch]) -> list[Iterator[tuple]]:
-    """The lines of each archive; the exchange keeps no order for sure, so a run out of order is sorted."""
-    runs: dict[str, list[tuple]] = {}
+def _runs(batches: Iterable[pa.RecordBatch]) -> list[Iterator[tuple]]:
+    """The lines of each archive, which come one archive after the other, each in order."""
+    runs: dict[str, list[pa.RecordBatch]] = {}
+    for batch in batches:
+        names = batch.column("archive").dictionary_encode()
+        code = names.indices.to_numpy()
+        cuts = [0, *(np.flatnonzero(code[1:] != code[:-1]) + 1).tolist(), len(code)] if len(code) else [0]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            runs.setdefault(names.dictionary[code[a]].as_py(), []).append(batch.slice(a, b - a))
+    return [map(_keyed, _lines(held)) for _, held in sorted(runs.items())]
+
+
+def _lines(batches: list[pa.RecordBatch]) -> Iterator[tuple]:
     for batch in batches:
-        for row in zip(*(batch.column(c).to_pylist() for c in INDEX_NAMES), strict=True):
-            runs.setdefault(row[3], []).append(row)
-    for lines in runs.values():
-        lines.sort(key=_order)
-    return [map(_keyed, lines) for _, lines in sorted(runs.items())]
+        for at in range(0, batch.num_rows, 256):
+            yield from zip(*(batch.slice(at, 256).column(c).to_pylist() for c in INDEX_NAMES), strict=True)
 
 
 def _order(row: tuple) -> tuple:
@@ -218,7 +232,7 @@ def merge_index(index: DataFrame, parts: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
-        for _, row in LoserTree(_sorted_runs(batches)):
+        for _, row in LoserTree(_runs(batches)):
             rows.append(row)
             if len(rows) == 4096:
                 yield _index_batch(rows)
@@ -226,22 +240,30 @@ def merge_index(index: DataFrame, parts: int) -> DataFrame:
         if rows:
             yield _index_batch(rows)
 
-    return index.repartitionByRange(parts, "urlkey", "captured", "page_id").mapInArrow(run, INDEX)
+    order = ["urlkey", "captured", "page_id", "archive", "offset"]  # no two lines are equal in these
+    return index.repartitionByRange(parts, *order).sortWithinPartitions("archive", "urlkey", "captured", "page_id", "offset").mapInArrow(run, INDEX)
 
 
 def with_revisits(pages: DataFrame, least: int = 0) -> DataFrame:
-    """Pages with ``refers_to``: the largest page_id of those with the same payload of at least ``least`` bytes, null for that page itself."""
+    """Pages with ``refers_to``: the largest page_id of those with the same payload of at least ``least`` bytes, null for that page itself.
+
+    Only ids and digests meet by digest; pages meet what is told of them by id.
+    """
     html = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
     captured = F.col("captured").cast("long") if "captured" in pages.columns else F.lit(EPOCH) + F.coalesce(F.expr("pmod(cast(page_id as bigint), 1000000000)"), F.lit(0))
     own = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url"), captured.alias("captured"), html.alias("html"))
-    own = own.withColumn("sha1", F.sha1("html"))
-    last = own.groupBy("sha1").agg(F.max("page_id").alias("last"), F.count("*").alias("n")).where("n > 1").select("sha1", "last")
-    refers = F.when((F.col("last") > F.col("page_id")) & (F.length("html") >= least), F.col("last"))
-    return own.join(last, "sha1", "left").select("page_id", "url", "captured", "html", refers.alias("refers_to"))
+    digests = own.where(F.col("page_id").isNotNull() & (F.length("html") >= least)).select("page_id", F.sha1("html").alias("sha1"))
+    last = digests.groupBy("sha1").agg(F.max("page_id").alias("refers_to"), F.min("page_id").alias("first")).where("refers_to > first").drop("first")
+    again = digests.join(last, "sha1").where("page_id < refers_to").distinct()
+    named = own.where("page_id is not null").withColumn("sha1", F.sha1("html")).join(again, ["page_id", "sha1"], "left")
+    columns = ["page_id", "url", "captured", "html", "refers_to"]
+    return named.select(columns).unionByName(own.where("page_id is null").withColumn("refers_to", F.lit(None).cast("long")).select(columns))
 
 
 def capture_index(pages: DataFrame, least: int = 0) -> DataFrame:
     """Write archives of the pages, read them back, and merge their indexes."""
+    spark = pages.sparkSession
+    light_batches(spark)
     archives = materialise(write_archives(with_revisits(pages, least)), "archives")
     index = materialise(read_index(archives), "index")
-    return merge_index(index, partitions(pages.sparkSession))
+    return merge_index(index, max(partitions(spark), -(-index.count() // RANGE_ROWS)))
