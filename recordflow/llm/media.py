@@ -6,9 +6,12 @@ sample tables and gives codec, duration and the byte ranges of key samples
 without touching the samples; ``stored_payload`` reads the samples back.
 
 Defined results: null and empty texts store one block of 64 zero bytes; a
-container that breaks off or lacks a table has the error in ``error`` and nulls
-elsewhere, and never stops the job. Other columns are ignored; equal payloads
-give equal containers (no time of writing is stored).
+container that breaks off, lacks a table, nests boxes more than ``DEPTH`` deep, or whose tables claim more
+than the container holds has the error in ``media_error`` and nulls
+elsewhere, and never stops the job; so has one of movie fragments, which are not decoded.
+Nothing is built that is larger than a container's bytes allow for. Repeated rows give repeated
+results; a very long text is one container, held whole by a task; other columns are ignored; equal payloads
+give equal containers (no time of writing is stored); an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -20,12 +23,14 @@ import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import documents_view
 
+DEPTH = 32  # of nested boxes
 BLOCK = 64  # payloads are padded to a multiple of this
 SAMPLE_BYTES = 1024
 SAMPLES_PER_CHUNK = 16  # the first sample of each chunk is a key sample
@@ -88,39 +93,67 @@ def write_media(payload: bytes) -> bytes:
     return head + moov(first) + mdat
 
 
+def entries(table: bytes, kind: str, at: int = 4) -> np.ndarray:
+    """The counted entries of a table; the count must not claim more than the table holds."""
+    n = struct.unpack_from(">I", table, at)[0]
+    kind = np.dtype(kind)
+    if at + 4 + n * kind.itemsize > len(table):
+        raise ValueError(f"a table of {len(table)} bytes claims {n} entries")
+    return np.frombuffer(table, kind, n, at + 4)
+
+
 @dataclass
 class Track:
+    size: int  # of the container
     codec: str = ""
     timescale: int = 0
     duration: int = 0
     tables: dict[bytes, bytes] = field(default_factory=dict)
 
+    def sizes(self) -> np.ndarray:
+        """The size of each sample."""
+        if b"stz2" in self.tables:
+            table = self.tables[b"stz2"]
+            bits, n = table[7], struct.unpack_from(">I", table, 8)[0]
+            if bits not in (4, 8, 16) or 12 + -(-n * bits // 8) > len(table):
+                raise ValueError(f"a table of {len(table)} bytes claims {n} sizes of {bits} bits")
+            if bits == 4:
+                pairs = np.frombuffer(table, np.uint8, -(-n // 2), 12)
+                return np.column_stack([pairs >> 4, pairs & 15]).ravel()[:n].astype(np.int64)
+            return np.frombuffer(table, f">u{bits // 8}", n, 12).astype(np.int64)
+        fixed, n = struct.unpack_from(">II", self.tables[b"stsz"], 4)
+        if not fixed:
+            return entries(self.tables[b"stsz"], ">u4", 8).astype(np.int64)
+        if n * fixed > self.size:
+            raise ValueError(f"{n} samples of {fixed} bytes in {self.size} bytes")
+        return np.full(n, fixed, np.int64)
+
     def samples(self) -> list[tuple[int, int]]:
         """Start and end of each sample's bytes in the container."""
-        t = self.tables
-        fixed, n = struct.unpack_from(">II", t[b"stsz"], 4)
-        sizes = [fixed] * n if fixed else list(struct.unpack_from(f">{n}I", t[b"stsz"], 12))
-        wide = b"co64" in t
-        table = t[b"co64" if wide else b"stco"]
-        starts = struct.unpack_from(f">{struct.unpack_from('>I', table, 4)[0]}{'Q' if wide else 'I'}", table, 8)
-        spans = list(struct.iter_unpack(">III", t[b"stsc"][8 : 8 + 12 * struct.unpack_from(">I", t[b"stsc"], 4)[0]]))
-        out: list[tuple[int, int]] = []
-        for (first, per, _), following in itertools.zip_longest(spans, spans[1:]):
-            for chunk in range(first, following[0] if following else len(starts) + 1):
-                at = starts[chunk - 1]
-                for size in sizes[len(out) : len(out) + per]:
-                    out.append((at, at + size))
-                    at += size
-        if len(out) != n:
-            raise ValueError(f"{len(out)} of {n} samples have a place")
-        return out
+        sizes = self.sizes()
+        starts = entries(self.tables[b"co64"], ">u8") if b"co64" in self.tables else entries(self.tables[b"stco"], ">u4")
+        starts, spans = starts.astype(np.int64), entries(self.tables[b"stsc"], ">u4,>u4,>u4")
+        first, per = spans["f0"].astype(np.int64), spans["f1"].astype(np.int64)
+        chunks = np.diff(np.append(first, len(starts) + 1))
+        if len(first) and (first[0] != 1 or (chunks < 0).any()) or (chunks * per).sum() != len(sizes) or not len(first) and len(sizes):
+            raise ValueError(f"{len(starts)} chunks do not hold {len(sizes)} samples")
+        many = np.repeat(per, chunks)  # samples of each chunk
+        ends = np.cumsum(sizes)
+        before = np.concatenate(([0], ends))[np.cumsum(many) - many]  # bytes of samples before each chunk
+        end = np.repeat(starts - before, many) + ends
+        if len(end) and (end.max() > self.size or (end - sizes).min() < 0):
+            raise ValueError("a sample lies outside of the container")
+        return list(zip((end - sizes).tolist(), end.tolist(), strict=True))
 
     def keys(self) -> list[int]:
         """Key samples, from 0; without a table of them each sample is one."""
-        table = self.tables.get(b"stss")
+        n, table = len(self.sizes()), self.tables.get(b"stss")
         if table is None:
-            return list(range(struct.unpack_from(">I", self.tables[b"stsz"], 8)[0]))
-        return [i - 1 for i in struct.unpack_from(f">{struct.unpack_from('>I', table, 4)[0]}I", table, 8)]
+            return list(range(n))
+        keys = entries(table, ">u4").astype(np.int64)
+        if len(keys) and (keys.min() < 1 or keys.max() > n):
+            raise ValueError("a key sample that is not there")
+        return (keys - 1).tolist()
 
 
 def walk(data: memoryview, start: int, end: int) -> Iterator[tuple[bytes, int, int]]:
@@ -143,21 +176,27 @@ def walk(data: memoryview, start: int, end: int) -> Iterator[tuple[bytes, int, i
 def read_media(data: bytes) -> list[Track]:
     """The tracks of a container; the samples themselves are not read."""
     view, tracks = memoryview(data), []
-
-    def visit(start: int, end: int) -> None:
-        for kind, a, b in walk(view, start, end):
-            if kind == b"trak":
-                tracks.append(Track())
-            if kind in NESTED:
-                visit(a, b)
-            elif tracks and kind == b"mdhd":
-                tracks[-1].timescale, tracks[-1].duration = struct.unpack_from(">IQ", view, a + 20) if view[a] else struct.unpack_from(">II", view, a + 12)
-            elif tracks and kind[:3] in (b"sts", b"stc", b"stt", b"co6"):
-                tracks[-1].tables[kind] = bytes(view[a:b])
-                if kind == b"stsd":
-                    tracks[-1].codec = bytes(view[a + 12 : a + 16]).decode("latin-1")
-
-    visit(0, len(data))
+    open_boxes = [walk(view, 0, len(data))]
+    while open_boxes:
+        found = next(open_boxes[-1], None)
+        if found is None:
+            open_boxes.pop()
+            continue
+        kind, a, b = found
+        if kind == b"moof":
+            raise ValueError("movie fragments are not decoded")
+        if kind == b"trak":
+            tracks.append(Track(len(data)))
+        if kind in NESTED:
+            if len(open_boxes) == DEPTH:
+                raise ValueError(f"boxes nest more than {DEPTH} deep")
+            open_boxes.append(walk(view, a, b))
+        elif tracks and kind == b"mdhd" and b > a:
+            tracks[-1].timescale, tracks[-1].duration = struct.unpack_from(">IQ", view[a:b], 20) if view[a] else struct.unpack_from(">II", view[a:b], 12)
+        elif tracks and kind[:3] in (b"sts", b"stc", b"stt", b"stz", b"co6"):
+            tracks[-1].tables[kind] = bytes(view[a:b])
+            if kind == b"stsd":
+                tracks[-1].codec = bytes(view[a + 12 : min(a + 16, b)]).decode("latin-1")
     if not tracks:
         raise ValueError("no track")
     return tracks
@@ -181,7 +220,7 @@ def media_columns(df: DataFrame, media: str, id_name: str) -> DataFrame:
                     track = read_media(value.as_py() or b"")[0]
                     spans = track.samples()
                     rows.append((None, track.codec, track.duration, track.timescale, len(spans), [{"start": spans[k][0], "end": spans[k][1]} for k in track.keys()]))
-                except (ValueError, KeyError, IndexError, struct.error) as e:
+                except (ValueError, KeyError, IndexError, OverflowError, struct.error) as e:
                     rows.append((f"{type(e).__name__}: {e}", None, None, None, None, None))
             yield pa.RecordBatch.from_arrays([batch.column("id"), *(pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds))], ["id", *names])
 
