@@ -9,18 +9,20 @@ around it. The forest is trained on labelled findings: (text before, value, text
 after, secret or not). ``labelled_findings`` makes a seeded set of such, cut from made-up
 texts as ``candidates`` cuts them: keywords, names, quotes or none of them on the left,
 tokens of known forms, PEM blocks and loose lines of these. A bare hexadecimal string
-without a keyword counts as a digest. A table of labelled findings can be given instead, of which at most ``MOST_FINDINGS`` are used.
+without a keyword counts as a digest. A table of labelled findings can be given instead (``forest_of``),
+of which at most ``MOST_FINDINGS``, those with the least hash, are learnt from.
 
 Defined results: null and empty texts have no candidates; candidates are apart: of
 overlapping ones a known form or PEM block stays whole, then an assigned value, and what
 is left of a longer one on either side is a candidate if long enough; a finding's span is in bytes of the UTF-8 text; equal findings in
-repeated rows are judged alike; other columns are ignored; an empty table gives an
-empty result.
+repeated rows are judged alike; very long texts are scanned whole, and long candidates by all their
+windows; other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import hashlib
+import heapq
 import random
 import re
 import string
@@ -65,6 +67,7 @@ switch table tag target temp template test text the theme this time title token
 
 _KEYWORDS = b"|".join(w.encode() for w in sorted(SECRET_WORDS, key=len, reverse=True))
 _ASSIGNED = re.compile(rb"(?i)(?:" + _KEYWORDS + rb")[a-z0-9_-]{0,16}[\"']?[ \t]{0,4}(?::=|=>|[:=])[ \t]{0,4}[\"']?([^\s\"'<>;,]{8,})")
+_USERINFO = re.compile(rb"[a-zA-Z][a-zA-Z0-9+.-]{1,15}://[^\s/:@\"'<>]{0,64}:([^\s/@\"'<>]{8,})@")  # of a URL: name and password
 _LONG = re.compile(rb"[A-Za-z0-9+/_=-]{16,}")
 _MIXED = re.compile(rb"[0-9]|[a-z][A-Z]")
 _KNOWN = re.compile(b"|".join(KNOWN_FORMS))
@@ -98,6 +101,9 @@ def assigned(text: bytes) -> list[tuple[int, int]]:
         if b - a >= LEAST_ASSIGNED:
             out.append((a, b))
         m = inner and _ASSIGNED.match(text, b) or _ASSIGNED.search(text, b)
+    if b"://" in text:
+        passwords = [m.span(1) for m in _USERINFO.finditer(text)]
+        out = sorted(passwords + outside(out, passwords, LEAST_ASSIGNED))
     return out
 
 
@@ -206,6 +212,7 @@ def surroundings(before: bytes, value: bytes, after: bytes) -> list[float]:
         float(any(w in left_words[-1:] for w in PLAIN_WORDS)),
         float(left.rstrip("\"' \t")[-1:] in ("=", ":")),
         float(left[-1:] in "\"'" and right[:1] in "\"'"),
+        float(right[:1] == "@" and bool(re.search(r"://[^\s/:@]*:$", left))),
         float(bool(_KNOWN.fullmatch(value) or _PRIVATE.match(value))),
     ]
 
@@ -266,10 +273,13 @@ def labelled_findings(n: int = 4000, seed: int = 11) -> list[tuple[bytes, bytes,
 
     def secret() -> tuple[str, str, str]:
         kind = r.random()
-        if kind < 0.25:
+        if kind < 0.2:
             return bare()
-        if kind < 0.4:
+        if kind < 0.35:
             return private()
+        if kind < 0.42:  # the password of a URL
+            user = r.choice([word(), r.choice(DICTIONARY), "root", "admin"])
+            return f"{word()} {r.choice(['postgres', 'mysql', 'https', 'redis', 'amqp', 'mongodb+srv'])}://{user}:", draw(alnum + r.choice(["", "!#%&*", "-_."]), r.randint(10, 28)), f"@{r.choice(DICTIONARY)}.{r.choice(DICTIONARY)}.{r.choice(['com', 'org', 'internal'])}{r.choice(['', ':5432', '/db'])} {word()}"
         value = r.choice(
             [
                 lambda: draw("0123456789abcdef", r.choice([32, 40, 40, 64])),
@@ -283,7 +293,10 @@ def labelled_findings(n: int = 4000, seed: int = 11) -> list[tuple[bytes, bytes,
         )()
         name = r.choice(["token", "TOKEN", "secret", "api_key", "apiKey", "password", "PASSWORD", "access_key", "auth_token", "client_secret", "Bearer"])
         quote = r.choice(['"', '"', "'", ""])
-        return f"{word()} {word()} {name}{r.choice([' = ', '=', ': ', ' := '])}{quote}", value, quote + r.choice(["", "!!", "###"]) + f" {word()}"
+        before = r.choice([f"{word()} {word()} ", f"{word()} {word()} ", f"{word()}\n", "export ", '{"', f"  {word()}: {word()}\n  ", f"{r.choice(DICTIONARY).upper()}_", f"?{word()}=1&"])
+        if before == '{"':
+            return before + name + r.choice(['": "', '":"']), value, '"' + r.choice(["}", ", ", ","]) + f'"{word()}": 1'
+        return f"{before}{name}{r.choice([' = ', '=', ': ', ' := ', ' => '])}{quote}", value, quote + r.choice(["", "!!", "###", "\n", ";", ","]) + f" {word()}"
 
     def plain() -> tuple[str, str, str]:
         if r.random() < 0.08:
@@ -303,6 +316,9 @@ def labelled_findings(n: int = 4000, seed: int = 11) -> list[tuple[bytes, bytes,
                 lambda: (word() + word() + word() + r.choice(["A", "B"]) + word() + word(), False),
                 lambda: (r.choice(["your", "my", "example", "changeme", "placeholder", "xxxxxxxx"]) + r.choice(["-", "_"]) + names(2, "_"), False),
                 lambda: ("=" * r.randint(8, 20) + draw(string.digits, 2) + "-" * r.randint(8, 20), False),
+                lambda: (f"{r.choice(['https', 'http'])}://{names(2, '.')}.com/{names(r.randint(1, 4), r.choice(['/', '-']))}{r.choice(['', '?id=' + draw(string.digits, 5)])}", False),
+                lambda: (f"{r.randint(1990, 2030)}-{r.randint(10, 12)}-{r.randint(10, 28)}T{r.randint(10, 23)}:{r.randint(10, 59)}:{r.randint(10, 59)}Z", False),
+                lambda: (f"{names(1, '')}-{r.randint(0, 9)}.{r.randint(0, 99)}.{r.randint(0, 99)}-{names(2, '-')}", False),
             ]
         )()
         name = r.choice(PLAIN_WORDS) if named else r.choice([*PLAIN_WORDS, word(), word(), word()])
@@ -381,11 +397,29 @@ def train(x: np.ndarray, y: np.ndarray, trees: int = 40, depth: int = 10, least:
     return Forest(tuple(out))
 
 
+def _draw(finding: tuple[bytes, bytes, bytes, int]) -> bytes:
+    return hashlib.blake2b(b"\0".join(finding[:3]), digest_size=8).digest()
+
+
 def train_on(findings: Iterable[tuple[bytes, bytes, bytes, int]]) -> Forest:
-    some = [f for f, _ in zip(findings, range(MOST_FINDINGS), strict=False)]
+    """A forest learnt from findings; of more than ``MOST_FINDINGS`` those with the least hash are taken."""
+    some = [f for _, _, f in sorted(heapq.nsmallest(MOST_FINDINGS, ((_draw(f), i, f) for i, f in enumerate(findings))), key=lambda x: x[1])]
     return train(np.array([features(*f[:3]) for f in some]), np.array([f[3] for f in some], float))
 
 
+def forest_of(findings: DataFrame) -> Forest:
+    """A forest learnt from a table of findings: before, value, after (text or bytes) and secret (0 or 1).
+
+    Rows without a value or a label are left out. At most ``MOST_FINDINGS`` rows, those with the least hash, reach the driver.
+    """
+    columns = [F.coalesce(F.col(c).cast("binary"), F.lit(b"")).alias(c) for c in ("before", "after")]
+    own = findings.where("value is not null and secret in (0, 1)").select(*columns, F.col("value").cast("binary").alias("value"), F.col("secret").cast("int").alias("secret")).where(F.length("value") > 0)
+    rows = own.orderBy(F.xxhash64("before", "value", "after"), "value", "before", "after", "secret").limit(MOST_FINDINGS).collect()
+    if len({r["secret"] for r in rows}) < 2:
+        raise ValueError("findings of both kinds are needed")
+    return train_on((bytes(r["before"]), bytes(r["value"]), bytes(r["after"]), r["secret"]) for r in rows)
+
+
 @cache
 def default_forest() -> Forest:
     return train_on(labelled_findings())
