@@ -212,3 +212,102 @@ def test_records_by_hand():
     assert h1["WARC-Type"] == "revisit" and h1["X-Refers-To-Page-ID"] == "5" and not b1.endswith(b"body")
     with pytest.raises(ValueError):
         list(warc.read_records(b"\x1f\x8b" + __import__("gzip").compress(b"no record")[2:]))
+
+
+def test_hostile_containers(spark):
+    """Deep nesting, counts that claim more than there is, and key samples that aren't there give an error each, and little memory is taken."""
+    good = media.write_media(os.urandom(4096))
+    deep = b""
+    for _ in range(1500):
+        deep = media.box(b"moov", deep)
+    full = lambda *x: struct.pack(f">{len(x) + 1}I", 0, *x)
+    bad = [
+        deep,
+        good.replace(full(0, 4, 1024, 1024, 1024, 1024), full(1, 2**32 - 1, 1024, 1024, 1024, 1024)),  # stsz: 2**32 - 1 samples of one byte
+        good.replace(full(0, 4, 1024, 1024, 1024, 1024), full(0, 2**32 - 1, 1024, 1024, 1024, 1024)),
+        good.replace(b"stss" + full(1, 1), b"stss" + full(1, 0)),
+        good.replace(b"stss" + full(1, 1), b"stss" + full(1, 99)),
+        good.replace(b"stss" + full(1, 1), b"stss" + full(2**31, 1)),
+        good.replace(b"stsc" + full(1, 1, 4, 1), b"stsc" + full(1, 1, 2**31, 1)),
+        good.replace(b"stsc" + full(1, 1, 4, 1), b"stsc" + full(1, 2, 4, 1)),
+        media.box(b"ftyp", b"isom") + media.box(b"moof", b""),
+        b"\0" * 7,
+        media.box(b"moov", media.box(b"trak", media.box(b"mdia", media.box(b"mdhd", b"")))),
+    ]
+    assert all(b != good for b in bad)
+    df = spark.createDataFrame([(i, bytearray(b)) for i, b in enumerate([good, *bad])], "page_id long, media binary")
+    got = {r["page_id"]: r for r in media.media_columns(df, "media", "page_id").collect()}
+    assert got[0]["media_error"] is None and got[0]["n_samples"] == 4
+    assert all(got[i]["media_error"] and got[i]["key_ranges"] is None for i in range(1, len(bad) + 1)), [i for i in got if not got[i]["media_error"]]
+
+
+def test_compact_sample_sizes():
+    """stz2 tables of 4, 8 and 16 bits."""
+    for bits, sizes in ((4, [3, 15, 0, 7, 9]), (8, [200, 1, 0]), (16, [300, 65535])):
+        packed = b"".join(bytes([a << 4 | b]) for a, b in zip(sizes[::2], [*sizes[1::2], 0], strict=False)) if bits == 4 else struct.pack(f">{len(sizes)}{'B' if bits == 8 else 'H'}", *sizes)
+        t = media.Track(10**6, tables={b"stz2": struct.pack(">IBBBBI", 0, 0, 0, 0, bits, len(sizes)) + packed, b"stco": struct.pack(">III", 0, 1, 50), b"stsc": struct.pack(">IIIII", 0, 1, 1, len(sizes), 1)})
+        ends = np.cumsum(sizes) + 50
+        assert t.samples() == list(zip((ends - sizes).tolist(), ends.tolist(), strict=True)) and t.keys() == list(range(len(sizes)))
+
+
+def test_fixed_sample_sizes():
+    t = media.Track(1000, tables={b"stsz": struct.pack(">III", 0, 10, 6), b"stco": struct.pack(">IIII", 0, 2, 100, 300), b"stsc": struct.pack(">IIIIIIII", 0, 2, 1, 4, 1, 2, 2, 1)})
+    assert t.samples() == [(100, 110), (110, 120), (120, 130), (130, 140), (300, 310), (310, 320)]
+
+
+def test_archives_are_read_in_linear_time():
+    page = lambda i: warc.write_record(i, "http://a/", i, os.urandom(200), None)
+    data = b"".join(page(i) for i in range(3000))
+    fed = []
+    real = warc.zlib.decompressobj
+
+    class Spy:
+        def __init__(self, *a):
+            self.own = real(*a)
+
+        def decompress(self, part):
+            fed.append(len(part))
+            return self.own.decompress(part)
+
+        def __getattr__(self, name):
+            return getattr(self.own, name)
+
+    warc.zlib.decompressobj = Spy
+    try:
+        rows = list(warc.read_records(data))
+    finally:
+        warc.zlib.decompressobj = real
+    assert len(rows) == 3000 and [r[2]["X-Page-ID"] for r in rows[:3]] == ["0", "1", "2"]
+    assert sum(fed) <= 3000 * (warc.FEED + 1000)  # not the rest of the archive for each record
+    with pytest.raises((ValueError, zlib.error)):
+        list(warc.read_records(data[:-5]))
+
+
+def test_index_in_many_ranges(spark, monkeypatch):
+    """Order and rows stay the same in ranges of a few lines, with one URL, time and page that many rows share."""
+    monkeypatch.setattr(warc, "RANGE_ROWS", 50)
+    monkeypatch.setattr(warc, "ARCHIVE_BYTES", 2000)
+    pages = [(i % 40 if i % 3 else 7, f"http://h{i % 5 if i % 3 else 0}.org/", f"<p>{i % 11}</p>", "a", 1, "s") for i in range(900)]
+    rows = warc.capture_index(spark.createDataFrame(pages, PAGES).repartition(3)).collect()
+    order = [(r["urlkey"], r["captured"], r["page_id"], r["archive"], r["offset"]) for r in rows]
+    assert len(rows) == 900 and order == sorted(order)
+    last = {}
+    for i, _, h, *_ in pages:
+        last[h] = max(last.get(h, i), i)
+    want = Counter((i, len(h), last[h] if last[h] != i else None) for i, _, h, *_ in pages)
+    assert Counter((r["page_id"], r["payload_bytes"], r["refers_to"]) for r in rows) == want
+
+
+def test_long_texts(spark, words):
+    """Texts of some megabytes, whole, through the encoders."""
+    r = random.Random(5)
+    text = " ".join("".join(r.choice(["an", "er", "the", "in", "st", "é"]) for _ in range(r.randint(1, 4))) for _ in range(300_000))
+    from .conftest import DOCS, rows as made
+
+    df = spark.createDataFrame(made([(1, text), (2, "short"), (3, None)]), DOCS)
+    raw = text.encode()
+    by = {x["doc_id"]: x for x in media.store_documents(df).collect()}
+    assert (by[1]["n_bytes"], by[1]["payload_bytes"]) == (len(raw), -(-len(raw) // 64) * 64) and by[3]["payload_bytes"] == 64
+    by = {x["doc_id"]: x for x in byte_bpe.encode_documents(df, RANKS, public_tokenizers.PATTERN).collect()}
+    assert by[1]["decoded_sha256"] == hashlib.sha256(raw).hexdigest()
+    check_packing(packing.pack(df, packing.word_encoder(WORDS)).collect(), [(1, text), (2, "short"), (3, None)], words, 4096)

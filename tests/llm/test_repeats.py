@@ -11,6 +11,7 @@ import numpy as np
 import pytest
 
 from recordflow.llm import blocks, jaccard, suffixes
+from recordflow.llm.common import Chunk, window_hash
 from recordflow.llm.components import components
 from recordflow.llm.jaccard import Bands, Similarity
 
@@ -211,3 +212,122 @@ def test_jaccard_links(spark, docs, texts, no_docs):
     linked = [(x, y) for x in members for y in members if x != y and 100 * len(x & y) >= 80 * len(x | y)]
     assert links.count() == links.distinct().count() == len(linked) // 2 > 200
     assert jaccard.jaccard_links(no_docs)[0].collect() == []
+
+
+def thue_morse(n, a, b):
+    """The word of n letters that begins with a, and the one with its letters swapped: polynomials modulo 2**64 can't tell them apart."""
+    bits = [bin(i).count("1") % 2 for i in range(n)]
+    return "".join((a, b)[x] for x in bits), "".join((b, a)[x] for x in bits)
+
+
+def cancelling_texts():
+    """Texts that agree under any sum of values times powers of an odd number modulo 2**64."""
+    r = random.Random(21)
+    prose = lambda k: [f"p{r.randrange(10**6)}" for _ in range(k)]
+    out = []
+    for n in (1024, 2048, 4096):
+        out += list(thue_morse(n, "a", "b"))  # one long word each
+        x, y = thue_morse(n, "a", "b")
+        tail = prose(60)
+        out += [" ".join([x, *tail[:30]]), " ".join([y, *tail[:30]])]
+    x, y = thue_morse(1024, "a", "b")
+    for k in range(61):  # windows whose words differ in one place only
+        out.append(" ".join([*prose(1), x if k % 2 else y] + ["same"] * 59 + [f"q{k}"] * (k % 3)))
+    for a, b in (("u ", "v "), ("up ", "down ")):  # words in the order of the letters
+        out += list(thue_morse(128, a, b))
+    return list(enumerate(out, 1))
+
+
+@pytest.fixture(scope="module")
+def cancelling(spark):
+    texts = cancelling_texts()
+    return texts, spark.createDataFrame(rows(texts), DOCS).repartition(3)
+
+
+@pytest.mark.parametrize(("operator", "brute"), [(blocks.drop_repeats, lambda t: drop_windows(t, 50)), (suffixes.drop_repeats, lambda t: drop_strings(t, 50)), (jaccard.jaccard_components, lambda t: similar(t)[0])])
+def test_texts_that_cancel_out(cancelling, operator, brute):
+    texts, df = cancelling
+    assert got(operator(df)) == brute(texts)
+
+
+def test_window_hashes():
+    r = np.random.default_rng(4)
+    values = r.integers(0, 3, 400).astype(np.uint64)  # many equal windows
+    for k in (1, 2, 3, 5, 25, 50):
+        h = window_hash(values, k)
+        seen = {}
+        for i in range(len(values) - k + 1):
+            assert seen.setdefault(int(h[i]), values[i : i + k].tobytes()) == values[i : i + k].tobytes()
+        assert len(h) == 401 - k and len(seen) == len({values[i : i + k].tobytes() for i in range(len(h))})
+    assert len(window_hash(values[:3], 4)) == 0
+
+
+def test_blocks_that_many_hold(docs, texts, monkeypatch):
+    monkeypatch.setattr(blocks, "COMMON", 1)  # each block that two partitions share sends single windows
+    assert got(blocks.drop_repeats(docs)) == drop_windows(texts, 50)
+
+
+def test_levels_of_suffixes_that_overlap():
+    r = random.Random(2)
+    levels, seen = suffixes.SuffixLevels(6), {}
+    for batch in range(30):
+        text = bytes(r.choice(b"ab\0") for _ in range(r.randint(6, 60)))
+        place = np.arange(len(text) - 5)
+        hit = levels.add_suffixes(np.frombuffer(text, np.uint8), place, np.full(len(place), batch))
+        strings = [text[i : i + 6] for i in place]
+        assert [bool(h) for h in hit] == [s in seen for s in strings]
+        seen |= dict.fromkeys(strings, batch)
+        for level in levels.levels:
+            own = [level.text[i : i + 6].tobytes() for i in level.place]
+            assert own == sorted(set(own))
+
+
+def test_near_copies_on_either_side_of_the_bound(spark):
+    """A large group whose pairs lie on both sides of 80 %, and that only chains hold together."""
+    r = random.Random(31)
+    base = [f"w{r.randrange(5000)}" for _ in range(150)]
+    made = []
+    for i in range(400):
+        w = list(base if i % 5 else made[-1][1].split() if made else base)
+        for _ in range(r.randint(0, 9)):
+            w[r.randrange(len(w))] = f"v{r.randrange(300)}"
+        made.append((i, " ".join(w)))
+    want, linked = similar(made)
+    components_of = Counter(c for _, _, c in want.elements())
+    assert linked > 3000 and len(components_of) > 20 and max(components_of.values()) > 100
+    assert got(jaccard.jaccard_components(spark.createDataFrame(rows(made), DOCS).repartition(6))) == want
+
+
+def test_parities_never_refuse_a_link():
+    r = random.Random(7)
+    for _ in range(200):
+        a = [f"t{r.randrange(4000)}" for _ in range(r.randint(5, 400))]
+        b = list(a)
+        for _ in range(r.randint(0, 30)):
+            b[r.randrange(len(b))] = f"t{r.randrange(4000)}"
+        data = [" ".join(x).encode() for x in (a, b)]
+        bounds = np.array([0, len(data[0]), len(data[0]) + len(data[1])])
+        s = jaccard.Shingles(Chunk(np.arange(2), np.frombuffer(b"".join(data), np.uint8), bounds, None), Similarity())
+        x, y = (set(s.hash[s.first[i] : s.first[i + 1]].tolist()) for i in (0, 1))
+        p = jaccard.parities(s).view(np.uint64)
+        assert sum(bin(int(u) ^ int(v)).count("1") for u, v in zip(*p, strict=True)) <= len(x ^ y)
+
+
+def long_text(n, seed):
+    r = random.Random(seed)
+    return " ".join(f"{r.randrange(36**4):x}" for _ in range(n))
+
+
+def test_texts_of_some_megabytes(spark):
+    long = long_text(500_000, 1)  # over 2 MB
+    texts = [(1, long), (2, "head: " + long[1_000_000:] + " tail"), (3, long), (4, long_text(200, 2))]
+    df = spark.createDataFrame(rows(texts), DOCS).repartition(2)
+    words_of = lambda t: len(t.split())
+    by = {r["doc_id"]: r for r in blocks.drop_repeats(df).collect()}
+    whole = long[1_000_000:].split()
+    first = int(" " not in long[999_999:1_000_001])  # a word cut in two is another word
+    assert (by[1]["n_removed"], by[2]["n_removed"], by[3]["n_removed"], by[4]["n_removed"]) == (0, len(whole) - first, words_of(long), 0)
+    by = {r["doc_id"]: r for r in suffixes.drop_repeats(df).collect()}
+    assert (by[1]["n_removed"], by[3]["n_removed"], by[4]["n_removed"]) == (0, len(long), 0) and by[2]["n_removed"] in (len(long) - 1_000_000, len(long) - 999_999)
+    by = {r["doc_id"]: r["component_id"] for r in jaccard.jaccard_components(df).collect()}
+    assert by == {1: 1, 2: 2, 3: 1, 4: 4}
