@@ -9,7 +9,7 @@ and decoding is the inverse mapping of the pieces.
 Defined results: null and empty texts have no tokens; a pre-token that is itself
 in the vocabulary is that one token, as tiktoken has it, even where no chain of
 merges leads to it. Other columns of the input are ignored; repeated rows give
-repeated results; an empty table gives an empty result.
+repeated results; a very long text is encoded whole by one task; an empty table gives an empty result.
 """
 
 from __future__ import annotations

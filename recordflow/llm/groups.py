@@ -63,11 +63,14 @@ def keyed(docs: DataFrame) -> DataFrame:
     return own.withColumn("tag", F.xxhash64("text"))
 
 
+BATCH_BITS = 48  # of a group's number, below the number of its batch
+
+
 class Group:
-    """Documents whose places are numbered together."""
+    """Documents whose places are numbered together; its number tells batch, task and place in the task."""
 
-    def __init__(self) -> None:
-        self.task, self.n = TaskContext.get().partitionId(), 0
+    def __init__(self, batch: int = 0) -> None:
+        self.task, self.n = batch << 24 | TaskContext.get().partitionId(), 0
         self.clear()
 
     def clear(self) -> None:

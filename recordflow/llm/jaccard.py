@@ -18,17 +18,20 @@ and the next lower one.
    nothing; most have none.
 4. A token that no other candidate's set has differs from every partner, whatever its
    segment: two sets with more such tokens than the bound can't link and are no pair.
+   Each set has a sketch of the parities of its tokens' hashes; two sketches differ in at
+   most as many bits as their sets do in tokens, so pairs with more are no pair either.
+   Both are lossless and part of the join that makes pairs.
 5. Each picked segment gives a pair with its partner of the fewest lone tokens; pairs are
    verified exactly on the whole sets. Candidates that these links don't connect already
    are then verified too, a growing number of partners of each segment at a time, until
-   every candidate is verified or in one component. ``jaccard_links`` verifies all
+   every candidate is refused, verified or in one component. ``jaccard_links`` verifies all
    candidates instead, and gives every link and the number of links of each row.
 
 Defined results: null texts and texts without words have no shingles and are their own
 component; fewer than ``words`` words are one shingle; rows with one id are one node;
-a row without an id has no links and no component; other columns are ignored; an
-empty table gives an empty result. Shingles are compared by 64-bit hashes, sets as a
-whole by 128 bits.
+a row without an id has no links and no component; very long texts are handled whole, one
+at a time; other columns are ignored; an empty table gives an empty result. Shingles are
+compared by 64-bit hashes, sets as a whole by 128 bits.
 """
 
 from __future__ import annotations

@@ -14,7 +14,8 @@ within a length to runs of sequences, and each piece looks its rank up in it.
 Defined results: null and empty texts are the end token alone; a document longer
 than a sequence is cut into full pieces and a rest; pieces of equal length are
 interchangeable and are ranked by the task and the order they were read in; repeated rows are
-packed as often as they occur; an empty table gives an empty result.
+packed as often as they occur; a very long text is tokenized whole by one task and leaves it in pieces;
+other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -28,7 +28,7 @@ def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
 
 
-def op4_jaccard_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+def jaccard_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_links(table(spark, sf_dir, "documents"))[0]
 
 
@@ -61,11 +61,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_blocks": op2_blocks,
     "op3_toxicity": op3_toxicity,
     "op4_jaccard": op4_jaccard,
-    "op4_jaccard_links": op4_jaccard_links,
+    "jaccard_links": jaccard_links,
     "op5_neighbours": op5_neighbours,
     "op6_byte_bpe": op6_byte_bpe,
     "op7_suffixes": op7_suffixes,
     "op8_media": op8_media,
     "op9_secrets": op9_secrets,
     "op10_warc": op10_warc,
-}
\ No newline at end of file
+}

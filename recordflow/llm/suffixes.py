@@ -20,8 +20,8 @@ same distance, so repeats only need to be sought among the places of one anchor.
 
 Defined results: null and empty texts have no bytes; a document without an id is no
 source and keeps all its bytes; documents of equal id never remove each other's bytes;
-matches never cross documents; repeated rows give repeated results; other columns are
-ignored; an empty table gives an empty result.
+matches never cross documents; repeated rows give repeated results; very long texts are
+handled whole, one at a time; other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -83,8 +83,8 @@ class Anchors:
         self.hash = h[self.place]
 
 
-def anchors(docs: DataFrame, length: int, parts: int) -> DataFrame:
-    """Packed hashes of all anchors, with the first string of each as its place."""
+def anchors(docs: DataFrame, length: int, parts: int, number: int = 0) -> DataFrame:
+    """Packed hashes of all anchors of a batch, with the first string of each as its place."""
 
     def flush(group: G.Group) -> pa.RecordBatch:
         h, place = (np.concatenate([x[k] for x in group.held]) for k in (0, 1))
@@ -105,7 +105,7 @@ def anchors(docs: DataFrame, length: int, parts: int) -> DataFrame:
         return group.rows(parts, data, None, alike)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group = G.Group()
+        group = G.Group(number)
         for chunk in chunks(batches):
             if group.size and group.size + len(chunk.data) >= 1 << 30:  # places take 31 bits, with a chunk of 2 GB at most
                 yield flush(group)
@@ -121,8 +121,8 @@ def anchors(docs: DataFrame, length: int, parts: int) -> DataFrame:
     return docs.mapInArrow(run, G.PACKED)
 
 
-def shared_anchors(rows: DataFrame) -> DataFrame:
-    """Of each partition, the places of anchors that occur twice; the count is 1 for common ones, else 0."""
+def shared_anchors(rows: DataFrame, number: int | None = None) -> DataFrame:
+    """Of each partition, the places of anchors that occur twice, in batch ``number`` if one is told; the count is 1 for common ones, else 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         data, out = G.incoming(batches)
@@ -136,6 +136,8 @@ def shared_anchors(rows: DataFrame) -> DataFrame:
             cuts = runs(h[order])
             many = np.diff(cuts)
             good = (many > 1) | (np.maximum.reduceat(place[order] & 1, cuts[:-1]) > 0)
+            if number is not None:
+                good &= np.maximum.reduceat((grp[order] >> G.BATCH_BITS == number).astype(np.int8), cuts[:-1]) > 0
             at = order[np.repeat(good, many)]
             common = np.repeat(many[good] > COMMON, many[good]).astype(np.uint32)
             place >>= np.uint32(1)
@@ -280,17 +282,70 @@ def compare_suffixes(heads: Heads, length: int) -> tuple[np.ndarray, np.ndarray]
     return np.concatenate(where), np.concatenate(found)
 
 
-def repeated_strings(docs: DataFrame, length: int = 50) -> DataFrame:
-    """Spans of string starts that a document with a smaller id has too: doc_id, tag, spans."""
-    parts = partitions(docs.sparkSession)
-    own = G.keyed(docs).where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= length))
-    hit = materialise(G.per_document(shared_anchors(G.deal(anchors(own, length, parts), parts)), parts), "anchors")
-    near = contexts(own.join(hit, ["doc_id", "tag"]).select("doc_id", "tag", "text", "spans"), length, parts)
+def spans_of(texts: DataFrame, rows: DataFrame, length: int, parts: int, number: int | None = None) -> DataFrame:
+    """Spans of string starts that a smaller id has too, from the packed anchors of documents (columns doc_id, tag, text)."""
+    hit = materialise(G.per_document(shared_anchors(G.deal(rows, parts), number), parts), "anchors")
+    near = contexts(texts.join(hit, ["doc_id", "tag"]).select("doc_id", "tag", "text", "spans"), length, parts)
     out = materialise(G.per_document(covered(G.deal(near, parts), lambda heads: compare_suffixes(heads, length)), parts), "repeats")
     discard(hit)
     return out
 
 
+def searched(docs: DataFrame, length: int) -> DataFrame:
+    """doc_id, text and tag of the rows that can hold repeats."""
+    return G.keyed(docs).where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= length))
+
+
+def repeated_strings(docs: DataFrame, length: int = 50) -> DataFrame:
+    """Spans of string starts that a document with a smaller id has too: doc_id, tag, spans."""
+    parts = partitions(docs.sparkSession)
+    own = searched(docs, length)
+    return spans_of(own, anchors(own, length, parts), length, parts)
+
+
+class SuffixFamily:
+    """A logarithmic family of indexes over batches of documents, kept as tables of the shared folder.
+
+    A batch's index is its anchors, packed by hash partition in order of their hashes, and its texts. A new batch is
+    scanned against the indexes of all levels; what it shares with them is compared by
+    suffix arrays in each partition, as within a batch. It is then the lowest level, and a
+    level of less than twice as many documents as the one above it is merged into that: so there are
+    at most a logarithmic number of levels, and a document is merged that many times. Batches come in
+    rising order of id; earlier batches are never searched for their own repeats again.
+    """
+
+    def __init__(self, spark, length: int = 50, parts: int | None = None):
+        self.length, self.parts = length, parts or partitions(spark)
+        self.levels: list[tuple[DataFrame, DataFrame, int]] = []  # packed anchors, texts, and documents
+        self.batches, self.last = 0, None
+
+    def add(self, docs: DataFrame) -> DataFrame:
+        """Per document of the batch: bytes, removed bytes and runs, and SHA-256 of what is kept; then the batch is indexed."""
+        own = materialise(searched(docs, self.length), "batch")
+        n, least, most = own.agg(F.count("*"), F.min("doc_id"), F.max("doc_id")).first()
+        if not n:
+            return described(docs, own.select("doc_id", "tag", F.lit(None).cast("binary").alias("spans")), self.length)
+        if self.last is not None and least <= self.last:
+            raise ValueError(f"id {least} is not above {self.last}, the largest of earlier batches")
+        fresh = materialise(anchors(own, self.length, self.parts, self.batches), "level-anchors")
+        rows, texts = fresh, own
+        for packed, there, _ in self.levels:
+            rows, texts = rows.unionByName(packed), texts.unionByName(there)
+        spans = spans_of(texts, rows, self.length, self.parts, self.batches).where(F.col("doc_id") >= least)
+        self.batches, self.last = self.batches + 1, most
+        self._insert(fresh, own, n)
+        return described(docs, spans, self.length)
+
+    def _insert(self, packed: DataFrame, texts: DataFrame, n: int) -> None:
+        while self.levels and self.levels[-1][2] < 2 * n:
+            above, there, many = self.levels.pop()
+            merged = materialise(above.unionByName(packed).repartition(self.parts, "part").sortWithinPartitions("part", "kind", "grp"), "level-anchors")
+            both = materialise(there.unionByName(texts), "batch")
+            discard(above, there, packed, texts)
+            packed, texts, n = merged, both, n + many
+        self.levels.append((packed, texts, n))
+
+
 def removed(text: bytes, spans: bytes | None, length: int) -> np.ndarray | None:
     """Which bytes go; None if none."""
     if spans is None or not text:
@@ -301,7 +356,11 @@ def removed(text: bytes, spans: bytes | None, length: int) -> np.ndarray | None:
 
 def drop_repeats(docs: DataFrame, length: int = 50) -> DataFrame:
     """Per document: bytes, removed bytes and runs, and SHA-256 of what is kept."""
-    spans = repeated_strings(docs, length)
+    return described(docs, repeated_strings(docs, length), length)
+
+
+def described(docs: DataFrame, spans: DataFrame, length: int) -> DataFrame:
+    """What ``drop_repeats`` tells of each document, from its spans."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

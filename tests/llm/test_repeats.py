@@ -331,3 +331,20 @@ def test_texts_of_some_megabytes(spark):
     assert (by[1]["n_removed"], by[3]["n_removed"], by[4]["n_removed"]) == (0, len(long), 0) and by[2]["n_removed"] in (len(long) - 1_000_000, len(long) - 999_999)
     by = {r["doc_id"]: r["component_id"] for r in jaccard.jaccard_components(df).collect()}
     assert by == {1: 1, 2: 2, 3: 1, 4: 4}
+
+
+def test_family_of_batches(spark, docs, texts):
+    """Batches of rising id, one at a time, give what all of them give at once; levels stay geometric."""
+    family = suffixes.SuffixFamily(spark, parts=3)
+    ids = sorted({i for i, _ in texts if i is not None})
+    edges = [0, 7, 9, 30, 33, 60, 75, len(ids)]
+    got = Counter()
+    for a, b in zip(edges[:-1], edges[1:], strict=True):
+        batch = [(i, t) for i, t in texts if i is not None and ids[a] <= i <= ids[b - 1]]
+        got.update(tuple(r) for r in family.add(spark.createDataFrame(rows(batch), DOCS).repartition(2)).collect())
+        sizes = [n for _, _, n in family.levels]
+        assert all(x >= 2 * y for x, y in zip(sizes, sizes[1:], strict=False))
+    assert got == Counter({k: v for k, v in drop_strings(texts, 50).items() if k[0] is not None})
+    assert family.add(docs.limit(0)).collect() == []
+    with pytest.raises(ValueError, match="not above"):
+        family.add(spark.createDataFrame(rows([(ids[0], "x" * 60)]), DOCS))
