@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from . import groups as G
 from .common import SALTS, U64, Words, chunks, discard, join_hashes, materialise, part_of, partitions, runs, span_hashes, window_hash
-from .contexts import Heads, Sender, covered, equal_contexts, gather_bytes
+from .contexts import GROUP_BYTES, Heads, Sender, covered, equal_contexts
 
 GROUP_WORDS = 2_000_000  # words of a group of documents
 COMMON = 2000  # a block that more groups of documents hold sends single windows
@@ -127,7 +127,7 @@ def contexts(docs: DataFrame, window: int, parts: int) -> DataFrame:
     block = window // 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sender = Sender(parts)
+        sender = Sender(parts, GROUP_BYTES)
         for chunk in chunks(batches):
             w = Words(chunk)
             bases = sender.group.add(chunk.ids, chunk.rows.column("tag").to_numpy(), np.diff(w.docs))
@@ -152,9 +152,7 @@ def contexts(docs: DataFrame, window: int, parts: int) -> DataFrame:
             letter = np.ones(len(text), bool)
             letter[ends[1:] - 1] = False
             text[letter] = w.letters()
-            sender.add(anchor, check, chunk.ids[doc], bases[doc] + first - w.docs[doc], last - first - window + 1, ends[last] - ends[first], gather_bytes(text, ends[first], ends[last] - ends[first]))
-            if sender.full() or sender.group.size >= 1 << 30:
-                yield sender.flush()
+            yield from sender.send(anchor, check, chunk.ids[doc], bases[doc] + first - w.docs[doc], last - first - window + 1, ends[last] - ends[first], text, ends[first])
         if sender.group.size:
             yield sender.flush()
 

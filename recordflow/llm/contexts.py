@@ -21,15 +21,29 @@ from pyspark.sql import DataFrame
 from . import groups as G
 from .common import part_of, runs, same_bytes
 
-GROUP_BYTES = 24 << 20  # contexts of a group of documents
+GROUP_BYTES = 24 << 20  # contexts that a task gathers before it sends them
+SLICE = 1 << 20  # bytes copied at once
 FIELDS = 7
 
 
 def gather_bytes(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """data[start:start + size] of each, end to end."""
+    """data[start:start + size] of each, end to end; places are told for about SLICE bytes at a time."""
     ends = np.cumsum(size)
     total = int(ends[-1]) if len(ends) else 0
-    return data[np.repeat(start - (ends - size), size) + np.arange(total)]
+    out = np.empty(total, np.uint8)
+    cuts = np.unique(np.concatenate(([0], np.searchsorted(ends, np.arange(SLICE, total, SLICE)) + 1, [len(ends)])))
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        begin = ends[a] - size[a]
+        out[begin : ends[b - 1]] = data[np.repeat(start[a:b] - (ends[a:b] - size[a:b]), size[a:b]) + np.arange(begin, ends[b - 1])]
+    return out
+
+
+def slices(size: np.ndarray, most: int) -> Iterator[slice]:
+    """Stretches of contexts of about ``most`` bytes."""
+    ends = np.cumsum(size)
+    total = int(ends[-1]) if len(ends) else 0
+    cuts = np.unique(np.concatenate(([0], np.searchsorted(ends, np.arange(most, total, most)) + 1, [len(ends)])))
+    yield from map(slice, cuts[:-1].tolist(), cuts[1:].tolist())
 
 
 def equal_contexts(anchor: np.ndarray, check: np.ndarray, doc: np.ndarray, text: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -59,22 +73,28 @@ class Heads:
 
 
 class Sender:
-    """Gathers the contexts of a group of documents.
+    """Gathers the contexts of a group of documents, about ``most`` bytes of them at a time.
 
     ``place`` is the place of a context's first string, ``count`` how many strings it has.
     """
 
-    def __init__(self, parts: int):
-        self.parts, self.group = parts, G.Group()
-
-    def add(self, anchor: np.ndarray, check: np.ndarray, doc: np.ndarray, place: np.ndarray, count: np.ndarray, size: np.ndarray, text: np.ndarray) -> None:
-        self.group.held.append((anchor, check, doc.astype(np.int64), place, count.astype(np.int64), size.astype(np.int64), text))
-        self.group.weight += len(text)
-
-    def full(self) -> bool:
-        return self.group.weight >= GROUP_BYTES
-
-    def flush(self) -> pa.RecordBatch:
+    def __init__(self, parts: int, most: int):
+        self.parts, self.most, self.group = parts, most, G.Group()
+
+    def send(self, anchor: np.ndarray, check: np.ndarray, doc: np.ndarray, place: np.ndarray, count: np.ndarray, size: np.ndarray, text: np.ndarray, start: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Take in contexts, which are ``size`` bytes of a text from ``start`` on; gives what is full."""
+        for part in slices(size, self.most):
+            own = gather_bytes(text, start[part], size[part])
+            self.group.held.append((anchor[part], check[part], doc[part].astype(np.int64), place[part], count[part].astype(np.int64), size[part].astype(np.int64), own))
+            self.group.weight += len(own)
+            if self.group.weight >= self.most:
+                yield self.flush(close=False)
+        if self.group.size >= 1 << 30:
+            yield self.flush()
+
+    def flush(self, close: bool = True) -> pa.RecordBatch:
+        if not self.group.held:
+            return self.group.rows(self.parts, [], None, close=close)
         packer = zstandard.ZstdCompressor(level=3)
         anchor, check, doc, place, count, size, text = (np.concatenate([x[k] for x in self.group.held]) for k in range(FIELDS))
         begin = np.cumsum(size) - size
@@ -90,7 +110,7 @@ class Sender:
             own = left[x:y]
             ids, index = np.unique(doc[own], return_inverse=True)
             data.append((p, G.dump(anchor[own], check[own], ids, index.astype(np.uint32), place[own].astype(np.uint32), count[own].astype(np.uint8), size[own].astype(np.uint32)) + packer.compress(gather_bytes(text, begin[own], size[own]).tobytes())))
-        return self.group.rows(self.parts, data, (place[gone].astype(np.uint32), count[gone].astype(np.uint32)))
+        return self.group.rows(self.parts, data, (place[gone].astype(np.uint32), count[gone].astype(np.uint32)), close=close)
 
 
 def covered(rows: DataFrame, compare: Callable[[Heads], tuple[np.ndarray, np.ndarray]]) -> DataFrame:

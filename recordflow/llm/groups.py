@@ -86,18 +86,24 @@ class Group:
         self.size += int(lengths.sum())
         return bases
 
-    def rows(self, parts: int, data: list[tuple[int, bytes]], found: tuple[np.ndarray, ...] | None, alike: tuple[np.ndarray, np.ndarray] | None = None) -> pa.RecordBatch:
-        """The group as packed rows; then it is empty. ``alike``: places, and those whose answers they share."""
+    def rows(self, parts: int, data: list[tuple[int, bytes]], found: tuple[np.ndarray, ...] | None, alike: tuple[np.ndarray, np.ndarray] | None = None, close: bool = True) -> pa.RecordBatch:
+        """What the group holds as packed rows. ``alike``: places, and those whose answers they share.
+
+        A group that is not closed goes on with the same documents, and tells of these later.
+        """
         grp = self.task << 24 | self.n
-        self.n += 1
         home = grp * 2654435761 % parts
         out = [(p, grp, DATA, payload) for p, payload in data]
-        out.append((home, grp, DOCS, dump(np.concatenate(self.ids), np.concatenate(self.tags), np.concatenate(self.bases))))
+        if close:
+            out.append((home, grp, DOCS, dump(np.concatenate(self.ids), np.concatenate(self.tags), np.concatenate(self.bases))))
         if found is not None and len(found[0]):
             out.append((home, grp, FOUND, dump(*found)))
         if alike is not None and len(alike[0]):
             out.append((home, grp, ALIKE, dump(*alike)))
-        self.clear()
+        if close:
+            self.n += 1
+            self.clear()
+        self.held, self.weight = [], 0
         return packed(out)
 
 

@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from . import groups as G
 from .blocks import spread
 from .common import SALTS, U64, chunks, discard, eights, join_hashes, materialise, mix, part_of, partitions, runs
-from .contexts import Heads, Sender, covered, gather_bytes
+from .contexts import GROUP_BYTES, Heads, Sender, covered, gather_bytes
 
 GRAM = 25
 GROUP_ANCHORS = 1_500_000  # anchors of a group of documents
@@ -152,7 +152,7 @@ def contexts(docs: DataFrame, length: int, parts: int) -> DataFrame:
     """Packed contexts of the shared anchors of each document (columns doc_id, tag, text, spans)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sender = Sender(parts)
+        sender = Sender(parts, GROUP_BYTES)
         for chunk in chunks(batches):
             if sender.group.size and sender.group.size + len(chunk.data) >= 1 << 30:
                 yield sender.flush()
@@ -176,9 +176,7 @@ def contexts(docs: DataFrame, length: int, parts: int) -> DataFrame:
             # the anchor's place in its context is part of the context's hash
             h = np.concatenate([a.hash[plain], whole[len(plain) :]])
             shift = np.concatenate([a.place[plain] - a.start[plain], np.zeros(len(single), np.int64)])
-            sender.add(h, join_hashes(whole, shift.astype(U64)), chunk.ids[doc], bases[doc] + start - chunk.bounds[doc], count, size, gather_bytes(chunk.data, start, size))
-            if sender.full():
-                yield sender.flush()
+            yield from sender.send(h, join_hashes(whole, shift.astype(U64)), chunk.ids[doc], bases[doc] + start - chunk.bounds[doc], count, size, chunk.data, start)
         if sender.group.size:
             yield sender.flush()
 

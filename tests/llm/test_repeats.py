@@ -10,7 +10,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from recordflow.llm import blocks, jaccard, suffixes
+from recordflow.llm import blocks, contexts, jaccard, suffixes
 from recordflow.llm.common import Chunk, window_hash
 from recordflow.llm.components import components
 from recordflow.llm.jaccard import Bands, Similarity
@@ -348,3 +348,21 @@ def test_family_of_batches(spark, docs, texts):
     assert family.add(docs.limit(0)).collect() == []
     with pytest.raises(ValueError, match="not above"):
         family.add(spark.createDataFrame(rows([(ids[0], "x" * 60)]), DOCS))
+
+
+@pytest.mark.parametrize(("module", "brute"), [(blocks, drop_windows), (suffixes, drop_strings)])
+def test_contexts_in_many_slices(docs, texts, monkeypatch, module, brute):
+    """What a document sends can go in many pieces, before its group is closed."""
+    monkeypatch.setattr(module, "GROUP_BYTES", 3000)
+    assert got(module.drop_repeats(docs)) == brute(texts, 50)
+
+
+def test_gathered_bytes(monkeypatch):
+    monkeypatch.setattr(contexts, "SLICE", 100)
+    r = np.random.default_rng(1)
+    data = r.integers(0, 256, 5000).astype(np.uint8)
+    for n in (0, 1, 5, 300):
+        start, size = r.integers(0, 4000, n), r.integers(1, 400, n)
+        assert contexts.gather_bytes(data, start, size).tobytes() == b"".join(data[a : a + b].tobytes() for a, b in zip(start, size, strict=True))
+        parts = list(contexts.slices(size, 700))
+        assert [i for p in parts for i in range(p.start, p.stop)] == list(range(n))
