@@ -31,14 +31,14 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _damaged(df: DataFrame, key: str) -> DataFrame:
-    """A copy with rows lost, doubled and changed, for the checks to find."""
-    kept = df.where(F.col(key) % 10 != 3)
-    return kept.unionByName(kept.where(F.col(key) % 50 == 1)).withColumn(key, F.when(F.col(key) % 100 == 7, -F.col(key)).otherwise(F.col(key)))
+    """A copy of the whole table with values lost, doubled, invented and repeated, for the checks to find."""
+    k = F.col(key)
+    changed = df.withColumn(key, F.when(k % 100 == 7, -k).when(k % 10 == 3, k - 1).otherwise(k))
+    return changed.unionByName(changed.where(k % 50 == 1))
 
 
-_DAMAGED = """(SELECT CASE WHEN k % 100 = 7 THEN -k ELSE k END AS k FROM (
-    SELECT o_orderkey AS k FROM orders WHERE o_orderkey % 10 <> 3
-    UNION ALL SELECT o_orderkey FROM orders WHERE o_orderkey % 10 <> 3 AND o_orderkey % 50 = 1))"""
+_DAMAGED_ONCE = "SELECT CASE WHEN o_orderkey % 100 = 7 THEN -o_orderkey WHEN o_orderkey % 10 = 3 THEN o_orderkey - 1 ELSE o_orderkey END AS k FROM orders"
+_DAMAGED = f"(SELECT k FROM ({_DAMAGED_ONCE}) UNION ALL SELECT k FROM ({_DAMAGED_ONCE}) WHERE k % 50 = 1)"
 
 
 @query("SELECT count(*) AS n_rows FROM lineitem")
@@ -160,10 +160,10 @@ def merge_runs(spark: SparkSession, d: str) -> DataFrame:
     return ordinals.with_ordinal(merged, "o_orderkey")
 
 
-@query("SELECT o_custkey, row_number() OVER (ORDER BY o_custkey) AS rn FROM (SELECT o_custkey FROM orders WHERE o_custkey % 3 <> 0 UNION SELECT o_custkey FROM orders WHERE o_custkey % 2 = 0)")
+@query("SELECT o_custkey, row_number() OVER (ORDER BY o_custkey) AS rn FROM (SELECT o_custkey FROM orders WHERE o_orderstatus <> 'P' UNION SELECT o_custkey FROM orders WHERE o_orderstatus <> 'F')")
 def merge_runs_distinct(spark: SparkSession, d: str) -> DataFrame:
-    o = table(spark, d, "orders").select("o_custkey")
-    merged = sorting.merge_sorted(o.where("o_custkey % 3 <> 0"), o.where("o_custkey % 2 = 0"), order=["o_custkey"], distinct=True)
+    o = table(spark, d, "orders")  # two runs that share rows and hold all between them
+    merged = sorting.merge_sorted(*(o.where(F.col("o_orderstatus") != s).select("o_custkey") for s in "PF"), order=["o_custkey"], distinct=True)
     return ordinals.with_ordinal(merged, "o_custkey")
 
 
@@ -225,6 +225,16 @@ def page_cost(spark: SparkSession, d: str) -> DataFrame:
     return counts.select("name", "n_rows", costmodel.pages(n, hdd.page).alias("n_pages"), costmodel.access_time(n, 1024, hdd.latency, hdd.bandwidth).alias("seconds"))
 
 
+@query("""SELECT name, page, capacity, cluster, cluster * 95 AS input_area, capacity - cluster * 95 AS output_area, latency, bandwidth
+FROM (SELECT name, page, capacity, capacity // 100 // page * page AS cluster, latency, bandwidth
+FROM (SELECT name, CAST(ceil(floor(round(bandwidth * latency, 6)) / 4096) AS BIGINT) * 4096 // 1024 AS page, bytes // 1024 AS capacity, latency, bandwidth
+FROM (VALUES ('dram', 0.000001::DOUBLE, 104857600::BIGINT, 104857600::BIGINT), ('ssd', 0.0001, 209715200, 10737418240), ('hdd', 0.005, 104857600, NULL)) AS t(name, latency, bandwidth, bytes)))""")
+def tier_state(spark: SparkSession, d: str) -> DataFrame:
+    """What the cost model knows of each tier, in records."""
+    rows = [(t.name, t.page, t.capacity, t.cluster, t.input_area, t.output_area, t.latency, t.bandwidth) for t in costmodel.tiers().values()]
+    return spark.createDataFrame(rows, "name string, page long, capacity long, cluster long, input_area long, output_area long, latency double, bandwidth long")
+
+
 @query("""SELECT p_partkey, CAST(CASE WHEN p_size <> 0 THEN length(bin(p_size & -p_size)) - 1 END AS INTEGER) AS low, CAST(p_partkey & 255 AS BIGINT) AS masked,
 least(p_size, CAST(p_partkey % 50 AS INTEGER)) AS smaller, greatest(p_size, CAST(p_partkey % 50 AS INTEGER)) AS larger FROM part""")
 def bit_helpers(spark: SparkSession, d: str) -> DataFrame:
