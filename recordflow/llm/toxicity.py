@@ -49,7 +49,7 @@ class Learning:
     most: int = 20_000  # labelled documents learnt from
     features: int = 1 << 18  # learnt at most
     prefixes: tuple[int, ...] = (5, 6, 7, 8)  # bytes, 8 at most; a word counts as a whole too
-    prior: float = 200.0  # weight of the prior, in tokens
+    prior: float = 20.0  # weight of the prior, in documents
     bound: float = 1.0  # standard errors below the log-odds
     drift: float = 1.0
     clip: float = 6.0
@@ -129,29 +129,35 @@ def places(features: np.ndarray, hashes: np.ndarray) -> np.ndarray:
 
 
 def corpus_counts(docs: DataFrame, features: np.ndarray, learn: Learning) -> tuple[np.ndarray, int]:
-    """How often each of the features occurs in all documents, and how many features these have in all."""
+    """How often each of the features occurs in all documents, and how many documents there are."""
     shared = docs.sparkSession.sparkContext.broadcast(features)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
+        own, documents = shared.value, 0
         total = np.zeros(len(own) + 1, np.int64)
         for chunk in chunks(batches):
             t = Tokens(chunk, learn)
             times = np.bincount(t.code, minlength=len(t.features)).astype(np.int64)
             at = places(own, t.features)
-            np.add.at(total, at.ravel(), np.repeat(times, at.shape[1]))  # place -1 is the last: all others
+            np.add.at(total, at.ravel(), np.repeat(times, at.shape[1]))
+            total[-1] = 0  # features that aren't known are at place -1
+            documents += len(chunk.ids)
+        total[-1] = documents
         there = np.flatnonzero(total)
         yield counted(there, total[there])
 
     out = np.zeros(len(features) + 1, np.int64)
     for r in added_up(docs.select("doc_id", "text").mapInArrow(run, COUNTS)).collect():  # a row for each feature learnt, at most
         out[r["key"]] = r["n"]
-    return out[:-1], int(out.sum())
+    return out[:-1], int(out[-1])
 
 
 def log_odds(corpus: np.ndarray, total: int, other: np.ndarray, toxic: np.ndarray, documents: tuple[int, int], learn: Learning) -> np.ndarray:
-    """Lower confidence bounds of the log-odds of each feature, with the corpus as Dirichlet prior."""
-    prior = learn.prior * (corpus + 1) / (total + len(corpus) + 1)
+    """Lower confidence bounds of the log-odds of each feature.
+
+    The Dirichlet prior is ``learn.prior`` documents that hold a feature as often as the corpus does, once in a document at most.
+    """
+    prior = learn.prior * np.minimum(1.0, (corpus + 1) / (total + 1))
     rate = []
     for y, n in ((toxic, documents[1]), (other, documents[0])):
         rate.append(np.log((y + prior) / (n + learn.prior - np.minimum(y, n) - prior + 1)))

@@ -311,3 +311,17 @@ def test_long_texts(spark, words):
     by = {x["doc_id"]: x for x in byte_bpe.encode_documents(df, RANKS, public_tokenizers.PATTERN).collect()}
     assert by[1]["decoded_sha256"] == hashlib.sha256(raw).hexdigest()
     check_packing(packing.pack(df, packing.word_encoder(WORDS)).collect(), [(1, text), (2, "short"), (3, None)], words, 4096)
+
+
+def test_media_sql(docs, texts):
+    import duckdb
+
+    from recordflow.llm.oracles import ORACLE_SQL
+
+    c = duckdb.connect()
+    c.execute("create table documents (doc_id bigint, text varchar)")
+    c.executemany("insert into documents values (?, ?)", [(i, t) for i, t in texts if "\x00" not in (t or "")])
+    want = c.execute(ORACLE_SQL["op8_media"])
+    names = [x[0] for x in want.description]
+    got = media.store_documents(docs.where("text is null or instr(text, char(0)) = 0")).select(*names).collect()
+    assert Counter(tuple(r) for r in got) == Counter(want.fetchall())

@@ -171,11 +171,10 @@ def test_log_odds_against_brute_force(spark):
     model = toxicity.fit(docs, lab, learn)
     words = lambda t: "".join(c if c.isalnum() or ord(c) > 127 else " " for c in (t or "").lower()).split()
     parts = lambda w: [("", w)] + [("p", w.encode()[:k]) for k in learn.prefixes]
-    corpus, total = Counter(), 0
+    corpus = Counter()
     for _, t in texts:
         for w in words(t):
             corpus.update(parts(w))
-            total += 1 + len(learn.prefixes)
     seen, documents, truth = {0: Counter(), 1: Counter()}, Counter(), dict(labels)
     for i, t in dict(texts).items():
         if i in truth and zlib.crc32(str(i).encode()) % 5:
@@ -183,7 +182,7 @@ def test_log_odds_against_brute_force(spark):
             seen[truth[i]].update({p for w in words(t) for p in parts(w)})
     known = sorted(seen[1])
     assert len(model.known) == len(known)
-    prior = {f: learn.prior * (corpus[f] + 1) / (total + len(known) + 1) for f in known}
+    prior = {f: learn.prior * min(1, (corpus[f] + 1) / (len(texts) + 1)) for f in known}
     want = []
     for f in known:
         rate = [np.log((seen[y][f] + prior[f]) / (documents[y] + learn.prior - min(seen[y][f], documents[y]) - prior[f] + 1)) for y in (1, 0)]
