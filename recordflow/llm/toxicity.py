@@ -114,10 +114,11 @@ def label_counts(sample: DataFrame, learn: Learning) -> tuple[np.ndarray, np.nda
             toxic = chunk.rows.column("toxic").to_numpy()[doc]
             yield counted(hashes, 1 - toxic, toxic)
 
-    rows = added_up(sample.mapInArrow(run, COUNTS)).where("toxic > 0").orderBy(F.desc("toxic"), "key").limit(learn.features).toPandas()
-    key = rows["key"].to_numpy(np.int64).view(U64)
+    rows = added_up(sample.mapInArrow(run, COUNTS)).where("toxic > 0").orderBy(F.desc("toxic"), "key").limit(learn.features).toArrow()
+    key, n, toxic = (rows.column(c).to_numpy() for c in ("key", "n", "toxic"))
+    key = key.view(U64)
     order = np.argsort(key)
-    return key[order], rows["n"].to_numpy(np.int64)[order], rows["toxic"].to_numpy(np.int64)[order]
+    return key[order], n[order], toxic[order]
 
 
 def places(features: np.ndarray, hashes: np.ndarray) -> np.ndarray:
@@ -147,8 +148,8 @@ def corpus_counts(docs: DataFrame, features: np.ndarray, learn: Learning) -> tup
         yield counted(there, total[there])
 
     out = np.zeros(len(features) + 1, np.int64)
-    for r in added_up(docs.select("doc_id", "text").mapInArrow(run, COUNTS)).collect():  # a row for each feature learnt, at most
-        out[r["key"]] = r["n"]
+    rows = added_up(docs.select("doc_id", "text").mapInArrow(run, COUNTS)).select("key", "n").toArrow()  # a row for each feature learnt, at most
+    out[rows.column("key").to_numpy()] = rows.column("n").to_numpy()
     return out[:-1], int(out[-1])
 
 
