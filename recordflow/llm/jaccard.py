@@ -422,23 +422,24 @@ def links_of(own: DataFrame, reps: DataFrame, like: Similarity) -> DataFrame:
 
     The rows of a segment lie at places from 0 to their number, by a hash of the node;
     each round takes the partners in the next stretch of these places, in all segments
-    that still join several components. So no segment's rows are ever ordered or gathered in one task.
+    that still join several components. So no segment's rows are ordered or must be in one
+    task; where they join, both sides are tables, and Spark splits a hot key.
     """
     rows, sets = segment_rows(own, reps, like)
-    hub = rows.where("own").groupBy("key").agg(F.min(F.expr(PARTNER)).alias("hub")).select("key", "hub.*")
+    hub = materialise(rows.where("own").groupBy("key").agg(F.min(F.expr(PARTNER)).alias("hub")).select("key", "hub.*"), "hubs")  # a table, so that the join can split a hot key
     tested = materialise(candidates(rows.where("wants0 or wants1"), hub, like), "tested")
     comp = components(verified(tested, sets, like))
     low, width, place = 0, 2, F.pmod(F.xxhash64("node"), F.lit(1 << 30)) * F.col("many") / (1 << 30)
-    refuted = tested
+    refuted, old = tested, [rows, sets, hub, tested]
     while True:
         placed = _with_component(rows, comp)
-        mixed = placed.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.sum(F.col("own").cast("long")).alias("many")).where("c0 <> c1").select("key", "many")
+        mixed = materialise(placed.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.sum(F.col("own").cast("long")).alias("many")).where("c0 <> c1").select("key", "many"), "mixed")
         left = materialise(with_sketches(placed.join(mixed, "key"), sets), "open")
         some = left.where("own").where((place >= low) & (place < low + width))
         more = materialise(candidates(left.where("wants0 or wants1"), some, like).join(refuted, ["a", "b"], "left_anti"), "tested")
         with freeing(own.sparkSession):
-            done = left.where(F.col("many") > low + width).isEmpty()
-        discard(left)
+            done = mixed.where(F.col("many") > low + width).isEmpty()
+        discard(left, mixed)
         new = materialise(verified(more, sets, like), "links")
         if not new.isEmpty():
             before = comp
@@ -446,8 +447,9 @@ def links_of(own: DataFrame, reps: DataFrame, like: Similarity) -> DataFrame:
             discard(before)
         discard(new)
         if done:
-            discard(rows, sets, tested)
+            discard(*old, more)
             return comp
+        old.append(more)
         refuted = refuted.unionByName(more)
         low, width = low + width, 8 * width
 
