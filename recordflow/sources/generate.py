@@ -21,19 +21,21 @@ PRIMES = (2147483647, 2147483629)
 def random_text(source: Column, size: int, seed: int) -> Column:
     """``size`` characters that depend on ``source`` (0 or more) and the seed alone.
 
-    Two remainders of the source, apart until its square of both primes, step on with
-    the place of a character; their product picks it. Plain integer arithmetic, so any SQL engine can do the same.
+    Two remainders of the source, which are apart until its square of both primes, and the
+    place of a character make a number whose square picks it. Plain integer arithmetic, so any SQL engine can do the same.
     """
     p, q = PRIMES
     n = len(ALPHABET)
     whole, rest = F.floor(source / F.lit(p)).cast("long"), F.pmod(source, F.lit(p))
     one = F.pmod(F.pmod(rest * 48271, F.lit(p)) * 69621 + whole * 40692 + F.lit(seed * 16807 + 1), F.lit(p))
     two = F.pmod(F.pmod(rest * 40014, F.lit(q)) * 39373 + whole * 30323 + F.lit(seed * 45991 + 7), F.lit(q))
-    drawn = F.transform(
-        F.sequence(F.lit(0), F.lit(max(size, 1) - 1)),
-        lambda i: F.substring(F.lit(ALPHABET), (F.pmod(F.pmod(F.pmod(one + i.cast("long") * 104729, F.lit(p)) * F.pmod(two + i.cast("long") * 1299709, F.lit(q)), F.lit(p)), F.lit(n)) + 1).cast("int"), F.lit(1)),
-    )
-    return F.array_join(drawn, "")
+
+    def drawn(i: Column) -> Column:
+        x = F.pmod(one + i.cast("long") * 104729, F.lit(p))
+        y = F.pmod(x * x + two * (i.cast("long") + 1), F.lit(q))
+        return F.substring(F.lit(ALPHABET), (F.pmod(F.pmod(y * y, F.lit(p)), F.lit(n)) + 1).cast("int"), F.lit(1))
+
+    return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(max(size, 1) - 1)), drawn), "")
 
 
 def duplicate_pairs(n: int, batch: int = 4096) -> int:
