@@ -303,8 +303,8 @@ def _generated_sql(n: str, size: int, seed: int) -> str:
     batch = f"(CASE WHEN {n} <= 1 THEN 0 ELSE least(4096, {n}) // 2 * 2 END)"
     return f"""(WITH ids AS (SELECT id, CASE WHEN {batch} > 0 AND id < {n} // greatest({batch}, 1) * {batch} THEN id // 2 * 2 ELSE id END AS source FROM (SELECT unnest(range({n})) AS id)),
 bases AS (SELECT id, ((source % {p}) * 48271 % {p} * 69621 + source // {p} * 40692 + {seed * 16807 + 1}) % {p} AS one, ((source % {p}) * 40014 % {q} * 39373 + source // {p} * 30323 + {seed * 45991 + 7}) % {q} AS two FROM ids)
-SELECT id, string_agg(substr('{generate.ALPHABET}', CAST(y * y % {p} % {len(generate.ALPHABET)} AS INTEGER) + 1, 1), '' ORDER BY i) AS rec
-FROM (SELECT id, i, (x * x + two * (i + 1)) % {q} AS y FROM (SELECT id, i, two, (one + i * 104729) % {p} AS x FROM bases, (SELECT unnest(range({size})) AS i))) GROUP BY id)"""
+SELECT id, string_agg(substr('{generate.ALPHABET}', CAST(y * y % {p} // CASE i % 4 WHEN 0 THEN 1 WHEN 1 THEN 62 WHEN 2 THEN 3844 ELSE 238328 END % 62 AS INTEGER) + 1, 1), '' ORDER BY i) AS rec
+FROM (SELECT id, i, (x * x + two * (i // 4 + 1)) % {q} AS y FROM (SELECT id, i, two, (one + i // 4 * 104729) % {p} AS x FROM bases, (SELECT unnest(range({size})) AS i))) GROUP BY id)"""
 
 
 @query(f"SELECT id, rec, substr(rec, 1, 8) AS key FROM {_generated_sql('(SELECT count(*) FROM customer)', 39, 100)}")

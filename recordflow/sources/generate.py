@@ -22,20 +22,23 @@ def random_text(source: Column, size: int, seed: int) -> Column:
     """``size`` characters that depend on ``source`` (0 or more) and the seed alone.
 
     Two remainders of the source, which are apart until its square of both primes, and the
-    place of a character make a number whose square picks it. Plain integer arithmetic, so any SQL engine can do the same.
+    place of four characters make a number whose square picks these. Plain integer arithmetic, so any SQL engine can do the same.
     """
     p, q = PRIMES
     n = len(ALPHABET)
     whole, rest = F.floor(source / F.lit(p)).cast("long"), F.pmod(source, F.lit(p))
     one = F.pmod(F.pmod(rest * 48271, F.lit(p)) * 69621 + whole * 40692 + F.lit(seed * 16807 + 1), F.lit(p))
     two = F.pmod(F.pmod(rest * 40014, F.lit(q)) * 39373 + whole * 30323 + F.lit(seed * 45991 + 7), F.lit(q))
+    blocks = F.sequence(F.lit(0).cast("long"), F.lit(max(size - 1, 0) // 4).cast("long"))
 
-    def drawn(i: Column) -> Column:
-        x = F.pmod(one + i.cast("long") * 104729, F.lit(p))
-        y = F.pmod(x * x + two * (i.cast("long") + 1), F.lit(q))
-        return F.substring(F.lit(ALPHABET), (F.pmod(F.pmod(y * y, F.lit(p)), F.lit(n)) + 1).cast("int"), F.lit(1))
+    def drawn(pair: Column) -> Column:
+        x = F.transform(blocks, lambda i: F.pmod(pair["one"] + i * 104729, F.lit(p)))
+        y = F.transform(x, lambda x, i: F.pmod(x * x + pair["two"] * (i + 1), F.lit(q)))
+        v = F.transform(y, lambda y: F.pmod(y * y, F.lit(p)))
+        letter = lambda v, k: F.substring(F.lit(ALPHABET), (F.pmod(F.floor(v / F.lit(n**k)), F.lit(n)) + 1).cast("int"), F.lit(1))
+        return F.substring(F.array_join(F.transform(v, lambda v: F.concat(*(letter(v, k) for k in range(4)))), ""), 1, max(size, 1))
 
-    return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(max(size, 1) - 1)), drawn), "")
+    return F.transform(F.array(F.struct(one.alias("one"), two.alias("two"))), drawn)[0]  # so that both are worked out once a record
 
 
 def duplicate_pairs(n: int, batch: int = 4096) -> int:
