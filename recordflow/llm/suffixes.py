@@ -10,9 +10,10 @@ same distance, so repeats only need to be sought among the places of one anchor.
    belong to it. Contexts that one group of documents shares are sent once, for the
    smallest id. Anchors with very many occurrences send each string as a context of
    its own, dealt by its own hash, so no anchor gathers in one task.
-3. A partition takes its contexts in batches of rising id. A context whose bytes were
+   Documents whose whole text a smaller id has (by SHA-256) send none: all their strings are repeats.
+3. A partition takes its contexts in some batches of rising id. A context whose bytes were
    seen before is covered. Each batch of the others, where an anchor has several, gets a
-   suffix array: the places of its strings in the order of their bytes. It is merge-scanned against the
+   suffix array of the strings whose hash another document has too: the places of its strings in the order of their bytes. It is merge-scanned against the
    arrays of the levels so far for matches, becomes the lowest level, and levels of like size
    merge, so that sizes are geometric and a suffix is merged a logarithmic number of times.
    Hashes only bring together what may be equal; bytes decide what goes.
@@ -38,22 +39,38 @@ from pyspark.sql import functions as F
 from . import groups as G
 from .blocks import spread
 from .common import SALTS, U64, chunks, discard, eights, join_hashes, materialise, mix, part_of, partitions, runs
-from .contexts import GROUP_BYTES, Heads, Sender, covered, gather_bytes
+from .contexts import GROUP_BYTES, Heads, Sender, covered, gather_bytes, slices
 
 GRAM = 25
 GROUP_ANCHORS = 1_500_000  # anchors of a group of documents
-BATCH = 4096  # heads that get a suffix array together
+STRETCH = 1 << 13  # places that are hashed at once
+ANCHOR_BYTES = 1 << 17  # text whose anchors are sought at once
+BATCH = 1 << 16  # strings that get a suffix array together, at least
+BATCHES = 8  # of a partition, about, at most
 COMMON = 2000  # an anchor that more groups of documents hold sends single strings
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 LOW = U64(0xFFFFFFFF)
 
 
 def gram_hashes(data: np.ndarray) -> np.ndarray:
-    """Hashes of the strings of GRAM bytes that start at each byte, from their bytes eight at a time."""
-    n = max(0, len(data) - GRAM + 1)
-    part, out = mix(eights(data) ^ U64(SALTS[1])), np.full(n, GRAM, U64)
-    for at in [*range(0, GRAM - 8, 8), GRAM - 8]:
-        out = join_hashes(out, part[at : at + n])
+    """Hashes of the strings of GRAM bytes that start at each byte: of two halves of 16, from their bytes eight at a time.
+
+    A stretch of places is done at once, so that what it takes stays in the processor's cache.
+    """
+    out = np.empty(max(0, len(data) - GRAM + 1), U64)
+    for at in range(0, len(out), STRETCH):
+        part = mix(eights(data[at : at + STRETCH + GRAM - 1]) ^ U64(SALTS[1]))
+        half = join_hashes(part[:-8], part[8:])
+        out[at : at + STRETCH] = join_hashes(half[: 16 - GRAM], half[GRAM - 16 :])
+    return out
+
+
+def string_hashes(text: np.ndarray, place: np.ndarray, length: int) -> np.ndarray:
+    """Hashes of the strings of ``length`` bytes at some places of a text."""
+    grams = gram_hashes(text)
+    out = grams[place]
+    for at in [*range(GRAM, length - GRAM, GRAM), length - GRAM]:
+        out = join_hashes(out, grams[place + at])
     return out
 
 
@@ -63,23 +80,23 @@ class Anchors:
     def __init__(self, chunk, length: int):
         n, width = len(chunk.data), length - GRAM + 1
         self.grams = h = gram_hashes(chunk.data)
-        key = mix(h) & ~LOW | np.arange(len(h), dtype=U64)  # least hash first, leftmost on ties
+        key = h * U64(SALTS[0]) & ~LOW | np.arange(len(h), dtype=U64)  # least product first, leftmost on ties; the hashes of anchors stay spread evenly
         got = 1
         while got < width:  # minima over 1, 2, 4 and so on, up to the width
             step = min(got, width - got)
             key = np.minimum(key[:-step], key[step:]) if len(key) > step else key[:0]
             got += step
-        owner = (key & LOW).astype(np.int64)  # of the string that starts there
-        size = np.diff(chunk.bounds)
-        doc = np.repeat(np.arange(len(size)), size)[: len(owner)]
-        inside = np.arange(len(owner)) + length <= chunk.bounds[1:][doc]
-        start = np.flatnonzero(inside)
-        owner, doc = owner[start], doc[start]
-        new = np.ones(len(start), bool)
-        new[1:] = (owner[1:] != owner[:-1]) | (doc[1:] != doc[:-1])
-        first = np.flatnonzero(new)
-        self.start, self.place, self.doc = start[first], owner[first], doc[first]
-        self.count = np.diff(np.append(first, len(start)))
+        owner = key.astype(np.uint32)  # of the string that starts there; an anchor lies in one document
+        new = np.ones(len(owner), bool)
+        new[1:] = owner[1:] != owner[:-1]
+        new[chunk.bounds[:-1][chunk.bounds[:-1] < len(new)]] = True  # before it are strings that reach into the document
+        start = np.flatnonzero(new)
+        doc = np.searchsorted(chunk.bounds, start, "right") - 1
+        ends = chunk.bounds[1:][doc] - length + 1  # of the document's strings
+        inside = start < ends
+        self.start, self.doc = start[inside], doc[inside]
+        self.count = np.minimum(np.append(start[1:], len(owner)), ends)[inside] - self.start
+        self.place = owner[self.start].astype(np.int64)
         self.hash = h[self.place]
 
 
@@ -106,7 +123,7 @@ def anchors(docs: DataFrame, length: int, parts: int, number: int = 0) -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group = G.Group(number)
-        for chunk in chunks(batches):
+        for chunk in chunks(batches, most=ANCHOR_BYTES):
             if group.size and group.size + len(chunk.data) >= 1 << 30:  # places take 31 bits, with a chunk of 2 GB at most
                 yield flush(group)
             a = Anchors(chunk, length)
@@ -153,7 +170,7 @@ def contexts(docs: DataFrame, length: int, parts: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sender = Sender(parts, GROUP_BYTES)
-        for chunk in chunks(batches):
+        for chunk in chunks(batches, most=ANCHOR_BYTES):
             if sender.group.size and sender.group.size + len(chunk.data) >= 1 << 30:
                 yield sender.flush()
             a = Anchors(chunk, length)
@@ -261,28 +278,55 @@ class SuffixLevels:
             self.levels.append(Level(text, place))
 
 
+def met_strings(heads: Heads, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Strings (number of the head and of the string in it) whose hash another document's string has: no other string can be repeated."""
+    which = np.repeat(np.arange(len(heads.doc)), heads.count)
+    string = np.arange(len(which)) - np.repeat(np.cumsum(heads.count) - heads.count, heads.count)
+    ends, h = np.cumsum(heads.count), np.empty(len(which), U64)
+    for part in slices(heads.size, ANCHOR_BYTES):
+        a, b = ends[part.start] - heads.count[part.start], ends[part.stop - 1]
+        low, high = heads.begin[part.start], heads.begin[part.stop - 1] + heads.size[part.stop - 1]
+        h[a:b] = string_hashes(heads.text[low:high], heads.begin[which[a:b]] + string[a:b] - low, length)
+    order = np.argsort(h)
+    cuts = runs(h[order])
+    doc = heads.doc[which[order]]
+    several = np.minimum.reduceat(doc, cuts[:-1]) < np.maximum.reduceat(doc, cuts[:-1])
+    met = np.sort(order[np.repeat(several, np.diff(cuts))])
+    return which[met], string[met]
+
+
 def compare_suffixes(heads: Heads, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Strings of heads that a head of a smaller document has, by suffix arrays of batches of rising id."""
-    where, found, levels, at = [], [], SuffixLevels(length), 0
-    rising = np.argsort(heads.doc, kind="stable")
-    ids = heads.doc[rising]
-    while at < len(rising):  # a batch ends with a document, so that earlier batches have smaller ids only
-        end = int(np.searchsorted(ids, ids[min(at + BATCH, len(rising)) - 1], "right"))
-        own = rising[at:end]
-        at = end
-        n, size = heads.count[own], heads.size[own]
-        which = np.repeat(np.arange(len(own)), n)
-        string = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
+    """Strings of heads that a head of a smaller document has, by suffix arrays of batches of rising id.
+
+    The batches are as large as the partition needs for there to be about BATCHES: each is scanned
+    against all levels, so that more of them would cost the square of the strings.
+    """
+    which, string = met_strings(heads, length)
+    ids = heads.doc[which]
+    rising = np.argsort(ids, kind="stable")
+    which, string, ids = which[rising], string[rising], ids[rising]
+    found, levels, at, batch = [np.zeros(0, np.int64)], SuffixLevels(length), 0, max(BATCH, -(-len(which) // BATCHES))
+    while at < len(which):  # a batch ends with a document, so that earlier batches have smaller ids only
+        end = int(np.searchsorted(ids, ids[min(at + batch, len(which)) - 1], "right"))
+        own, index = np.unique(which[at:end], return_inverse=True)
+        size = heads.size[own]
         begin = np.cumsum(size) - size
-        hit = levels.add_suffixes(gather_bytes(heads.text, heads.begin[own], size), begin[which] + string, heads.doc[own][which])
-        where.append(own[which[hit]])
-        found.append(string[hit])
-    return np.concatenate(where), np.concatenate(found)
+        hit = levels.add_suffixes(gather_bytes(heads.text, heads.begin[own], size), begin[index] + string[at:end], ids[at:end])
+        found.append(at + np.flatnonzero(hit))
+        at = end
+    hits = np.concatenate(found)
+    return which[hits], string[hits]
+
 
+def spans_of(texts: DataFrame, rows: DataFrame, length: int, parts: int, number: int | None = None, copies: DataFrame | None = None) -> DataFrame:
+    """Spans of string starts that a smaller id has too, from the packed anchors of documents (columns doc_id, tag, text).
 
-def spans_of(texts: DataFrame, rows: DataFrame, length: int, parts: int, number: int | None = None) -> DataFrame:
-    """Spans of string starts that a smaller id has too, from the packed anchors of documents (columns doc_id, tag, text)."""
-    hit = materialise(G.per_document(shared_anchors(G.deal(rows, parts), number), parts), "anchors")
+    ``copies`` are documents to leave out: each string of theirs is in a document of smaller id that is searched.
+    """
+    found = G.per_document(shared_anchors(G.deal(rows, parts), number), parts)
+    if copies is not None:
+        found = found.join(copies.select("doc_id", "tag"), ["doc_id", "tag"], "left_anti")
+    hit = materialise(found, "anchors")
     near = contexts(texts.join(hit, ["doc_id", "tag"]).select("doc_id", "tag", "text", "spans"), length, parts)
     out = materialise(G.per_document(covered(G.deal(near, parts), lambda heads: compare_suffixes(heads, length)), parts), "repeats")
     discard(hit)
@@ -294,11 +338,27 @@ def searched(docs: DataFrame, length: int) -> DataFrame:
     return G.keyed(docs).where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= length))
 
 
+def later_copies(own: DataFrame, length: int) -> DataFrame:
+    """doc_id, tag and spans of the searched rows whose whole text a smaller id has: all their strings are repeats."""
+    texts = own.select("doc_id", "tag", F.unhex(F.sha2("text", 256)).alias("digest"), F.octet_length("text").alias("size"))
+    least = texts.groupBy("digest").agg(F.min("doc_id").alias("least"))
+    later = texts.join(least, "digest").where("doc_id > least").select("doc_id", "tag", "size").distinct()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            count = batch.column("size").to_numpy() - length + 1
+            spans = [G.dump(np.zeros(1, np.uint32), count[k : k + 1].astype(np.uint32)) for k in range(len(count))]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("tag"), pa.array(spans, pa.binary())], ["doc_id", "tag", "spans"])
+
+    return materialise(later.mapInArrow(run, G.SPANS), "copies")
+
+
 def repeated_strings(docs: DataFrame, length: int = 50) -> DataFrame:
     """Spans of string starts that a document with a smaller id has too: doc_id, tag, spans."""
     parts = partitions(docs.sparkSession)
     own = searched(docs, length)
-    return spans_of(own, anchors(own, length, parts), length, parts)
+    copies = later_copies(own, length)
+    return spans_of(own, anchors(own, length, parts), length, parts, copies=copies).unionByName(copies)
 
 
 class SuffixFamily:

@@ -366,3 +366,28 @@ def test_gathered_bytes(monkeypatch):
         assert contexts.gather_bytes(data, start, size).tobytes() == b"".join(data[a : a + b].tobytes() for a, b in zip(start, size, strict=True))
         parts = list(contexts.slices(size, 700))
         assert [i for p in parts for i in range(p.start, p.stop)] == list(range(n))
+
+
+def test_levels_are_scanned_a_bounded_number_of_times(monkeypatch):
+    """80,000 contexts in one partition, in pairs that share the first 55 of 62 bytes."""
+    n, r, laid = 80_000, np.random.default_rng(5), []
+    text = r.integers(0, 256, (n, 62), np.uint8)
+    text[1::2, :55] = text[::2, :55]
+    text[1::2, 55] = text[::2, 55] ^ 1
+    heads = contexts.Heads(np.zeros(n, np.uint64), np.arange(n), np.full(n, 13), text.reshape(-1), np.arange(n) * 62, np.full(n, 62))
+    strings = suffixes.SuffixLevels.strings
+    monkeypatch.setattr(suffixes.SuffixLevels, "strings", lambda self, text, place: laid.append(len(place)) or strings(self, text, place))
+    which, string = suffixes.compare_suffixes(heads, 50)
+    assert sorted(zip(which.tolist(), string.tolist(), strict=True)) == [(i, k) for i in range(1, n, 2) for k in range(6)]
+    assert sum(laid) < 5 * 13 * n
+
+
+def test_copies_of_whole_texts_send_no_contexts(spark, monkeypatch):
+    r = random.Random(8)
+    base, other = ("".join(r.choice("abcdefgh é") for _ in range(400)) for _ in range(2))
+    made = [(i, base) for i in range(3, 33)] + [(3, base), (3, base + "x"), (9, base[:200] + other), (40, other), (41, other), (None, base)]
+    sent, send = [], suffixes.contexts
+    monkeypatch.setattr(suffixes, "contexts", lambda docs, *a: sent.append(sorted(x.doc_id for x in docs.select("doc_id").collect())) or send(docs, *a))
+    got = suffixes.drop_repeats(spark.createDataFrame(rows(made), DOCS).repartition(3))
+    assert Counter(map(tuple, got.collect())) == drop_strings(made, 50)
+    assert sent == [[3, 3, 3, 9, 40]]
